@@ -130,6 +130,7 @@ class Imputation:
     categorical_strategy: str
     group_by: str | None
     missing: dict[str, int]
+    rows: int | None = None
     numeric: dict[str, float | None] = field(default_factory=dict)
     categorical: dict[str, str | None] = field(default_factory=dict)
     grouped: DataFrame | None = None
@@ -194,8 +195,10 @@ def fit_imputation(df: DataFrame, numeric_strategy: str = "median", categorical_
     model = Imputation(numeric_strategy, categorical_strategy, grouping, {})
     if not numeric and not categorical:
         return model
-    gaps = df.agg(*[F.count_if(is_missing(n, kinds[n])).alias(n) for n in numeric + categorical])
-    model.missing = gaps.first().asDict()
+    model.missing = df.agg(
+        F.count("*").alias("_rows"),
+        *[F.count_if(is_missing(n, kinds[n])).alias(n) for n in numeric + categorical]).first().asDict()
+    rows = model.rows = model.missing.pop("_rows")
     gappy = [n for n in numeric if model.missing[n]]
 
     if gappy and numeric_strategy == "mean":
@@ -203,7 +206,7 @@ def fit_imputation(df: DataFrame, numeric_strategy: str = "median", categorical_
             F.avg(F.when(~is_missing(n, kinds[n]), F.col(n))).alias(n) for n in gappy]).first()
         model.numeric = {n: means[n] for n in gappy}
     elif gappy:
-        model.numeric, model.grouped = _fit_medians(df, gappy, grouping)
+        model.numeric, model.grouped = _fit_medians(df, gappy, grouping, rows)
     for name in categorical:
         if model.missing[name]:
             model.categorical[name] = (
@@ -211,7 +214,7 @@ def fit_imputation(df: DataFrame, numeric_strategy: str = "median", categorical_
     return model
 
 
-def _fit_medians(df, columns, group_by):
+def _fit_medians(df, columns, group_by, rows):
     long = unpivot_numeric(
         df.withColumn("_group", F.col(group_by).cast("string") if group_by else F.lit("")),
         columns, keep=["_group"])
@@ -222,7 +225,8 @@ def _fit_medians(df, columns, group_by):
     long = (
         long.select("series", "value", F.explode(F.array(*scopes)).alias("scope"))
         .select("series", "value", "scope.*").where("grp IS NOT NULL"))
-    medians = quantiles(long, ["series", "whole", "grp"], "value", {"median": 0.5})
+    medians = small(
+        quantiles(long, ["series", "whole", "grp"], "value", {"median": 0.5}, rows=rows), "medians")
     fallback = dict.fromkeys(columns)
     fallback.update({r["series"]: r["median"] for r in medians.where("whole").collect()})
     if not group_by:
@@ -266,14 +270,16 @@ class Clipping:
         return rows_from(df.agg(*counts), rows)
 
 
-def fit_clipping(df: DataFrame, multiplier: float | None = None, columns=c.CLIP_COLUMNS) -> Clipping:
+def fit_clipping(df: DataFrame, multiplier: float | None = None, columns=c.CLIP_COLUMNS,
+                 rows: int | None = None) -> Clipping:
     """Bounds q1 - m * iqr and q3 + m * iqr from exact, linearly interpolated quartiles."""
     factor = c.IQR_MULTIPLIER if multiplier is None else float(multiplier)
     numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
     wanted = [n for n in columns if n in numeric]
     if not wanted:
         return Clipping({})
-    quartiles = quantiles(unpivot_numeric(df, wanted), ["series"], "value", {"q1": 0.25, "q3": 0.75})
+    quartiles = quantiles(
+        unpivot_numeric(df, wanted), ["series"], "value", {"q1": 0.25, "q3": 0.75}, rows=rows)
     found = {r["series"]: (r["q1"], r["q3"]) for r in quartiles.collect()}
     bounds = {}
     for name in wanted:
@@ -328,7 +334,7 @@ def clean(df: DataFrame, primary_key: str | None = c.PRIMARY_KEY, numeric_strate
         raise SchemaValidationError("the table has no columns")
     imputation = fit_imputation(base, numeric_strategy, categorical_strategy, group_by)
     filled = imputation.apply(base)
-    clipping = fit_clipping(filled, iqr_multiplier)
+    clipping = fit_clipping(filled, iqr_multiplier, rows=imputation.rows)
     result = clipping.apply(filled)
     return Cleaned(enforce_types(result) if enforce else result, base, imputation, clipping, df,
                    primary_key)

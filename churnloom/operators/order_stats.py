@@ -43,14 +43,19 @@ def _bracket(grid: Column, position: Column, size: Column):
     return F.get(grid, cell - 2), F.get(grid, cell + 3)
 
 
-def order_statistics(long: DataFrame, keys, value: str, picks, exact_rows: int = EXACT_ROWS) -> DataFrame:
+def order_statistics(long: DataFrame, keys, value: str, picks, exact_rows: int = EXACT_ROWS,
+                     rows: int | None = None) -> DataFrame:
     """Values at 0-based positions of the ascending order within each key.
 
     ``picks`` is a function from the row count column to an array of positions, or a
-    DataFrame (keys..., slot, pos). Returns keys, n, slot, pos, value, ``before`` (rows
-    with a smaller value) and ``ties`` (rows with this value).
+    DataFrame (keys..., slot, pos). ``rows`` is an upper bound on the rows of one key if
+    the caller knows one: a table known to be short is tallied in one pass. Returns keys,
+    n, slot, pos, value, ``before`` (rows with a smaller value) and ``ties`` (rows with
+    this value).
     """
     keys = list(keys)
+    if rows is not None and rows <= exact_rows:
+        return _tally_short(long, keys, value, picks)
     sketchable = isinstance(long.schema[value].dataType, T.NumericType)
     v = F.col(value)
     size = F.count(value)
@@ -128,8 +133,23 @@ def _tally_all(long, keys, value, wanted):
         .select(*keys, "n", "slot", "pos", value, "before", "ties"))
 
 
+def _tally_short(long, keys, value, picks):
+    tally = long.groupBy(*keys, value).agg(F.count("*").alias("ties"))
+    key = W.partitionBy(*keys)
+    placed = tally.select(
+        *keys, value, "ties", F.sum("ties").over(key).alias("n"),
+        (F.sum("ties").over(key.orderBy(value)) - F.col("ties")).alias("before"))
+    if isinstance(picks, DataFrame):
+        placed = placed.join(picks.select(*keys, "slot", "pos"), keys)
+    else:
+        placed = placed.select("*", F.posexplode(picks(F.col("n"))).alias("slot", "pos"))
+    return (
+        placed.where((F.col("before") <= F.col("pos")) & (F.col("pos") < F.col("before") + F.col("ties")))
+        .select(*keys, "n", "slot", "pos", value, "before", "ties"))
+
+
 def quantiles(long: DataFrame, keys, value: str, probabilities: dict[str, float],
-              exact_rows: int = EXACT_ROWS) -> DataFrame:
+              exact_rows: int = EXACT_ROWS, rows: int | None = None) -> DataFrame:
     """Linearly interpolated quantiles per key, one named column for each probability."""
     names = list(probabilities)
 
@@ -140,7 +160,7 @@ def quantiles(long: DataFrame, keys, value: str, probabilities: dict[str, float]
             spots += [F.floor(h), F.ceil(h)]
         return F.array(*[s.cast("bigint") for s in spots])
 
-    found = order_statistics(long, keys, value, picks, exact_rows)
+    found = order_statistics(long, keys, value, picks, exact_rows, rows)
     columns = []
     for i, name in enumerate(names):
         low = F.max(F.when(F.col("slot") == 2 * i, F.col(value)))

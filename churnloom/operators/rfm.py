@@ -59,7 +59,7 @@ def fit_quintiles(df: DataFrame, metrics=c.RFM_METRICS, tiebreak=None,
         numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
         tiebreak = [n for n in (c.PRIMARY_KEY, c.SEQUENCE) if n in numeric]
     columns = [column for _, column, _ in metrics]
-    fills = _fills(df, columns, exact_rows)
+    fills, rows = _fills(df, columns, exact_rows)
     models = {
         score: QuintileCuts(column, better, fills.get(column), tuple(tiebreak), [])
         for score, column, better in metrics}
@@ -69,7 +69,7 @@ def fit_quintiles(df: DataFrame, metrics=c.RFM_METRICS, tiebreak=None,
     found = order_statistics(
         long, ["series"], "value",
         lambda n: F.array(*[F.floor(s * (n - 1) / F.lit(5)).cast("bigint") for s in range(1, 5)]),
-        exact_rows).collect()
+        exact_rows, rows).collect()
     for row in found:
         if row["n"] < 2:
             raise KPICalculationError("quintiles need at least two customers")
@@ -77,22 +77,24 @@ def fit_quintiles(df: DataFrame, metrics=c.RFM_METRICS, tiebreak=None,
     for depth, name in enumerate(tiebreak):
         if all(ties == 1 for _, _, ties in cuts.values()):
             break
-        cuts = _break_ties(long, tiebreak[:depth], name, cuts, exact_rows)
+        cuts = _break_ties(long, tiebreak[:depth], name, cuts, exact_rows, rows)
     for (score, _), (prefix, _, _) in sorted(cuts.items()):
         models[score].cuts.append(tuple(prefix))
     return models
 
 
 def _fills(df, columns, exact_rows):
-    gaps = df.agg(*[F.count_if(F.col(n).isNull()).alias(n) for n in columns]).first()
+    gaps = df.agg(
+        F.count("*").alias("_rows"), *[F.count_if(F.col(n).isNull()).alias(n) for n in columns]).first()
     gappy = [n for n in columns if gaps[n]]
     if not gappy:
-        return {}
-    medians = quantiles(unpivot_numeric(df, gappy), ["series"], "value", {"median": 0.5}, exact_rows)
-    return {r["series"]: r["median"] for r in medians.collect()}
+        return {}, gaps["_rows"]
+    medians = quantiles(
+        unpivot_numeric(df, gappy), ["series"], "value", {"median": 0.5}, exact_rows, gaps["_rows"])
+    return {r["series"]: r["median"] for r in medians.collect()}, gaps["_rows"]
 
 
-def _break_ties(long, fixed, name, cuts, exact_rows):
+def _break_ties(long, fixed, name, cuts, exact_rows, rows):
     """Extend each cut row by the next order column, selecting among its tied rows."""
     spark = long.sparkSession
     keys = list(cuts)
@@ -105,7 +107,7 @@ def _break_ties(long, fixed, name, cuts, exact_rows):
     same = [F.col(column) == F.col(f"_{column}") for column in names]
     tied = long.withColumnRenamed("series", "_series").join(
         targets, [F.col("_series") == F.col("series"), *same]).select("series", "cut", name)
-    found = order_statistics(tied, ["series", "cut"], name, targets, exact_rows).collect()
+    found = order_statistics(tied, ["series", "cut"], name, targets, exact_rows, rows).collect()
     return {
         (r["series"], r["cut"]): (
             cuts[r["series"], r["cut"]][0] + [r[name]], r["pos"] - r["before"], r["ties"])

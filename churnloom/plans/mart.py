@@ -5,9 +5,11 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from churnloom.operators import clean, features, health, rfm, segments
-from churnloom.plans.stages import cut
+from churnloom.operators import clean, features, health, rfm, risk, segments
+from churnloom.plans.stages import cut, new_path
+from churnloom.sources.files import read_customers, write_table
 from churnloom.sources.landing import customer_table
 
 
@@ -19,8 +21,9 @@ class CustomerMart:
     is a projection with fitted parameters.
     """
 
-    def __init__(self, raw: DataFrame):
+    def __init__(self, raw: DataFrame, source: str):
         self.raw = raw
+        self.source = source
 
     @cached_property
     def prepared(self) -> DataFrame:
@@ -44,6 +47,12 @@ class CustomerMart:
         scored = rfm.assign_segments(rfm.score(self.featured, self.cuts))
         return cut(health.score_health(segments.flag_segments(scored)), "mart")
 
+    @cached_property
+    def scored(self) -> DataFrame:
+        """The mart with a stand-in probability, for reports that need one but no model."""
+        stand_in = F.pmod(F.col("CustomerID") * 37, F.lit(1000)) / F.lit(1000.0)
+        return risk.with_risk(self.table.withColumn("p", stand_in), "p").drop("p")
+
 
 _MARTS: dict[tuple[str, str], CustomerMart] = {}
 
@@ -58,7 +67,9 @@ def mart_for(spark: SparkSession, folder: str) -> CustomerMart:
 
 def build(spark: SparkSession, folder: str) -> CustomerMart:
     """A fresh mart; nothing is shared with earlier ones."""
-    return CustomerMart(cut(customer_table(spark, folder), "landing"))
+    path = new_path(spark, "landing")
+    write_table(customer_table(spark, folder), path)
+    return CustomerMart(read_customers(spark, path), path)
 
 
 def forget(spark: SparkSession, folder: str) -> None:
