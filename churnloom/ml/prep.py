@@ -73,6 +73,8 @@ def round_up_guard(value: Column) -> Column:
 
 def stratified_folds(df: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
     """Append ``fold``: equal parts of every label in hash order."""
+    if folds < 2:
+        return df.withColumn("fold", F.lit(0))
     cuts = _cuts(df, seed + 1, lambda n: F.array(*[
         F.floor(n * F.lit(i) / F.lit(folds)).cast("bigint") for i in range(1, folds)]))
     return df.withColumn("fold", _passed(cuts, seed + 1, lambda d, v: d >= v))

@@ -35,24 +35,26 @@ class Settings:
     seed: int = 42
 
 
-def candidates(settings: Settings) -> dict[str, tuple]:
-    """Name to (estimator, weight column). All train as distributed Spark jobs.
+def candidates(settings: Settings, rows: int) -> dict:
+    """Name to estimator. All train as distributed Spark jobs.
 
-    The second boosted model samples rows and features; neither grows leaf by leaf.
+    The linear model has the usual unit penalty on the summed loss, which is 1 / rows on
+    Spark's mean loss. The second boosted model samples rows and features; neither grows
+    leaf by leaf.
     """
     trees, seed = settings.trees, settings.seed
     boosted = dict(maxIter=trees, maxDepth=settings.boosted_depth, stepSize=settings.step_size,
                    featuresCol=prep.FEATURES, weightCol="ratio_weight", seed=seed)
     return {
-        "LogisticRegression": (LogisticRegression(
-            maxIter=settings.max_iter, standardization=False, featuresCol=prep.SCALED,
-            weightCol="balanced_weight"), "balanced_weight"),
-        "RandomForest": (RandomForestClassifier(
+        "LogisticRegression": LogisticRegression(
+            maxIter=settings.max_iter, regParam=1.0 / rows, standardization=False,
+            featuresCol=prep.SCALED, weightCol="balanced_weight"),
+        "RandomForest": RandomForestClassifier(
             numTrees=trees, maxDepth=settings.forest_depth, featuresCol=prep.FEATURES,
-            weightCol="balanced_weight", seed=seed), "balanced_weight"),
-        "GradientBoosting": (GBTClassifier(**boosted), "ratio_weight"),
-        "StochasticGradientBoosting": (GBTClassifier(
-            subsamplingRate=0.8, featureSubsetStrategy="0.8", **boosted), "ratio_weight"),
+            weightCol="balanced_weight", seed=seed),
+        "GradientBoosting": GBTClassifier(**boosted),
+        "StochasticGradientBoosting": GBTClassifier(
+            subsamplingRate=0.8, featureSubsetStrategy="0.8", **boosted),
     }
 
 
@@ -152,7 +154,7 @@ def train(df: DataFrame, settings: Settings | None = None, target: str = c.TARGE
     training, test = encoded.where("NOT is_test"), encoded.where("is_test")
 
     results, models = {}, {}
-    for name, (estimator, _) in candidates(settings).items():
+    for name, estimator in candidates(settings, balance["rows"]).items():
         if only is not None and name not in only:
             continue
         start = time.perf_counter()

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from churnloom import contract as c
 from churnloom.errors import ImputationError, SchemaValidationError
-from churnloom.functions import clip, is_missing, strip
+from churnloom.functions import clip, is_missing, number, quote, strip
 from churnloom.operators.order_stats import quantiles, unpivot_numeric
 from churnloom.operators.tidy import rows_from
 from churnloom.plans.stages import literal_table, small
@@ -141,15 +141,13 @@ class Imputation:
         if self.grouped is not None:
             df = df.join(self.grouped, df[self.group_by] == F.col("_group"), "left")
         filled = {}
-        kinds = _types(df)
         for name, fallback in self.numeric.items():
-            value = F.when(~is_missing(name, kinds[name]), F.col(name).cast("double"))
-            choices = [value]
+            choices = [f"nanvl(CAST({name} AS DOUBLE), NULL)"]
             if self.grouped is not None:
-                choices.append(F.col(f"_median_{name}"))
+                choices.append(f"_median_{name}")
             if fallback is not None:
-                choices.append(F.lit(float(fallback)))
-            filled[name] = F.coalesce(*choices)
+                choices.append(number(fallback))
+            filled[name] = F.expr(f"coalesce({', '.join(choices)})")
         for name, fallback in self.categorical.items():
             filled[name] = F.coalesce(F.col(name), F.lit(fallback))
         return df.select(*[filled.get(name, F.col(name)).alias(name) for name in names])
@@ -253,7 +251,7 @@ class Clipping:
 
     def apply(self, df: DataFrame) -> DataFrame:
         """Hold each column within its bounds. Clipped columns are always double."""
-        clipped = {n: clip(F.col(n).cast("double"), *b) for n, b in self.bounds.items()}
+        clipped = {n: clip(f"CAST({n} AS DOUBLE)", *b) for n, b in self.bounds.items()}
         return df.select(*[clipped.get(n, F.col(n)).alias(n) for n in df.columns])
 
     def audit(self, df: DataFrame) -> DataFrame:
@@ -261,12 +259,11 @@ class Clipping:
         counts, rows = [], []
         for name, (low, high) in self.bounds.items():
             below, above = f"below_{name}", f"above_{name}"
-            counts += [F.count_if(F.col(name) < low).alias(below),
-                       F.count_if(F.col(name) > high).alias(above)]
+            counts += [F.expr(f"count_if({name} < {number(low)}) AS {below}"),
+                       F.expr(f"count_if({name} > {number(high)}) AS {above}")]
             rows.append({
-                "column": F.lit(name), "lower_bound": F.lit(low), "upper_bound": F.lit(high),
-                "below_capped": F.col(below), "above_capped": F.col(above),
-                "total_capped": F.col(below) + F.col(above)})
+                "column": quote(name), "lower_bound": number(low), "upper_bound": number(high),
+                "below_capped": below, "above_capped": above, "total_capped": f"{below} + {above}"})
         return rows_from(df.agg(*counts), rows)
 
 

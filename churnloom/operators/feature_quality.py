@@ -14,8 +14,6 @@ from churnloom.functions import is_missing, round_even
 from churnloom.operators.tidy import rows_from
 
 CORRELATION_LIMIT = 0.90
-# Rounded before they are compared with zero: a merged deviation of equal values may
-# differ from zero by rounding noise.
 
 
 def _numeric(df: DataFrame, features):
@@ -71,18 +69,23 @@ def zero_variance(df: DataFrame, features=tuple(c.FEATURE_TYPES)) -> DataFrame:
         for n in present]).where("zero").select("feature")
 
 
-def _finite(n):
-    value = F.col(n).cast("double")
-    return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)
+def _pearson(a: str, b: str):
+    """Coefficient over the rows where both are known; null when one does not vary.
+
+    The built-in ``corr`` fails on a column without variance when ANSI mode is on.
+    """
+    left, right = F.col(a).cast("double"), F.col(b).cast("double")
+    x, y = F.when(right.isNotNull(), left), F.when(left.isNotNull(), right)
+    ratio = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.nanvl(ratio, F.lit(None).cast("double"))
 
 
 def correlations(df: DataFrame, features=tuple(c.FEATURE_TYPES)) -> DataFrame:
     """Pearson coefficient of every pair of numeric features, all in one aggregate."""
     pairs = list(combinations(_numeric(df, features), 2))
-    coefficients = df.agg(*[
-        F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}~{b}") for a, b in pairs])
+    coefficients = df.agg(*[_pearson(a, b).alias(f"{a}~{b}") for a, b in pairs])
     return rows_from(coefficients, [
-        {"feature_a": F.lit(a), "feature_b": F.lit(b), "coefficient": F.nanvl(F.col(f"`{a}~{b}`"), F.lit(None))}
+        {"feature_a": F.lit(a), "feature_b": F.lit(b), "coefficient": F.col(f"`{a}~{b}`")}
         for a, b in pairs])
 
 
@@ -117,12 +120,10 @@ def target_leakage(df: DataFrame, features=tuple(c.FEATURE_TYPES), target: str =
                    threshold: float = CORRELATION_LIMIT) -> DataFrame:
     """Correlation of every numeric feature with the target and whether it gives it away."""
     present = _numeric(df, features)
-    label = F.col(target).cast("double")
-    coefficients = df.agg(*[F.corr(F.col(n).cast("double"), label).alias(n) for n in present])
-    value = lambda n: F.nanvl(F.col(n), F.lit(None))
+    coefficients = df.agg(*[_pearson(n, target).alias(n) for n in present])
     return rows_from(coefficients, [
-        {"feature": F.lit(n), "correlation_with_target": round_even(value(n), 4),
-         "leaks": F.coalesce(F.abs(value(n)) > threshold, F.lit(False))} for n in present])
+        {"feature": F.lit(n), "correlation_with_target": round_even(n, 4),
+         "leaks": F.coalesce(F.abs(n) > threshold, F.lit(False))} for n in present])
 
 
 def all_findings(df: DataFrame, features=tuple(c.FEATURE_TYPES), types=None, target: str = c.TARGET):

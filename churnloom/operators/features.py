@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from churnloom import contract as c
 from churnloom.errors import FeatureEngineeringError, require_columns
-from churnloom.functions import cut, flag
+from churnloom.functions import cut, flag, number
 
 INPUTS = (
     "Tenure", "WarehouseToHome", "OrderCount", "DaySinceLastOrder", "HourSpendOnApp",
@@ -18,31 +18,28 @@ INPUTS = (
 
 def tenure_group(edges=c.TENURE_EDGES, labels=c.TENURE_LABELS) -> Column:
     """Tenure band; tenures beyond the last edge fall into the last band."""
-    ceiling = F.lit(edges[-1] - 0.1)
-    capped = F.when(F.col("Tenure").isNotNull(), F.least("Tenure", ceiling))
+    capped = f"CASE WHEN Tenure IS NOT NULL THEN least(Tenure, {number(edges[-1] - 0.1)}) END"
     return cut(capped, edges, labels, include_lowest=True)
 
 
 def feature_columns() -> dict[str, Column]:
     """Name and expression of every feature, in output order."""
-    col = F.col
     return {
         "TenureGroup": tenure_group(),
         "WarehouseDistanceBucket": cut(
             "WarehouseToHome", c.DISTANCE_EDGES, c.DISTANCE_LABELS, include_lowest=True),
-        "OrderVelocity": col("OrderCount") / (col("DaySinceLastOrder") + 1.0),
-        "AppExposure": col("HourSpendOnApp") * col("NumberOfDeviceRegistered"),
-        "CashbackEfficiency": col("CashbackAmount") / (col("OrderCount") + 1.0),
-        "ComplaintFrictionIndex": F.try_divide(
-            col("Complain").cast("double"), col("SatisfactionScore").cast("double")),
+        "OrderVelocity": F.expr("OrderCount / (DaySinceLastOrder + 1.0D)"),
+        "AppExposure": F.expr("HourSpendOnApp * NumberOfDeviceRegistered"),
+        "CashbackEfficiency": F.expr("CashbackAmount / (OrderCount + 1.0D)"),
+        "ComplaintFrictionIndex": F.expr(
+            "try_divide(CAST(Complain AS DOUBLE), CAST(SatisfactionScore AS DOUBLE))"),
         "OrderFrequencyTier": cut(
             "OrderCount", c.FREQUENCY_EDGES, c.FREQUENCY_LABELS, include_lowest=True),
-        "CustomerLoyaltyScore": col("Tenure") * col("SatisfactionScore"),
-        "AddressStabilityIndex": col("NumberOfAddress") / (col("Tenure") + 1.0),
-        "TenureOrderRatio": col("OrderCount") / (col("Tenure") + 1.0),
-        "RawHealthIndex": (
-            col("SatisfactionScore") - 2.0 * col("Complain") + col("HourSpendOnApp") / 5.0),
-        "RuleBasedChurnIndicator": flag((col("Complain") == 1) & (col("SatisfactionScore") <= 2)),
+        "CustomerLoyaltyScore": F.expr("Tenure * SatisfactionScore"),
+        "AddressStabilityIndex": F.expr("NumberOfAddress / (Tenure + 1.0D)"),
+        "TenureOrderRatio": F.expr("OrderCount / (Tenure + 1.0D)"),
+        "RawHealthIndex": F.expr("SatisfactionScore - 2.0D * Complain + HourSpendOnApp / 5.0D"),
+        "RuleBasedChurnIndicator": flag("Complain = 1 AND SatisfactionScore <= 2"),
     }
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from churnloom import contract as c
 from churnloom import playbooks
 from churnloom.errors import KPICalculationError, require_columns
-from churnloom.functions import clip, cut, exact_mean, percent, round_even
+from churnloom.functions import clip, cut, exact_mean, number, percent, round_even
 from churnloom.plans.stages import literal_table
 
 INPUTS = ("SatisfactionScore", "Complain", "DaySinceLastOrder", "AppExposure", "Tenure")
@@ -16,22 +16,22 @@ INPUTS = ("SatisfactionScore", "Complain", "DaySinceLastOrder", "AppExposure", "
 
 def service_quality() -> Column:
     """Satisfaction on a 0..100 scale, 40 points less after a complaint."""
-    return clip(F.col("SatisfactionScore") / 5.0 * 100.0 - F.col("Complain") * 40.0, 0.0, 100.0)
+    return clip("SatisfactionScore / 5.0D * 100.0D - Complain * 40.0D", 0.0, 100.0)
 
 
 def purchase_momentum() -> Column:
     """100 on the day of an order, falling to 0 after 30 days."""
-    return clip((1.0 - F.col("DaySinceLastOrder") / 30.0) * 100.0, 0.0, 100.0)
+    return clip("(1.0D - DaySinceLastOrder / 30.0D) * 100.0D", 0.0, 100.0)
 
 
 def app_engagement() -> Column:
     """App exposure relative to 20."""
-    return clip(F.col("AppExposure") / 20.0 * 100.0, 0.0, 100.0)
+    return clip("AppExposure / 20.0D * 100.0D", 0.0, 100.0)
 
 
 def tenure_loyalty() -> Column:
     """Tenure relative to 48 months."""
-    return clip(F.col("Tenure") / 48.0 * 100.0, 0.0, 100.0)
+    return clip("Tenure / 48.0D * 100.0D", 0.0, 100.0)
 
 
 def score_health(df: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -52,9 +52,8 @@ def score_health(df: DataFrame, weights: dict[str, float] | None = None) -> Data
         "App_Engagement_Score": app_engagement(),
         "Tenure_Loyalty_Score": tenure_loyalty(),
     })
-    weighted = [F.col(column) * F.lit(float(w[key])) for key, column in parts.items()]
-    scored = scored.withColumn(
-        "CustomerHealthScore", round_even(sum(weighted[1:], weighted[0]), 2))
+    weighted = " + ".join(f"{column} * {number(w[key])}" for key, column in parts.items())
+    scored = scored.withColumn("CustomerHealthScore", round_even(weighted, 2))
     return scored.withColumns({
         "Health_Category": cut("CustomerHealthScore", c.HEALTH_EDGES, c.HEALTH_CATEGORIES),
         "Health_Grade": cut("CustomerHealthScore", c.HEALTH_EDGES, c.HEALTH_GRADES),

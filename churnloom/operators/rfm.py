@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from churnloom import contract as c
 from churnloom import playbooks
 from churnloom.errors import KPICalculationError, require_columns
-from churnloom.functions import exact_mean, lookup, round_even
+from churnloom.functions import exact_mean, lookup, number, round_even
 from churnloom.operators.order_stats import EXACT_ROWS, order_statistics, quantiles, unpivot_numeric
 from churnloom.plans.stages import literal_table
 
@@ -31,22 +31,23 @@ class QuintileCuts:
     tiebreak: tuple[str, ...]
     cuts: list[tuple]
 
-    def metric(self) -> Column:
-        value = F.col(self.column).cast("double")
+    def metric(self) -> str:
+        value = f"CAST({self.column} AS DOUBLE)"
         if self.fill is not None:
-            value = F.coalesce(value, F.lit(self.fill))
-        return value if self.larger_is_better else F.lit(0.0) - value
+            value = f"coalesce({value}, {number(self.fill)})"
+        return value if self.larger_is_better else f"(0.0D - {value})"
 
     def score(self) -> Column:
         """1 plus the number of cut rows that come before this row."""
-        terms = [self.metric(), *[F.col(name) for name in self.tiebreak]]
-        total = F.lit(1)
+        terms = [self.metric(), *self.tiebreak]
+        passed = []
         for row in self.cuts:
-            after = F.lit(False)
-            for term, value in reversed(list(zip(terms, row))):
-                after = (term > F.lit(value)) | ((term == F.lit(value)) & after)
-            total = total + after.cast("int")
-        return F.when(self.metric().isNotNull(), total)
+            after = "false"
+            for depth in reversed(range(len(row))):
+                value = number(row[0]) if depth == 0 else f"{row[depth]}L"
+                after = f"({terms[depth]} > {value} OR ({terms[depth]} = {value} AND {after}))"
+            passed.append(f" + CAST({after} AS INT)")
+        return F.expr(f"CASE WHEN {self.metric()} IS NOT NULL THEN 1{''.join(passed)} END")
 
 
 def fit_quintiles(df: DataFrame, metrics=c.RFM_METRICS, tiebreak=None,
@@ -56,14 +57,14 @@ def fit_quintiles(df: DataFrame, metrics=c.RFM_METRICS, tiebreak=None,
     Rows are ordered by (metric, customer, arrival); a missing metric counts as the median.
     """
     if tiebreak is None:
-        numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+        numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
         tiebreak = [n for n in (c.PRIMARY_KEY, c.SEQUENCE) if n in numeric]
     columns = [column for _, column, _ in metrics]
     fills, rows = _fills(df, columns, exact_rows)
     models = {
         score: QuintileCuts(column, better, fills.get(column), tuple(tiebreak), [])
         for score, column, better in metrics}
-    series = df.select(*tiebreak, *[m.metric().alias(score) for score, m in models.items()])
+    series = df.select(*tiebreak, *[F.expr(m.metric()).alias(score) for score, m in models.items()])
     long = unpivot_numeric(series, list(models), keep=tiebreak)
 
     found = order_statistics(
@@ -119,8 +120,8 @@ def score(df: DataFrame, cuts: dict[str, QuintileCuts]) -> DataFrame:
     parts = list(cuts)
     scored = df.withColumns({name: model.score() for name, model in cuts.items()})
     return scored.withColumns({
-        "RFM_Score": F.concat(*[F.col(p).cast("string") for p in parts]),
-        "RFM_Sum": sum((F.col(p) for p in parts[1:]), F.col(parts[0])),
+        "RFM_Score": F.expr(f"concat({', '.join(parts)})"),
+        "RFM_Sum": F.expr(" + ".join(parts)),
     })
 
 

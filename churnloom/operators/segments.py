@@ -18,30 +18,26 @@ INPUTS = (
 )
 
 
-def _either(left: Column, right: Column) -> Column:
-    """Holds when one side surely holds, whatever is unknown about the other."""
-    return F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False))
+# An OR holds when one side surely holds, whatever is unknown about the other.
+RULES = {
+    "is_champion": "RFM_Segment = 'Champions'",
+    "is_loyal": "RFM_Segment = 'Loyal Customers'",
+    "is_high_value": "CashbackAmount >= 220",
+    "is_growth": "TenureGroup = '6-12m' AND Complain = 0",
+    "is_frequent_buyer": "OrderCount >= 5",
+    "is_discount_seeker": "CouponUsed >= 3 OR CashbackAmount / (OrderCount + 1.0D) >= 60",
+    "is_mobile_first": "PreferredLoginDevice IN ('Mobile Phone', 'Phone')",
+    "is_high_engagement": "AppExposure >= 15",
+    "is_at_risk": "RFM_Segment = 'At Risk' OR RuleBasedChurnIndicator = 1",
+    "is_dissatisfied": "SatisfactionScore <= 2",
+    "is_complaint_prone": "Complain = 1",
+    "is_inactive": "DaySinceLastOrder >= 10",
+}
 
 
 def flag_columns() -> dict[str, Column]:
     """Flag name and rule; an unknown condition counts as not met."""
-    col = F.col
-    cashback_per_order = col("CashbackAmount") / (col("OrderCount") + 1.0)
-    rules = {
-        "is_champion": col("RFM_Segment") == "Champions",
-        "is_loyal": col("RFM_Segment") == "Loyal Customers",
-        "is_high_value": col("CashbackAmount") >= 220.0,
-        "is_growth": (col("TenureGroup") == "6-12m") & (col("Complain") == 0),
-        "is_frequent_buyer": col("OrderCount") >= 5.0,
-        "is_discount_seeker": _either(col("CouponUsed") >= 3.0, cashback_per_order >= 60.0),
-        "is_mobile_first": col("PreferredLoginDevice").isin("Mobile Phone", "Phone"),
-        "is_high_engagement": col("AppExposure") >= 15.0,
-        "is_at_risk": _either(col("RFM_Segment") == "At Risk", col("RuleBasedChurnIndicator") == 1),
-        "is_dissatisfied": col("SatisfactionScore") <= 2,
-        "is_complaint_prone": col("Complain") == 1,
-        "is_inactive": col("DaySinceLastOrder") >= 10.0,
-    }
-    return {name: flag(rule) for name, rule in rules.items()}
+    return {name: flag(rule) for name, rule in RULES.items()}
 
 
 def flag_segments(df: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnloom import contract as c
 from churnloom.functions import round_even
-from churnloom.ml import narrative
+from churnloom.ml import narrative, prep, train
 from churnloom.operators import (
     clean, feature_quality, features, health, ingest, kpi, profile, reports, rfm, risk, schema_checks,
     segments,
@@ -58,6 +59,32 @@ def _contributions(m: CustomerMart) -> DataFrame:
     return m.scored.withColumn("contributions", F.array(*entries))
 
 
+def _given(m: CustomerMart) -> DataFrame:
+    return m.scored.select(
+        F.col("Churn").alias("label"), F.col("Churn_Prediction").alias("prediction"))
+
+
+def _encoder(m: CustomerMart):
+    return prep.preprocessor().fit(prep.model_inputs(m.table))
+
+
+def _scaled(m: CustomerMart) -> DataFrame:
+    """Every standardised number of every customer."""
+    numbers = F.slice(vector_to_array(prep.SCALED), 1, len(c.MODEL_NUMERIC))
+    names = F.array(*[F.lit(n) for n in c.MODEL_NUMERIC])
+    encoded = prep.encode(_encoder(m), prep.model_inputs(m.table), keep=["CustomerID"])
+    return encoded.select("CustomerID", F.posexplode(numbers).alias("at", "scaled")).select(
+        "CustomerID", F.get(names, "at").alias("feature"), round_even("scaled", 6).alias("scaled"))
+
+
+def _board(m: CustomerMart) -> DataFrame:
+    return m.trained.leaderboard(m.table.sparkSession)
+
+
+def _candidate(name: str):
+    return lambda m: _board(m).where(F.col("algorithm") == name)
+
+
 def _profile_part(part: str):
     return lambda m: reports.customer_profiles(m.scored).select("CustomerID", f"{part}.*")
 
@@ -237,6 +264,37 @@ def definitions() -> dict:
         "x3_drivers": lambda m: narrative.driver_rows(narrative.local_explanations(_contributions(m))),
         "x4_narrative": lambda m: narrative.local_explanations(_contributions(m)).select(
             "CustomerID", "churn_probability", "risk_level", "executive_summary"),
+        "m12_confusion_given": lambda m: train.confusion(_given(m)),
+        "m12_rates_given": lambda m: train.rates(_given(m)),
+        # preparation of model inputs
+        "m1_model_inputs": lambda m: prep.model_inputs(m.table),
+        "m2_split_sizes": lambda m: prep.stratified_split(prep.model_inputs(m.table)).groupBy(
+            "label", "is_test").agg(F.count("*").alias("rows")),
+        "m2_fold_sizes": lambda m: prep.stratified_folds(prep.model_inputs(m.table)).groupBy(
+            "label", "fold").agg(F.count("*").alias("rows")),
+        "m3_class_balance": lambda m: prep.class_balance(
+            prep.stratified_split(prep.model_inputs(m.table)).where("NOT is_test")),
+        "m4_m6_encoded_inputs": lambda m: prep.encoded_totals(_encoder(m), prep.model_inputs(m.table)),
+        "m5_scaled_inputs": _scaled,
+        # trained models; results depend on the library, so only their rows are checked
+        "m7_logistic_regression": _candidate("LogisticRegression"),
+        "m8_random_forest": _candidate("RandomForest"),
+        "m9_gradient_boosting": _candidate("GradientBoosting"),
+        "m10_stochastic_boosting": _candidate("StochasticGradientBoosting"),
+        "m11_cross_validation": lambda m: _board(m).select("algorithm", "cv_f1_mean", "cv_f1_std"),
+        "m12_test_metrics": lambda m: _board(m).select(
+            "algorithm", "accuracy", "precision", "recall", "f1", "roc_auc", "tn", "fp", "fn", "tp"),
+        "m13_winner": lambda m: _board(m).where("is_best").select("algorithm", "f1"),
+        "m14_top_features": lambda m: train.top_features(m.trained.importance(m.table.sparkSession)),
+        "m15_leaderboard": _board,
+        "m16_batch_scoring": lambda m: m.predictor.predict(m.table).select("CustomerID", *risk_columns()),
+        "s7_s8_model_round_trip": lambda m: risk.tier_counts(m.predictor.predict(m.table)),
+        "x1_global_importance": lambda m: m.explainer.global_importance(m.table),
+        "x2_contributions": lambda m: m.explainer.contributions(m.table)[0].select(
+            "CustomerID", F.inline("contributions")),
+        "x3_x4_explanations": lambda m: m.explainer.explain(m.table).select(
+            "CustomerID", "churn_probability", "risk_level", "executive_summary"),
+        "x5_encoded_rows": lambda m: m.explainer.encoded(m.table).select("CustomerID", F.inline("inputs")),
         # mart service
         "d1_mart": lambda m: m.table,
         "d4_dashboard_summary": lambda m: reports.dashboard_summary(

@@ -7,12 +7,26 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from churnloom.ml import train
+from churnloom.ml.explain import ChurnExplainer
+from churnloom.ml.score import ChurnPredictor
 from churnloom.operators import clean, features, health, rfm, risk, segments
 from churnloom.plans.stages import cut, new_path
 from churnloom.sources.files import read_customers, write_table
 from churnloom.sources.landing import customer_table
 
 
+# Model sizes of the registered queries; ``train.Settings()`` are the full sizes.
+QUERY_SETTINGS = train.Settings(
+    trees=5, forest_depth=5, boosted_depth=4, step_size=0.2, max_iter=100, folds=5)
+
+
+def enrich(cleaned: DataFrame, cuts: dict[str, rfm.QuintileCuts]) -> DataFrame:
+    """Features, scores, segments, flags and health of cleaned rows; projections only."""
+    scored = rfm.assign_segments(rfm.score(features.build_features(cleaned), cuts))
+    return health.score_health(segments.flag_segments(scored))
+
+
 class CustomerMart:
     """Lazily built stages over one raw customer table.
 
@@ -44,8 +58,7 @@ class CustomerMart:
     @cached_property
     def table(self) -> DataFrame:
         """Every customer with features, scores, segments, flags and health."""
-        scored = rfm.assign_segments(rfm.score(self.featured, self.cuts))
-        return cut(health.score_health(segments.flag_segments(scored)), "mart")
+        return cut(enrich(self.cleaned.df, self.cuts), "mart")
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -53,6 +66,22 @@ class CustomerMart:
         stand_in = F.pmod(F.col("CustomerID") * 37, F.lit(1000)) / F.lit(1000.0)
         return risk.with_risk(self.table.withColumn("p", stand_in), "p").drop("p")
 
+    @cached_property
+    def trained(self) -> train.Trained:
+        """Small models of every kind, compared on this mart."""
+        return train.train(self.table, QUERY_SETTINGS)
+
+    @cached_property
+    def predictor(self) -> ChurnPredictor:
+        """The winner, written and read back."""
+        path = new_path(self.table.sparkSession, "model")
+        train.save(self.table.sparkSession, self.trained, path)
+        return ChurnPredictor.load(self.table.sparkSession, path)
+
+    @cached_property
+    def explainer(self) -> ChurnExplainer:
+        return ChurnExplainer(self.predictor)
+
 
 _MARTS: dict[tuple[str, str], CustomerMart] = {}
 

@@ -6,18 +6,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnloom.contract import SOURCE_TYPES
+from churnloom.functions import quote
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def _choose(selector, *values):
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (selector + 1).cast("int"))
+def _pick(selector: str, *values: str) -> str:
+    return f"element_at(array({', '.join(map(quote, values))}), CAST({selector} + 1 AS INT))"
 
 
-def _whole_days(later, earlier):
-    return F.datediff(later, earlier)
+def _known(modulus: int, gap: int, value: str) -> str:
+    """``value``, unknown for the customers whose number leaves remainder ``gap``."""
+    return f"CASE WHEN k % {modulus} != {gap} THEN {value} END"
+
+
+_OFTEN = "n_ret * 5 > n_lines * 2"
+# How each column of the contract follows from a customer's orders, lines and visits.
+SHAPES = {
+    "CustomerID": "k + 50001",
+    "Churn": f"CASE WHEN rec > 300 OR ({_OFTEN} AND k % 3 = 0) THEN 1 ELSE 0 END",
+    "Tenure": _known(21, 3, "(span % 1830) div 30"),
+    "PreferredLoginDevice": _pick("k % 4", "Mobile Phone", " Mobile Phone ", "Phone", "Computer"),
+    "CityTier": "1 + c_nationkey % 3",
+    "WarehouseToHome": _known(23, 4, "(CASE WHEN k % 50 = 0 THEN 126 ELSE 5 + (k * 13) % 31 END)"),
+    "PreferredPaymentMode": _pick(
+        "k % 7", "Debit Card", "Credit Card", "CC", "E wallet", "UPI", "COD", "Cash on Delivery"),
+    "Gender": _pick("k % 2", "Male", "Female"),
+    "HourSpendOnApp": _known(22, 5, "n_ev % 6"),
+    "NumberOfDeviceRegistered": "1 + n_supp % 6",
+    "PreferedOrderCat": (
+        "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Laptop & Accessory' WHEN 'BUILDING' THEN 'Mobile' "
+        "WHEN 'FURNITURE' THEN 'Mobile Phone' WHEN 'HOUSEHOLD' THEN 'Fashion' "
+        "WHEN 'MACHINERY' THEN 'Grocery' END"),
+    "SatisfactionScore": "1 + floor(abs(c_acctbal)) % 5",
+    "MaritalStatus": _pick("k % 3", "Single", "Married", "Divorced"),
+    "NumberOfAddress": "CASE WHEN k % 60 = 0 THEN 22 ELSE 1 + (k * 7) % 11 END",
+    "Complain": f"CASE WHEN {_OFTEN} THEN 1 ELSE 0 END",
+    "OrderAmountHikeFromlastYear": _known(24, 6, "11 + (k * 5) % 16"),
+    "CouponUsed": _known(25, 7, "n_disc div 4"),
+    "OrderCount": _known(26, 8, "n_recent"),
+    "DaySinceLastOrder": _known(19, 9, "floor(rec / 10.0D)"),
+    "CashbackAmount": "(cents div (n_all * 1000)) / 100",
+}
 
 
 def customer_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,7 +72,7 @@ def customer_table(spark: SparkSession, folder: str) -> DataFrame:
         F.min("o_orderdate").alias("first_d"),
         F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents"),
         F.count("*").alias("n_all"),
-        F.count_if(_whole_days(today, F.col("o_orderdate")) <= 1095).alias("n_recent"))
+        F.count_if(F.datediff(today, "o_orderdate") <= 1095).alias("n_recent"))
     lines = (
         read_table(spark, folder, "lineitem")
         .join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -51,51 +83,16 @@ def customer_table(spark: SparkSession, folder: str) -> DataFrame:
             F.countDistinct("l_suppkey").alias("n_supp")))
     visits = events.groupBy(F.col("user_id").alias("u")).agg(F.count("*").alias("n_ev"))
 
-    k = F.col("k")
     base = (
         read_table(spark, folder, "customer").withColumn("k", F.col("c_custkey"))
         .join(spend, "k", "left").join(lines, "k", "left")
-        .join(visits, k % F.lit(users) == F.col("u"), "left")
-        .withColumn("rec", _whole_days(today, F.col("last_d")))
-        .withColumn("span", _whole_days(F.col("last_d"), F.col("first_d"))))
-
-    returns_often = F.col("n_ret") * 5 > F.col("n_lines") * 2
-    hole = lambda m, r, value: F.when(k % m != r, value)
-    shapes = {
-        "CustomerID": k + 50001,
-        "Churn": F.when((F.col("rec") > 300) | (returns_often & (k % 3 == 0)), 1).otherwise(0),
-        "Tenure": hole(21, 3, F.expr("(span % 1830) div 30")),
-        "PreferredLoginDevice":
-            _choose(k % 4, "Mobile Phone", " Mobile Phone ", "Phone", "Computer"),
-        "CityTier": 1 + F.col("c_nationkey") % 3,
-        "WarehouseToHome": hole(23, 4, F.when(k % 50 == 0, 126).otherwise(5 + (k * 13) % 31)),
-        "PreferredPaymentMode": _choose(
-            k % 7, "Debit Card", "Credit Card", "CC", "E wallet", "UPI", "COD", "Cash on Delivery"),
-        "Gender": _choose(k % 2, "Male", "Female"),
-        "HourSpendOnApp": hole(22, 5, F.col("n_ev") % 6),
-        "NumberOfDeviceRegistered": 1 + F.col("n_supp") % 6,
-        "PreferedOrderCat":
-            F.when(F.col("c_mktsegment") == "AUTOMOBILE", "Laptop & Accessory")
-            .when(F.col("c_mktsegment") == "BUILDING", "Mobile")
-            .when(F.col("c_mktsegment") == "FURNITURE", "Mobile Phone")
-            .when(F.col("c_mktsegment") == "HOUSEHOLD", "Fashion")
-            .when(F.col("c_mktsegment") == "MACHINERY", "Grocery"),
-        "SatisfactionScore": 1 + F.floor(F.abs("c_acctbal")) % 5,
-        "MaritalStatus": _choose(k % 3, "Single", "Married", "Divorced"),
-        "NumberOfAddress": F.when(k % 60 == 0, 22).otherwise(1 + (k * 7) % 11),
-        "Complain": F.when(returns_often, 1).otherwise(0),
-        "OrderAmountHikeFromlastYear": hole(24, 6, 11 + (k * 5) % 16),
-        "CouponUsed": hole(25, 7, F.expr("n_disc div 4")),
-        "OrderCount": hole(26, 8, F.col("n_recent")),
-        "DaySinceLastOrder": hole(19, 9, F.floor(F.col("rec") / 10.0)),
-        "CashbackAmount": F.expr("cents div (n_all * 1000)") / 100,
-    }
-    rows = base.select(
-        *[shapes[name].cast(kind).alias(name) for name, kind in SOURCE_TYPES.items()], "k")
+        .join(visits, F.expr(f"k % {users} = u"), "left")
+        .withColumn("rec", F.datediff(today, "last_d"))
+        .withColumn("span", F.datediff("last_d", "first_d")))
+    rows = base.selectExpr(
+        *[f"CAST({SHAPES[name]} AS {kind}) AS {name}" for name, kind in SOURCE_TYPES.items()], "k")
     # One pass over the joined rows: each row lists the copies it is delivered in.
-    copies = F.filter(
-        F.array(F.lit(0), F.when(k % 101 == 7, 1), F.when(k % 97 == 5, 2)),
-        lambda seq: seq.isNotNull())
-    delivered = rows.withColumn("src_seq", F.explode(copies))
-    later = F.when(F.col("src_seq") == 2, 1.0).otherwise(0.0)
-    return delivered.withColumn("Tenure", F.col("Tenure") + later).drop("k")
+    delivered = rows.withColumn("src_seq", F.expr(
+        "explode(array_compact(array(0, IF(k % 101 = 7, 1, NULL), IF(k % 97 = 5, 2, NULL))))"))
+    return delivered.withColumn(
+        "Tenure", F.expr("Tenure + IF(src_seq = 2, 1.0D, 0.0D)")).drop("k")

@@ -25,7 +25,7 @@ def _cell(value):
     if value is None:
         return (0, "")
     if isinstance(value, float):
-        return (1, "nan") if math.isnan(value) else (1, repr(value + 0.0))
+        return (1, "nan") if math.isnan(value) else (1, repr(value))
     return (1, repr(value))
 
 

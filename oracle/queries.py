@@ -630,5 +630,47 @@ def report_queries() -> dict[str, str]:
     return q
 
 
+# --- model inputs -------------------------------------------------------------------------------------
+
+def model_queries() -> dict[str, str]:
+    numbers = ", ".join(f"CAST({n} AS DOUBLE) AS {n}" for n in c.MODEL_NUMERIC)
+    cats = ", ".join(c.MODEL_CATEGORICAL)
+    # Test rows: a fifth of each label, rounded up, in whole numbers.
+    sizes = "sz AS (SELECT Churn AS y, count(*) AS n FROM mart GROUP BY 1), st AS (SELECT y, n, (n * 2 + 9) // 10 AS t FROM sz)"
+    encoded = [
+        f"SELECT '{n}' AS feature, CAST({i} AS INTEGER) AS position, (SELECT count(*) FILTER (WHERE coalesce({n}, 1) <> 0) FROM mart) AS non_zero"
+        for i, n in enumerate(c.MODEL_NUMERIC)]
+    hot = union(
+        f"SELECT '{n}' || '_' || v AS feature, {i} AS col, v, n FROM (SELECT {n} AS v, count(*) AS n FROM mart WHERE {n} IS NOT NULL GROUP BY 1)"
+        for i, n in enumerate(c.MODEL_CATEGORICAL))
+    mean = lambda n: f"(CAST({n} AS DOUBLE) - (SELECT avg({n}) FROM mart)) / (SELECT stddev_samp({n}) FROM mart)"
+    given = "cm AS (SELECT " + ", ".join(
+        f"count(*) FILTER (WHERE Churn = {a} AND Churn_Prediction = {b}) AS {k}"
+        for k, a, b in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))) + " FROM scored)"
+    div = lambda a, b: rnd(f"CASE WHEN {b} = 0 THEN 0 ELSE CAST({a} AS DOUBLE) / ({b}) END", 4)
+    return {
+        "m12_confusion_given": upto("scored", "SELECT Churn AS label, Churn_Prediction AS prediction, count(*) AS rows FROM scored GROUP BY 1, 2"),
+        "m12_rates_given": upto("scored", (
+            f"SELECT tn, fp, fn, tp, {div('tp + tn', 'tp + tn + fp + fn')} AS accuracy, {div('tp', 'tp + fp')} AS precision, "
+            f"{div('tp', 'tp + fn')} AS recall, {div('2 * tp', '2 * tp + fp + fn')} AS f1 FROM cm"), given),
+        "m1_model_inputs": upto("mart", f"SELECT CustomerID, {numbers}, {cats}, CAST(Churn AS DOUBLE) AS label FROM mart"),
+        "m2_split_sizes": upto("mart", (
+            "SELECT CAST(y AS DOUBLE) AS label, TRUE AS is_test, CAST(t AS BIGINT) AS rows FROM st "
+            "UNION ALL SELECT CAST(y AS DOUBLE), FALSE, CAST(n - t AS BIGINT) FROM st"), sizes),
+        "m2_fold_sizes": upto("mart", (
+            "SELECT CAST(y AS DOUBLE) AS label, CAST(k AS INTEGER) AS fold, CAST(n * (k + 1) // 5 - n * k // 5 AS BIGINT) AS rows "
+            "FROM sz CROSS JOIN range(5) AS r(k)"), sizes),
+        "m3_class_balance": upto("mart", (
+            "SELECT CAST(sum(n - t) AS BIGINT) AS rows, CAST(sum(CASE WHEN y = 1 THEN n - t END) AS BIGINT) AS positives, "
+            "CAST(sum(CASE WHEN y = 0 THEN n - t END) AS BIGINT) AS negatives, CAST(sum(CASE WHEN y = 0 THEN n - t END) AS DOUBLE) / "
+            "sum(CASE WHEN y = 1 THEN n - t END) AS ratio FROM st"), sizes),
+        "m4_m6_encoded_inputs": upto("mart", (
+            union(encoded) + f" UNION ALL SELECT feature, CAST({len(c.MODEL_NUMERIC)} + row_number() OVER (ORDER BY col, v) - 1 AS INTEGER), n FROM ({hot})")),
+        "m5_scaled_inputs": upto("mart", union(
+            f"SELECT CustomerID, '{n}' AS feature, {rnd(mean(n), 6)} AS scaled FROM mart" for n in c.MODEL_NUMERIC)),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
-    return {**ingestion(), **profiles(), **cleaning(), **feature_queries(), **segment_queries(), **kpi_queries(), **report_queries()}
+    return {**ingestion(), **profiles(), **cleaning(), **feature_queries(), **segment_queries(), **kpi_queries(), **report_queries(),
+            **model_queries()}
