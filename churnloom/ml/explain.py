@@ -74,7 +74,13 @@ def leaves(spark, model):
                 child = nodes[node[side]]
                 share, low, high, members = tests.get(feature, (1.0, -np.inf, np.inf, None))
                 share *= cover(child) / cover(node)
-                if split["numCategories"] > 0:
+                if split["numCategories"] == 2 and len(bounds) == 1:
+                    # A one-hot input: its side of one half.
+                    if (side == "leftChild") == (bounds[0] == 0.0):
+                        high = min(high, 0.5)
+                    else:
+                        low = max(low, 0.5)
+                elif split["numCategories"] > 0:
                     way = set(bounds) if side == "leftChild" else (
                         set(map(float, range(split["numCategories"]))) - set(bounds))
                     members = way if members is None else members & way
@@ -102,8 +108,11 @@ def _leaf_contributions(leaf: Leaf, x: np.ndarray, out: np.ndarray) -> None:
     for j, members in enumerate(leaf.members):
         if members is not None:
             passed[:, j] &= np.isin(values[:, j], list(members))
-    patterns, which = np.unique(passed, axis=0, return_inverse=True)
     m = len(leaf.features)
+    _, first, which = np.unique(
+        passed @ (1 << np.arange(m, dtype=object if m > 62 else np.int64)),
+        return_index=True, return_inverse=True)
+    patterns = passed[first]
     weights = _shapley_weights(m)
     phi = np.zeros(patterns.shape)
     for i in range(m):
@@ -141,11 +150,18 @@ class ChurnExplainer:
     def __init__(self, predictor: ChurnPredictor):
         self.predictor = predictor
         self.names = prep.feature_names(predictor.stages)
+        self._prepared = None
 
     @classmethod
     def load(cls, spark, path: str) -> ChurnExplainer:
         return cls(ChurnPredictor.load(spark, path))
 
+    def _trees(self, spark):
+        """The function over the trees of the model, prepared once per explainer."""
+        if self._prepared is None:
+            self._prepared = tree_contributions(spark, self.predictor.model)
+        return self._prepared
+
     def encoded(self, df: DataFrame) -> DataFrame:
         """Customer and encoded inputs as (feature, value) pairs in vector order."""
         inputs = prep.model_inputs(df, target=None)
@@ -172,7 +188,7 @@ class ChurnExplainer:
                               for w, a in zip(weights, means)])
             found = F.zip_with(vector_to_array(prep.SCALED), pairs, lambda x, p: p["w"] * (x - p["a"]))
         else:
-            explain, expected = tree_contributions(spark, model)
+            explain, expected = self._trees(spark)
             found = explain(values)
         names = F.array(*[F.lit(n) for n in self.names])
         listed = scored.select(c.PRIMARY_KEY, "p", values.alias("_x"), found.alias("_c"))

@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from churnloom import contract as c
 from churnloom.errors import FeatureEngineeringError
-from churnloom.functions import is_missing, round_even
+from churnloom.functions import is_missing, number, quote, round_even
 from churnloom.operators.tidy import rows_from
+from churnloom.plans.stages import literal_table
 
 CORRELATION_LIMIT = 0.90
 
@@ -33,40 +34,84 @@ def missing_features(df: DataFrame, features=tuple(c.FEATURE_TYPES)) -> DataFram
          "known_values": F.col(n) if n in df.columns else F.lit(0).cast("bigint")} for n in features])
 
 
-def null_features(df: DataFrame, features=tuple(c.FEATURE_TYPES)) -> DataFrame:
-    """Features with missing values."""
+# Each check names its aggregates and the rows made from them, so that several checks can
+# share one scan. Cells are SQL text.
+
+def _nulls(df, features):
     kinds = dict(df.dtypes)
+    facts = {f"null_{n}": F.count_if(is_missing(n, kinds[n])) for n in _present(df, features)}
+    return facts, [{"kind": "'missing_values'", "feature": quote(n), "amount": f"null_{n}",
+                    "found": f"null_{n} > 0"} for n in _present(df, features)]
+
+
+def _infinities(df, features):
+    present = _numeric(df, features)
+    facts = {f"inf_{n}": F.expr(f"count_if(abs(CAST({n} AS DOUBLE)) = double('Infinity'))") for n in present}
+    return facts, [{"kind": "'infinite_values'", "feature": quote(n), "amount": f"inf_{n}",
+                    "found": f"inf_{n} > 0"} for n in present]
+
+
+def _constants(df, features):
+    """Exactly one distinct known value: the extremes agree."""
     present = _present(df, features)
-    counts = df.agg(*[F.count_if(is_missing(n, kinds[n])).alias(n) for n in present])
-    return rows_from(counts, [
-        {"feature": F.lit(n), "null_count": F.col(n)} for n in present]).where("null_count > 0")
+    facts = {f"{f}_{n}": F.expr(f"{f}({n})") for n in present for f in ("min", "max")}
+    return facts, [{"kind": "'constant'", "feature": quote(n), "amount": "CAST(NULL AS BIGINT)",
+                    "found": f"coalesce(min_{n} = max_{n}, false)"} for n in present]
+
+
+def _flat(df, features):
+    """Sample deviation zero or undefined."""
+    present = _numeric(df, features)
+    facts = {f"std_{n}": F.expr(f"stddev_samp({n})") for n in present}
+    return facts, [{"kind": "'zero_variance'", "feature": quote(n), "amount": "CAST(NULL AS BIGINT)",
+                    "found": f"coalesce(std_{n} = 0, true)"} for n in present]
+
+
+def _twins(df, features):
+    """Pairs of one type that agree in every row, gaps included."""
+    kinds = dict(df.dtypes)
+    pairs = [(a, b) for a, b in combinations(_present(df, features), 2) if kinds[a] == kinds[b]]
+    facts = {f"same_{a}__{b}": F.expr(f"bool_and({a} <=> {b})") for a, b in pairs}
+    return facts, [{"kind": "'duplicate'", "feature": quote(f"{a}~{b}"), "amount": "CAST(NULL AS BIGINT)",
+                    "found": f"coalesce(same_{a}__{b}, false)"} for a, b in pairs]
+
+
+def _run(df, *checks) -> DataFrame:
+    """Findings (kind, feature, amount) of checks that share one aggregate."""
+    facts = {name: column for check in checks for name, column in check[0].items()}
+    rows = [row for check in checks for row in check[1]]
+    if not rows:
+        return df.select(F.lit("").alias("kind"), F.lit("").alias("feature"),
+                         F.lit(None).cast("bigint").alias("amount")).limit(0)
+    aggregate = df.agg(*[column.alias(name) for name, column in facts.items()])
+    return rows_from(aggregate, rows).where("found").drop("found")
+
+
+def null_features(df: DataFrame, features=tuple(c.FEATURE_TYPES)) -> DataFrame:
+    """Features with missing values."""
+    return _run(df, _nulls(df, features)).select("feature", F.col("amount").alias("null_count"))
 
 
 def infinite_features(df: DataFrame, features=tuple(c.FEATURE_TYPES)) -> DataFrame:
     """Numeric features with infinite values."""
-    present = _numeric(df, features)
-    infinite = F.lit(float("inf"))
-    counts = df.agg(*[F.count_if(F.abs(F.col(n).cast("double")) == infinite).alias(n) for n in present])
-    return rows_from(counts, [
-        {"feature": F.lit(n), "infinite_count": F.col(n)} for n in present]).where("infinite_count > 0")
+    return _run(df, _infinities(df, features)).select("feature", F.col("amount").alias("infinite_count"))
 
 
 def constant_features(df: DataFrame, features=tuple(c.FEATURE_TYPES)) -> DataFrame:
-    """Features with exactly one distinct known value: their extremes agree."""
-    present = _present(df, features)
-    ends = df.agg(*[a.alias(f"{p}_{n}") for n in present for p, a in (("lo", F.min(n)), ("hi", F.max(n)))])
-    return rows_from(ends, [
-        {"feature": F.lit(n), "constant": F.coalesce(F.col(f"lo_{n}") == F.col(f"hi_{n}"), F.lit(False))}
-        for n in present]).where("constant").select("feature")
+    """Features with exactly one distinct known value."""
+    return _run(df, _constants(df, features)).select("feature")
 
 
 def zero_variance(df: DataFrame, features=tuple(c.FEATURE_TYPES)) -> DataFrame:
     """Numeric features whose sample deviation is zero or undefined."""
-    present = _numeric(df, features)
-    spread = df.agg(*[F.stddev_samp(n).alias(n) for n in present])
-    return rows_from(spread, [
-        {"feature": F.lit(n), "zero": F.coalesce(F.col(n) == 0.0, F.lit(True))}
-        for n in present]).where("zero").select("feature")
+    return _run(df, _flat(df, features)).select("feature")
+
+
+def duplicate_features(df: DataFrame, features=tuple(c.FEATURE_TYPES)) -> DataFrame:
+    """Pairs of features that agree in every row."""
+    sides = F.split("feature", "~")
+    return _run(df, _twins(df, features)).select(
+        sides[0].alias("feature_a"), sides[1].alias("feature_b"))
 
 
 def _pearson(a: str, b: str):
@@ -74,35 +119,31 @@ def _pearson(a: str, b: str):
 
     The built-in ``corr`` fails on a column without variance when ANSI mode is on.
     """
-    left, right = F.col(a).cast("double"), F.col(b).cast("double")
-    x, y = F.when(right.isNotNull(), left), F.when(left.isNotNull(), right)
-    ratio = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    return F.nanvl(ratio, F.lit(None).cast("double"))
+    x = f"CASE WHEN {b} IS NOT NULL THEN CAST({a} AS DOUBLE) END"
+    y = f"CASE WHEN {a} IS NOT NULL THEN CAST({b} AS DOUBLE) END"
+    return F.expr(f"nanvl(try_divide(covar_pop({x}, {y}), stddev_pop({x}) * stddev_pop({y})), NULL)")
+
+
+def _pairs(df, features, target=None):
+    numeric = _numeric(df, features)
+    return list(combinations(numeric, 2)), ([(n, target) for n in numeric] if target else [])
+
+
+def _coefficients(df, pairs):
+    return df.agg(*[_pearson(a, b).alias(f"{a}__{b}") for a, b in pairs])
 
 
 def correlations(df: DataFrame, features=tuple(c.FEATURE_TYPES)) -> DataFrame:
     """Pearson coefficient of every pair of numeric features, all in one aggregate."""
-    pairs = list(combinations(_numeric(df, features), 2))
-    coefficients = df.agg(*[_pearson(a, b).alias(f"{a}~{b}") for a, b in pairs])
-    return rows_from(coefficients, [
-        {"feature_a": F.lit(a), "feature_b": F.lit(b), "coefficient": F.col(f"`{a}~{b}`")}
-        for a, b in pairs])
+    pairs, _ = _pairs(df, features)
+    return rows_from(_coefficients(df, pairs), [
+        {"feature_a": quote(a), "feature_b": quote(b), "coefficient": f"{a}__{b}"} for a, b in pairs])
 
 
 def high_correlation(df: DataFrame, features=tuple(c.FEATURE_TYPES), threshold=CORRELATION_LIMIT):
     """Pairs of features whose coefficient exceeds the threshold in size."""
     return correlations(df, features).where(F.abs("coefficient") > threshold).select(
-        "feature_a", "feature_b", round_even(F.abs("coefficient"), 4).alias("correlation_coef"))
-
-
-def duplicate_features(df: DataFrame, features=tuple(c.FEATURE_TYPES)) -> DataFrame:
-    """Pairs of features of one type that agree in every row, gaps included."""
-    kinds = dict(df.dtypes)
-    pairs = [(a, b) for a, b in combinations(_present(df, features), 2) if kinds[a] == kinds[b]]
-    agree = df.agg(*[F.bool_and(F.col(a).eqNullSafe(F.col(b))).alias(f"{a}~{b}") for a, b in pairs])
-    return rows_from(agree, [
-        {"feature_a": F.lit(a), "feature_b": F.lit(b), "same": F.coalesce(F.col(f"`{a}~{b}`"), F.lit(False))}
-        for a, b in pairs]).where("same").drop("same")
+        "feature_a", "feature_b", round_even("abs(coefficient)", 4).alias("correlation_coef"))
 
 
 def type_mismatches(df: DataFrame, expected: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -119,34 +160,37 @@ def type_mismatches(df: DataFrame, expected: dict[str, tuple[str, ...]] | None =
 def target_leakage(df: DataFrame, features=tuple(c.FEATURE_TYPES), target: str = c.TARGET,
                    threshold: float = CORRELATION_LIMIT) -> DataFrame:
     """Correlation of every numeric feature with the target and whether it gives it away."""
-    present = _numeric(df, features)
-    coefficients = df.agg(*[_pearson(n, target).alias(n) for n in present])
-    return rows_from(coefficients, [
-        {"feature": F.lit(n), "correlation_with_target": round_even(n, 4),
-         "leaks": F.coalesce(F.abs(n) > threshold, F.lit(False))} for n in present])
+    _, pairs = _pairs(df, features, target)
+    scale = "rint({0} * 10000.0D) / 10000.0D"
+    return rows_from(_coefficients(df, pairs), [
+        {"feature": quote(a), "correlation_with_target": scale.format(f"{a}__{b}"),
+         "leaks": f"coalesce(abs({a}__{b}) > {threshold}, false)"} for a, b in pairs])
 
 
 def all_findings(df: DataFrame, features=tuple(c.FEATURE_TYPES), types=None, target: str = c.TARGET):
-    """Every finding as (kind, feature); pairs are written a~b."""
-    wanted = {n: (types or c.FEATURE_TYPES).get(n, ()) for n in features}
-    pair = F.concat_ws("~", "feature_a", "feature_b").alias("feature")
-    parts = {
-        "missing_feature": missing_features(df, features).where("NOT present").select("feature"),
-        "missing_values": null_features(df, features).select("feature"),
-        "infinite_values": infinite_features(df, features).select("feature"),
-        "constant": constant_features(df, features),
-        "zero_variance": zero_variance(df, features),
-        "high_correlation": high_correlation(df, features).select(pair),
-        "duplicate": duplicate_features(df, features).select(pair),
-        "type_mismatch": type_mismatches(df, wanted).where("NOT conforms").select("feature"),
-    }
-    if target in df.columns:
-        parts["target_leakage"] = target_leakage(df, features, target).where("leaks").select("feature")
-    united = None
-    for kind, found in parts.items():
-        rows = found.select(F.lit(kind).alias("kind"), "feature")
-        united = rows if united is None else united.unionByName(rows)
-    return united
+    """Every finding as (kind, feature); pairs are written a~b.
+
+    Two scans: one for the plain aggregates, one for all correlations.
+    """
+    kinds = dict(df.dtypes)
+    wanted = types or c.FEATURE_TYPES
+    plain = _run(df, *[check(df, features) for check in (_nulls, _infinities, _constants, _flat, _twins)])
+    pairs, leaks = _pairs(df, features, target if target in df.columns else None)
+    found = plain.select("kind", "feature")
+    if pairs or leaks:
+        limit = number(CORRELATION_LIMIT)
+        rows = [{"kind": kind, "feature": name, "found": f"coalesce(abs({a}__{b}) > {limit}, false)"}
+                for kind, name, a, b in (
+                    [("'high_correlation'", quote(f"{a}~{b}"), a, b) for a, b in pairs]
+                    + [("'target_leakage'", quote(a), a, b) for a, b in leaks])]
+        found = found.unionByName(
+            rows_from(_coefficients(df, pairs + leaks), rows).where("found").drop("found"))
+    known = [("missing_feature", n) for n in features if n not in kinds]
+    known += [("type_mismatch", n) for n in features if n in kinds and kinds[n] not in wanted.get(n, ())]
+    if known:
+        found = found.unionByName(literal_table(df.sparkSession, {
+            "kind": [k for k, _ in known], "feature": [n for _, n in known]}))
+    return found
 
 
 def quality_score(df: DataFrame, features=tuple(c.FEATURE_TYPES), types=None, target: str = c.TARGET):

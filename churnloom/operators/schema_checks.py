@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnloom import contract as c
 from churnloom.errors import SchemaValidationError
-from churnloom.functions import is_missing, percent, round_even
+from churnloom.functions import is_missing, number, quote
 from churnloom.operators.clean import business_columns
 from churnloom.operators.tidy import rows_from
 from churnloom.plans.stages import literal_table
@@ -43,18 +43,17 @@ FINDING = T.StructType([
 ])
 
 
-def _text(value) -> Column:
-    return (value if isinstance(value, Column) else F.lit(value)).cast("string")
-
-
-def _finding(rule, column, severity, message, *values, found=None, **details) -> dict[str, Column]:
-    pairs = [x for k, v in details.items() for x in (F.lit(k), _text(v))]
+def _finding(rule, column, severity, message, *values: str, found: str = "true", **details: str):
+    """One row of SQL cells. ``values`` and ``details`` are SQL text themselves."""
+    texts = [f"CAST({v} AS STRING)" for v in values]
+    template = quote(MESSAGES[message])
+    pairs = ", ".join(f"{quote(k)}, CAST({v} AS STRING)" for k, v in details.items())
     return {
-        "rule": F.lit(rule), "column": F.lit(column).cast("string"), "severity": F.lit(severity),
-        "message": F.format_string(MESSAGES[message], *[_text(v) for v in values])
-        if values else F.lit(MESSAGES[message]),
-        "details": F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>"),
-        "found": F.lit(True) if found is None else F.coalesce(found, F.lit(False)),
+        "rule": quote(rule), "column": "CAST(NULL AS STRING)" if column is None else quote(column),
+        "severity": quote(severity),
+        "message": f"format_string({', '.join([template, *texts])})" if texts else template,
+        "details": f"CAST(map({pairs}) AS MAP<STRING, STRING>)",
+        "found": f"coalesce({found}, false)",
     }
 
 
@@ -68,23 +67,24 @@ def _counted(df: DataFrame, extra=()):
     return df.agg(F.count("*").alias("_rows"), *extra)
 
 
-def _grouped_digits(value: Column) -> Column:
-    return F.format_number(value, 0)
+def _share(part: str, whole: str, digits: int) -> str:
+    scale = number(10 ** digits)
+    return f"(rint({part} / {whole} * 100.0D * {scale}) / {scale})"
 
 
 def _presence_rows(df):
     present = business_columns(df)
-    rows = [_finding("column_presence", r.name, "critical", "missing", r.name)
+    rows = [_finding("column_presence", r.name, "critical", "missing", quote(r.name))
             for r in c.RULES if r.mandatory and r.name not in present]
     extras = sorted(n for n in present if n not in c.BY_NAME)
-    return rows + [_finding("column_presence", n, "info", "extra", n) for n in extras]
+    return rows + [_finding("column_presence", n, "info", "extra", quote(n)) for n in extras]
 
 
 def _type_rows(df):
     kinds = dict(df.dtypes)
     return [
-        _finding("data_type", r.name, "warning", "type", r.name, kinds[r.name],
-                 str(list(r.types)), actual_dtype=kinds[r.name])
+        _finding("data_type", r.name, "warning", "type", quote(r.name), quote(kinds[r.name]),
+                 quote(str(list(r.types))), actual_dtype=quote(kinds[r.name]))
         for r in c.RULES if r.name in kinds and kinds[r.name] not in r.types]
 
 
@@ -99,12 +99,12 @@ def _null_rows(df):
     for r in c.RULES:
         if r.name not in df.columns:
             continue
-        count = F.col(f"nulls_{r.name}")
-        share = round_even(percent(count, "_rows"), 2)
+        count = f"nulls_{r.name}"
+        share = _share(count, "_rows", 2)
         kind = "nullable" if r.nullable else "not_null"
         rows.append(_finding(
             "nullability", r.name, "info" if r.nullable else "critical", kind,
-            r.name, _grouped_digits(count), share, found=count > 0,
+            quote(r.name), f"format_number({count}, 0)", share, found=f"{count} > 0",
             null_count=count, null_percentage=share))
     return rows
 
@@ -116,12 +116,12 @@ def _bounded(df):
 def _range_facts(df):
     facts = []
     for r in _bounded(df):
-        value = F.col(r.name).cast("double")
-        facts += [F.min(value).alias(f"min_{r.name}"), F.max(value).alias(f"max_{r.name}")]
+        value = f"CAST({r.name} AS DOUBLE)"
+        facts += [F.expr(f"min({value}) AS min_{r.name}"), F.expr(f"max({value}) AS max_{r.name}")]
         if r.low is not None:
-            facts.append(F.count_if(value < float(r.low)).alias(f"below_{r.name}"))
+            facts.append(F.expr(f"count_if({value} < {r.low}) AS below_{r.name}"))
         if r.high is not None:
-            facts.append(F.count_if(value > float(r.high)).alias(f"above_{r.name}"))
+            facts.append(F.expr(f"count_if({value} > {r.high}) AS above_{r.name}"))
     return facts
 
 
@@ -131,11 +131,11 @@ def _range_rows(df):
         for side, limit, extreme in (("below", r.low, "min"), ("above", r.high, "max")):
             if limit is None:
                 continue
-            count, actual = F.col(f"{side}_{r.name}"), F.col(f"{extreme}_{r.name}")
+            count, actual = f"{side}_{r.name}", f"{extreme}_{r.name}"
             rows.append(_finding(
-                "numeric_range", r.name, "warning", side, r.name, count, limit, actual,
-                found=count > 0, boundary=extreme, threshold=limit, actual_extreme=actual,
-                violation_count=count))
+                "numeric_range", r.name, "warning", side, quote(r.name), count, str(limit), actual,
+                found=f"{count} > 0", boundary=quote(extreme), threshold=str(limit),
+                actual_extreme=actual, violation_count=count))
     return rows
 
 
@@ -146,21 +146,22 @@ def _drift_rows(df, baseline_rows, baseline_columns):
     rows = []
     if len(columns) != expected:
         rows.append(_finding(
-            "schema_drift", None, "warning", "column_drift", expected, len(columns),
-            expected_columns=expected, actual_columns=len(columns), delta=len(columns) - expected))
+            "schema_drift", None, "warning", "column_drift", str(expected),
+            str(len(columns)), expected_columns=str(expected), actual_columns=str(len(columns)),
+            delta=str(len(columns) - expected)))
     if base > 0:
-        deviation = F.abs(F.col("_rows") - base) / F.lit(float(base))
+        deviation = f"(abs(_rows - {base}) / {number(base)})"
         rows.append(_finding(
-            "schema_drift", None, "warning", "row_drift", f"{base:,}", _grouped_digits(F.col("_rows")),
-            F.rint(deviation * 100.0).cast("bigint"), found=deviation > ROW_DRIFT,
-            expected_rows=base, actual_rows=F.col("_rows"),
-            deviation_pct=round_even(deviation * 100.0, 1)))
+            "schema_drift", None, "warning", "row_drift", quote(f"{base:,}"),
+            "format_number(_rows, 0)", f"CAST(rint({deviation} * 100.0D) AS BIGINT)",
+            found=f"{deviation} > {ROW_DRIFT}", expected_rows=str(base), actual_rows="_rows",
+            deviation_pct=f"rint({deviation} * 100.0D * 10.0D) / 10.0D"))
     ordered = [r.name for r in c.RULES if r.name in columns]
     actual = [n for n in columns if n in c.BY_NAME]
     if ordered != actual:
         rows.append(_finding(
             "schema_drift", None, "info", "order_drift",
-            expected_order=",".join(ordered[:5]), actual_order=",".join(actual[:5])))
+            expected_order=quote(",".join(ordered[:5])), actual_order=quote(",".join(actual[:5]))))
     return rows
 
 
@@ -202,10 +203,9 @@ def check_unique(df: DataFrame) -> DataFrame:
         sample = repeated.orderBy("key").limit(SAMPLE_KEYS).agg(
             F.sort_array(F.collect_list("key")).alias("sample")).withColumn("column", F.lit(r.name))
         rows = _findings(totals.join(sample, "column"), [_finding(
-            "uniqueness", r.name, "critical", "unique", r.name, F.col("rows"), F.col("keys"),
-            found=F.col("keys") > 0, duplicate_row_count=F.col("rows"),
-            unique_duplicated_keys=F.col("keys"),
-            sample_keys=F.array_join(F.col("sample").cast("array<string>"), ","))])
+            "uniqueness", r.name, "critical", "unique", quote(r.name), "rows", "keys",
+            found="keys > 0", duplicate_row_count="rows", unique_duplicated_keys="keys",
+            sample_keys="array_join(CAST(sample AS ARRAY<STRING>), ',')")])
         found = rows if found is None else found.unionByName(rows)
     return found if found is not None else df.sparkSession.createDataFrame([], FINDING)
 
@@ -237,9 +237,9 @@ def check_domains(df: DataFrame) -> DataFrame:
         F.count("*").alias("n_values"), F.sum("row_count").alias("n_rows"))
     return per_column.select(
         F.lit("categorical_domain").alias("rule"), "column", F.lit("warning").alias("severity"),
-        F.format_string(MESSAGES["domain"], "column", _text(F.col("n_values"))).alias("message"),
-        F.create_map(F.lit("invalid_values"), _text(F.col("n_values")),
-                     F.lit("row_count"), _text(F.col("n_rows"))).alias("details"))
+        F.format_string(MESSAGES["domain"], "column", F.col("n_values").cast("string")).alias("message"),
+        F.expr("map('invalid_values', CAST(n_values AS STRING), 'row_count', CAST(n_rows AS STRING))")
+        .alias("details"))
 
 
 def all_findings(df: DataFrame, baseline_rows: int | None = None) -> DataFrame:
@@ -286,12 +286,17 @@ def registry_table(df: DataFrame) -> DataFrame:
     kinds = dict(df.dtypes)
     known = df.agg(F.count("*").alias("_rows"), *[
         F.count(r.name).alias(r.name) for r in c.RULES if r.name in kinds])
-    joined = lambda values: None if values is None else ",".join(str(v) for v in values)
+    def text(values):
+        return "CAST(NULL AS STRING)" if values is None else quote(",".join(str(v) for v in values))
+
+    def bound(value):
+        return "CAST(NULL AS DOUBLE)" if value is None else number(value)
+
     return rows_from(known, [{
-        "name": F.lit(r.name), "category": F.lit(r.category), "types": F.lit(joined(r.types)),
-        "nullability": F.lit(r.nullability), "is_mandatory": F.lit(r.mandatory),
-        "unique": F.lit(r.unique), "allowed_values": F.lit(joined(r.allowed)).cast("string"),
-        "min_value": F.lit(r.low).cast("double"), "max_value": F.lit(r.high).cast("double"),
-        "description": F.lit(r.description), "actual_type": F.lit(kinds.get(r.name)).cast("string"),
-        "known_values": F.col(r.name) if r.name in kinds else F.lit(0).cast("bigint"),
+        "name": quote(r.name), "category": quote(r.category), "types": text(r.types),
+        "nullability": quote(r.nullability), "is_mandatory": str(r.mandatory).lower(),
+        "unique": str(r.unique).lower(), "allowed_values": text(r.allowed),
+        "min_value": bound(r.low), "max_value": bound(r.high), "description": quote(r.description),
+        "actual_type": text([kinds[r.name]] if r.name in kinds else None),
+        "known_values": r.name if r.name in kinds else "0L",
     } for r in c.RULES])

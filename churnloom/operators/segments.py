@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from churnloom import contract as c
 from churnloom import playbooks
 from churnloom.errors import KPICalculationError, require_columns
-from churnloom.functions import flag, percent, round_even
+from churnloom.functions import flag, quote
 from churnloom.operators.tidy import rows_from
 
 INPUTS = (
@@ -48,17 +48,16 @@ def flag_segments(df: DataFrame) -> DataFrame:
 
 def cohort_summary(df: DataFrame) -> DataFrame:
     """Size, share, churn and strategy of every cohort, empty ones included; one pass."""
-    members = [F.sum(F.col(f)).alias(f"n_{f}") for f in c.FLAG_LABELS]
-    churn = [F.avg(F.when(F.col(f) == 1, F.col("Churn"))).alias(f"churn_{f}") for f in c.FLAG_LABELS]
-    none = F.lit(0).cast("bigint")
+    members = [F.expr(f"coalesce(sum({f}), 0L) AS n_{f}") for f in c.FLAG_LABELS]
+    churn = [F.expr(f"coalesce(avg(CASE WHEN {f} = 1 THEN Churn END), 0.0D) AS churn_{f}")
+             for f in c.FLAG_LABELS]
     rows = []
     for name, label in c.FLAG_LABELS.items():
-        count = F.coalesce(F.col(f"n_{name}"), none)
         texts = dict(zip(playbooks.COHORT_FIELDS, playbooks.COHORT_TEXTS[label]))
         rows.append({
-            "cohort": F.lit(label), "flag": F.lit(name), "customer_count": count,
-            "percentage": round_even(percent(count, "total"), 2),
-            "segment_churn_rate_pct":
-                round_even(F.coalesce(F.col(f"churn_{name}"), F.lit(0.0)) * 100.0, 2),
-            **{key: F.lit(text) for key, text in texts.items()}})
+            "cohort": quote(label), "flag": quote(name), "customer_count": f"n_{name}",
+            "percentage":
+                f"CASE WHEN total > 0 THEN rint(n_{name} / total * 100.0D * 100.0D) / 100.0D ELSE 0.0D END",
+            "segment_churn_rate_pct": f"rint(churn_{name} * 100.0D * 100.0D) / 100.0D",
+            **{key: quote(text) for key, text in texts.items()}})
     return rows_from(df.agg(F.count("*").alias("total"), *members, *churn), rows)
