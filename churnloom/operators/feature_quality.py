@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,30 +114,38 @@ def duplicate_features(df: DataFrame, features=tuple(c.FEATURE_TYPES)) -> DataFr
         sides[0].alias("feature_a"), sides[1].alias("feature_b"))
 
 
-def _pearson(a: str, b: str):
-    """Coefficient over the rows where both are known; null when one does not vary.
+def _numeric_pairs(df, features, target=None):
+    """Pairs of numeric features, and each of them with the target."""
+    numeric = _numeric(df, features)
+    return list(combinations(numeric, 2)), ([(n, target) for n in numeric] if target else [])
 
-    The built-in ``corr`` fails on a column without variance when ANSI mode is on.
-    """
-    x = f"CASE WHEN {b} IS NOT NULL THEN CAST({a} AS DOUBLE) END"
-    y = f"CASE WHEN {a} IS NOT NULL THEN CAST({b} AS DOUBLE) END"
-    return F.expr(f"nanvl(try_divide(covar_pop({x}, {y}), stddev_pop({x}) * stddev_pop({y})), NULL)")
 
+def _coefficients(df: DataFrame, pairs) -> DataFrame:
+    """Pearson coefficient per pair over the rows where both are known: (pair, coefficient).
 
-def _pairs(df, features, target=None):
-    numeric = _numeric(df, features)
-    return list(combinations(numeric, 2)), ([(n, target) for n in numeric] if target else [])
+    Every row lists its pairs, which combine per partition into one group per pair. The
+    moments are the same as in one wide aggregate, but the loop stays small enough to be
+    compiled. The coefficient is null when one side does not vary; the built-in ``corr``
+    fails on such a column in ANSI mode.
+    """
+    cells = ", ".join(
+        f"named_struct('pair', {i}, 'x', CASE WHEN {b} IS NOT NULL THEN CAST({a} AS DOUBLE) END, "
+        f"'y', CASE WHEN {a} IS NOT NULL THEN CAST({b} AS DOUBLE) END)"
+        for i, (a, b) in enumerate(pairs))
+    return df.select(F.expr(f"inline(array({cells}))")).groupBy("pair").agg(F.expr(
+        "nanvl(try_divide(covar_pop(x, y), stddev_pop(x) * stddev_pop(y)), NULL) AS coefficient"))
 
 
-def _coefficients(df, pairs):
-    return df.agg(*[_pearson(a, b).alias(f"{a}__{b}") for a, b in pairs])
+def _named(names) -> Column:
+    return F.expr(f"element_at(array({', '.join(map(quote, names))}), pair + 1)")
 
 
 def correlations(df: DataFrame, features=tuple(c.FEATURE_TYPES)) -> DataFrame:
-    """Pearson coefficient of every pair of numeric features, all in one aggregate."""
-    pairs, _ = _pairs(df, features)
-    return rows_from(_coefficients(df, pairs), [
-        {"feature_a": quote(a), "feature_b": quote(b), "coefficient": f"{a}__{b}"} for a, b in pairs])
+    """Pearson coefficient of every pair of numeric features, in one grouping."""
+    pairs, _ = _numeric_pairs(df, features)
+    return _coefficients(df, pairs).select(
+        _named([a for a, _ in pairs]).alias("feature_a"), _named([b for _, b in pairs]).alias("feature_b"),
+        "coefficient")
 
 
 def high_correlation(df: DataFrame, features=tuple(c.FEATURE_TYPES), threshold=CORRELATION_LIMIT):
@@ -160,11 +168,11 @@ def type_mismatches(df: DataFrame, expected: dict[str, tuple[str, ...]] | None =
 def target_leakage(df: DataFrame, features=tuple(c.FEATURE_TYPES), target: str = c.TARGET,
                    threshold: float = CORRELATION_LIMIT) -> DataFrame:
     """Correlation of every numeric feature with the target and whether it gives it away."""
-    _, pairs = _pairs(df, features, target)
-    scale = "rint({0} * 10000.0D) / 10000.0D"
-    return rows_from(_coefficients(df, pairs), [
-        {"feature": quote(a), "correlation_with_target": scale.format(f"{a}__{b}"),
-         "leaks": f"coalesce(abs({a}__{b}) > {threshold}, false)"} for a, b in pairs])
+    _, pairs = _numeric_pairs(df, features, target)
+    return _coefficients(df, pairs).select(
+        _named([a for a, _ in pairs]).alias("feature"),
+        round_even("coefficient", 4).alias("correlation_with_target"),
+        F.expr(f"coalesce(abs(coefficient) > {number(threshold)}, false)").alias("leaks"))
 
 
 def all_findings(df: DataFrame, features=tuple(c.FEATURE_TYPES), types=None, target: str = c.TARGET):
@@ -175,16 +183,14 @@ def all_findings(df: DataFrame, features=tuple(c.FEATURE_TYPES), types=None, tar
     kinds = dict(df.dtypes)
     wanted = types or c.FEATURE_TYPES
     plain = _run(df, *[check(df, features) for check in (_nulls, _infinities, _constants, _flat, _twins)])
-    pairs, leaks = _pairs(df, features, target if target in df.columns else None)
     found = plain.select("kind", "feature")
-    if pairs or leaks:
-        limit = number(CORRELATION_LIMIT)
-        rows = [{"kind": kind, "feature": name, "found": f"coalesce(abs({a}__{b}) > {limit}, false)"}
-                for kind, name, a, b in (
-                    [("'high_correlation'", quote(f"{a}~{b}"), a, b) for a, b in pairs]
-                    + [("'target_leakage'", quote(a), a, b) for a, b in leaks])]
+    among, leaks = _numeric_pairs(df, features, target if target in kinds else None)
+    if among or leaks:
+        kind = _named(["high_correlation"] * len(among) + ["target_leakage"] * len(leaks))
+        name = _named([f"{a}~{b}" for a, b in among] + [a for a, _ in leaks])
         found = found.unionByName(
-            rows_from(_coefficients(df, pairs + leaks), rows).where("found").drop("found"))
+            _coefficients(df, among + leaks).where(F.abs("coefficient") > CORRELATION_LIMIT)
+            .select(kind.alias("kind"), name.alias("feature")))
     known = [("missing_feature", n) for n in features if n not in kinds]
     known += [("type_mismatch", n) for n in features if n in kinds and kinds[n] not in wanted.get(n, ())]
     if known:

@@ -13,6 +13,7 @@ from churnloom.operators import (
     clean, feature_quality, features, health, ingest, kpi, profile, reports, rfm, risk, schema_checks,
     segments,
 )
+from churnloom.plans import service
 from churnloom.plans.mart import CustomerMart, mart_for
 from churnloom.plans.stages import new_path
 from churnloom.sources import files
@@ -77,6 +78,19 @@ def _scaled(m: CustomerMart) -> DataFrame:
         "CustomerID", F.get(names, "at").alias("feature"), round_even("scaled", 6).alias("scaled"))
 
 
+def _saved_reports(m: CustomerMart) -> DataFrame:
+    """Every report written, read back and counted."""
+    spark, folder = m.table.sparkSession, new_path(m.table.sparkSession, "reports")
+    tables = service.report_tables(m, m.scored)
+    service.write_reports(tables, folder)
+    united = None
+    for name in tables:
+        rows = service.read_report(spark, folder, name).agg(F.count("*").alias("rows")).withColumn(
+            "report", F.lit(name))
+        united = rows if united is None else united.unionByName(rows)
+    return united
+
+
 def _board(m: CustomerMart) -> DataFrame:
     return m.trained.leaderboard(m.table.sparkSession)
 
@@ -299,6 +313,7 @@ def definitions() -> dict:
         "d1_mart": lambda m: m.table,
         "d4_dashboard_summary": lambda m: reports.dashboard_summary(
             _kpis(m), health.overall_summary(m.table), risk.tier_counts(m.scored)),
+        "d5_report_tables": _saved_reports,
         "d6_profile": _profile_part("profile"),
         "d6_activity": _profile_part("activity_metrics"),
         "d6_rfm": _profile_part("rfm"),
