@@ -647,7 +647,10 @@ def model_queries() -> dict[str, str]:
     hot = union(
         f"SELECT '{n}' || '_' || v AS feature, {i} AS col, v, n FROM (SELECT {n} AS v, count(*) AS n FROM mart WHERE {n} IS NOT NULL GROUP BY 1)"
         for i, n in enumerate(c.MODEL_CATEGORICAL))
-    mean = lambda n: f"(CAST({n} AS DOUBLE) - (SELECT avg({n}) FROM mart)) / (SELECT stddev_samp({n}) FROM mart)"
+    # A column without variance is scaled to zero.
+    mean = lambda n: (
+        f"CASE WHEN (SELECT stddev_samp({n}) FROM mart) = 0 THEN 0.0::DOUBLE ELSE "
+        f"(CAST({n} AS DOUBLE) - (SELECT avg({n}) FROM mart)) / (SELECT stddev_samp({n}) FROM mart) END")
     given = "cm AS (SELECT " + ", ".join(
         f"count(*) FILTER (WHERE Churn = {a} AND Churn_Prediction = {b}) AS {k}"
         for k, a, b in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))) + " FROM scored)"
