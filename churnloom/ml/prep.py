@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
-    Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler,
+    OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from churnloom import contract as c
 from churnloom.errors import ModelInferenceError, ModelTrainingError, require_columns
-from churnloom.operators.order_stats import order_statistics
+from churnloom.functions import number
+from churnloom.operators.order_stats import order_statistics, quantiles, unpivot_numeric
 
 FEATURES = "features"
 SCALED = "scaled"
@@ -89,17 +90,23 @@ def class_balance(df: DataFrame) -> DataFrame:
         F.coalesce(F.try_divide(negatives, F.col("positives")), F.lit(1.0)).alias("ratio"))
 
 
-def preprocessor() -> Pipeline:
-    """Median for missing numbers, one-hot text (unknown values become all zeros), scaling.
+def fit_preprocessor(df: DataFrame) -> PipelineModel:
+    """Exact median for missing numbers, one-hot text (unknown values become all zeros), scaling.
 
     ``features`` holds plain numbers for tree models, ``scaled`` standardised ones for the
     linear model; the encoded part is the same in both.
     """
+    medians = quantiles(
+        unpivot_numeric(df, c.MODEL_NUMERIC), ["series"], "value", {"median": 0.5}, rows=df.count())
+    fills = dict.fromkeys(c.MODEL_NUMERIC, 0.0)
+    fills.update({r["series"]: r["median"] for r in medians.collect()})
+    filled = ", ".join(
+        f"coalesce(nanvl({n}, NULL), {number(fill)}) AS _num_{n}" for n, fill in fills.items())
     numeric = [f"_num_{n}" for n in c.MODEL_NUMERIC]
     indexed = [f"_idx_{n}" for n in c.MODEL_CATEGORICAL]
     encoded = [f"_hot_{n}" for n in c.MODEL_CATEGORICAL]
     return Pipeline(stages=[
-        Imputer(strategy="median", inputCols=list(c.MODEL_NUMERIC), outputCols=numeric),
+        SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
         StringIndexer(inputCols=list(c.MODEL_CATEGORICAL), outputCols=indexed, handleInvalid="keep",
                       stringOrderType="alphabetAsc"),
         OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True),
@@ -107,7 +114,7 @@ def preprocessor() -> Pipeline:
         StandardScaler(inputCol="_numbers", outputCol="_standard", withMean=True, withStd=True),
         VectorAssembler(inputCols=["_numbers", *encoded], outputCol=FEATURES),
         VectorAssembler(inputCols=["_standard", *encoded], outputCol=SCALED),
-    ])
+    ]).fit(df)
 
 
 def encode(stages: PipelineModel, df: DataFrame, keep=()) -> DataFrame:

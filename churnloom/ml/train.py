@@ -147,7 +147,7 @@ def train(df: DataFrame, settings: Settings | None = None, target: str = c.TARGE
         raise ModelTrainingError("training needs customers of both classes")
     folded = prep.stratified_folds(inputs.where("NOT is_test"), settings.folds, settings.seed)
     rows = folded.unionByName(inputs.where("is_test").withColumn("fold", F.lit(-1)))
-    stages = prep.preprocessor().fit(inputs.where("NOT is_test"))
+    stages = prep.fit_preprocessor(inputs.where("NOT is_test"))
     encoded = cut(
         prep.encode(stages, rows, keep=[c.PRIMARY_KEY, "label", "is_test", "fold"])
         .withColumns(_weights(balance)), "encoded")

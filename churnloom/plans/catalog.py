@@ -66,7 +66,7 @@ def _given(m: CustomerMart) -> DataFrame:
 
 
 def _encoder(m: CustomerMart):
-    return prep.preprocessor().fit(prep.model_inputs(m.table))
+    return prep.fit_preprocessor(prep.model_inputs(m.table))
 
 
 def _scaled(m: CustomerMart) -> DataFrame:

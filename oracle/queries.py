@@ -647,10 +647,12 @@ def model_queries() -> dict[str, str]:
     hot = union(
         f"SELECT '{n}' || '_' || v AS feature, {i} AS col, v, n FROM (SELECT {n} AS v, count(*) AS n FROM mart WHERE {n} IS NOT NULL GROUP BY 1)"
         for i, n in enumerate(c.MODEL_CATEGORICAL))
-    # A column without variance is scaled to zero.
+    # Gaps are filled with the median; a column without variance is scaled to zero.
+    filled = "whole_base AS (SELECT CustomerID, " + ", ".join(
+        f"coalesce(CAST({n} AS DOUBLE), (SELECT median({n}) FROM mart)) AS {n}" for n in c.MODEL_NUMERIC) + " FROM mart)"
     mean = lambda n: (
-        f"CASE WHEN (SELECT stddev_samp({n}) FROM mart) = 0 THEN 0.0::DOUBLE ELSE "
-        f"(CAST({n} AS DOUBLE) - (SELECT avg({n}) FROM mart)) / (SELECT stddev_samp({n}) FROM mart) END")
+        f"CASE WHEN (SELECT stddev_samp({n}) FROM whole_base) = 0 THEN 0.0::DOUBLE ELSE "
+        f"({n} - (SELECT avg({n}) FROM whole_base)) / (SELECT stddev_samp({n}) FROM whole_base) END")
     given = "cm AS (SELECT " + ", ".join(
         f"count(*) FILTER (WHERE Churn = {a} AND Churn_Prediction = {b}) AS {k}"
         for k, a, b in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))) + " FROM scored)"
@@ -674,7 +676,7 @@ def model_queries() -> dict[str, str]:
         "m4_m6_encoded_inputs": upto("mart", (
             union(encoded) + f" UNION ALL SELECT feature, CAST({len(c.MODEL_NUMERIC)} + row_number() OVER (ORDER BY col, v) - 1 AS INTEGER), n FROM ({hot})")),
         "m5_scaled_inputs": upto("mart", union(
-            f"SELECT CustomerID, '{n}' AS feature, {rnd(mean(n), 6)} AS scaled FROM mart" for n in c.MODEL_NUMERIC)),
+            f"SELECT CustomerID, '{n}' AS feature, {rnd(mean(n), 6)} AS scaled FROM whole_base" for n in c.MODEL_NUMERIC), filled),
     }
 
 

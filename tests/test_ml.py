@@ -44,7 +44,7 @@ def test_folds_have_equal_sizes(mart):
 
 def test_unknown_category_encodes_to_zeros_and_gaps_are_filled(mart):
     inputs = prep.model_inputs(mart.table)
-    stages = prep.preprocessor().fit(inputs)
+    stages = prep.fit_preprocessor(inputs)
     names = prep.feature_names(stages)
     strange = inputs.limit(1).withColumn("Gender", F.lit("unheard of")).withColumn(
         "Tenure", F.lit(None).cast("double"))
