@@ -21,12 +21,42 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), _tokenizer())
 
 
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    from churnloom.llm.quality_classifier import quality_classifier
+
+    return quality_classifier(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from churnloom.llm.line_dedup import line_dedup
+
+    return line_dedup(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     from churnloom.llm.quality_rules import quality_rules
 
     return quality_rules(table(spark, folder, "documents").select("doc_id", "text")).drop("text", "clean_text")
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from churnloom.llm.language_id import language_id
+
+    return language_id(table(spark, folder, "documents"))
+
+
+def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    from churnloom.llm.url_filters import url_filters
+
+    return url_filters(table(spark, folder, "pages"))
+
+
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from churnloom.llm.mixing import mix
+
+    return mix(table(spark, folder, "documents").select("doc_id", "text", "source"))
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from churnloom.llm.token_counts import token_counts
 
@@ -34,7 +64,8 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    op2_packing, op5_quality_rules, op10_token_counts)
+    op2_packing, op3_quality_classifier, op4_line_dedup, op5_quality_rules, op7_language_id,
+    op8_url_filters, op9_mixing, op10_token_counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -42,4 +73,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from churnloom.llm import line_dedup, mixing
+
+    return {"op4_line_dedup": line_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
