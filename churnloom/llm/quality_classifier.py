@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnloom.llm.common import per_batch, remainder, ship
+from churnloom.llm.common import per_batch, received, remainder, send, ship
 
 # Labelled documents learned from, of each label: those with the smallest hash of their id.
 SAMPLE = 2000
@@ -121,7 +121,7 @@ def votes(similar: np.ndarray, given: np.ndarray) -> np.ndarray:
 
 def _score(model):
     def work():
-        fitted = model.value
+        fitted = received(model)
 
         def each(batch):
             scores = []
@@ -151,7 +151,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, text: str = "text", d
     """
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     fitted = fit(given, labels.select("doc_id", F.col(label).cast("int").alias("label")), sample)
-    model = docs.sparkSession.sparkContext.broadcast(fitted)
+    model = send(docs.sparkSession, fitted)
     held_out = F.coalesce(remainder("doc_id", DIVISOR) == HELD_OUT, F.lit(False)).alias("held_out")
     kind = given.schema["doc_id"].dataType.simpleString()
     scored = per_batch(given.select(F.struct("doc_id", held_out).alias("row"), "text"), _score(model),

@@ -39,6 +39,12 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(table(spark, folder, "documents").select("doc_id", "text")).drop("text", "clean_text")
 
 
+def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from churnloom.llm.embedding_dedup import embedding_dedup
+
+    return embedding_dedup(table(spark, folder, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     from churnloom.llm.language_id import language_id
 
@@ -64,8 +70,8 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    op2_packing, op3_quality_classifier, op4_line_dedup, op5_quality_rules, op7_language_id,
-    op8_url_filters, op9_mixing, op10_token_counts)
+    op2_packing, op3_quality_classifier, op4_line_dedup, op5_quality_rules,
+    op6_embedding_dedup, op7_language_id, op8_url_filters, op9_mixing, op10_token_counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
