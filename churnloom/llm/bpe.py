@@ -13,7 +13,7 @@ import unicodedata
 from array import array
 from collections import Counter
 
-from churnloom.llm.common import ship
+from churnloom.llm.common import Memory, ship
 
 # The settings under which the plain path below is known to be exact.
 PLAIN_NORMALIZER = {"type": "Sequence", "normalizers": [
@@ -42,22 +42,6 @@ def _plain_patterns():
     return outside, re.compile(split.replace(r"\p{L}\p{N}", letters + digits))
 
 
-class Memory(dict):
-    """Results of ``make`` by word; forgets all when full, so that it stays bounded."""
-
-    FULL = 400_000
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, word):
-        if len(self) >= self.FULL:
-            self.clear()
-        self[word] = found = self.make(word)
-        return found
-
-
 class PreTokenizer:
     """Cuts texts into pre-tokens and pre-tokens into ids; built from the text of a tokenizer file."""
 

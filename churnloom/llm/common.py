@@ -32,6 +32,22 @@ def received(sent):
     return pickle.loads(sent.value)
 
 
+class Memory(dict):
+    """Results of ``make`` by word; forgets all when full, so that it stays bounded."""
+
+    FULL = 400_000
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word):
+        if len(self) >= self.FULL:
+            self.clear()
+        self[word] = found = self.make(word)
+        return found
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnloom.llm.common import received, send, ship
-from churnloom.llm.components import components
+from churnloom.llm.components import components, stars
 from churnloom.plans.stages import cut
 
 COSINE = 0.98
@@ -135,19 +135,6 @@ def _deal(traversal):
     return run
 
 
-def stars(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows and columns of a link matrix the number of the component they are in; big where they have no link."""
-    none = np.iinfo(np.int64).max
-    rows = np.where(linked.any(1), np.arange(linked.shape[0]), none)
-    columns = np.full(linked.shape[1], none)
-    while True:
-        columns_now = np.minimum(columns, np.where(linked, rows[:, None], none).min(0, initial=none))
-        rows_now = np.minimum(rows, np.where(linked, columns_now, none).min(1, initial=none))
-        if (rows_now == rows).all() and (columns_now == columns).all():
-            return rows, columns
-        rows, columns = rows_now, columns_now
-
-
 def _compare(centres, traversal, threshold):
     def run(key, group):
         tree, plan = received(centres), received(traversal)

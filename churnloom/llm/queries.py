@@ -15,6 +15,12 @@ def _tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    from churnloom.llm.ngram_jaccard import ngram_jaccard
+
+    return ngram_jaccard(table(spark, folder, "documents"))
+
+
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     from churnloom.llm.packing import pack
 
@@ -70,7 +76,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    op2_packing, op3_quality_classifier, op4_line_dedup, op5_quality_rules,
+    op1_ngram_jaccard, op2_packing, op3_quality_classifier, op4_line_dedup, op5_quality_rules,
     op6_embedding_dedup, op7_language_id, op8_url_filters, op9_mixing, op10_token_counts)
 
 

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnloom.llm.bpe import Memory, PreTokenizer
-from churnloom.llm.common import per_batch, ship
+from churnloom.llm.bpe import PreTokenizer
+from churnloom.llm.common import Memory, per_batch, ship
 from churnloom.plans.stages import cut
 
 # Bounds of the part of the piece table that is broadcast: 32 MB at most.
