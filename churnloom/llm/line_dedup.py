@@ -54,7 +54,7 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
              .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"),
                      F.array_distinct("removed").alias("removed")))
     new = ["n_lines", "n_removed", "clean_text"]
-    given = docs.select(F.struct(*(c for c in docs.columns if c not in new)).alias("row"),
+    given = docs.select(F.struct(*(c for c in docs.columns if c.lower() not in new)).alias("row"),
                         F.col(doc_id).alias("_doc"), F.col(text).alias("_text"), F.xxhash64(text).alias("_text_hash"))
     joined = given.join(later, F.equal_null("_doc", "_id") & (F.col("_text_hash") == F.col("_hash")), "left")
     split = joined.select("row", "_text", F.split("_text", "\n", -1).alias("lines"), "removed")

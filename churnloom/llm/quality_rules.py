@@ -124,7 +124,7 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     new = f"{COUNTS}, base_failed boolean, kept boolean, clean_text string"
     names = [x.split()[0] for x in new.split(", ")]
-    rest = [c for c in docs.columns if c not in names]
+    rest = [c for c in docs.columns if c.lower() not in names]
     types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()]
     given = docs.select(F.struct(*rest).alias("row"), F.col(text).alias("text"))
 
