@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from churnloom.llm.common import per_batch, received, remainder, send, ship
 
 # Labelled documents learned from, of each label: those with the smallest hash of their id.
-SAMPLE = 2000
-GRAMS = 4096
+SAMPLE = 1500
+GRAMS = 2048
 STYLE = 7
 STYLE_WEIGHT = 0.5
 LATENT = 64
@@ -55,7 +55,7 @@ def features(texts: list[str | None]) -> np.ndarray:
         for at in range(0, len(data) - 2, SLICE):
             part = data[at:at + SLICE + 2].astype(np.uint32)
             key = part[:-2] * np.uint32(0x9E3779B1) + part[1:-1] * np.uint32(0x85EBCA6B) + part[2:] * np.uint32(0xC2B2AE35)
-            counts += np.bincount((key ^ (key >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(20), minlength=GRAMS)
+            counts += np.bincount((key ^ (key >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(21), minlength=GRAMS)
         row[:GRAMS] = np.sqrt(counts / counts.sum())
         row[GRAMS:] = style(text)
     return out
@@ -94,15 +94,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     def work():
         def each(batch):
             found = features(batch.column(1).to_pylist())
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(found), pa.list_(pa.float32()))], ["label", "found"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["label", "found"])
 
         return each
 
     # At most 2 * sample ids: the broadcast and what comes back are bounded by it.
     texts = docs.join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id").select("label", "text", "doc_id")
     texts = texts.where(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(2 * sample)
-    rows = per_batch(texts.select("label", "text"), work, "label int, found array<float>").toArrow()
-    found = np.array(rows.column("found").to_pylist(), np.float32).reshape(-1, GRAMS + STYLE)
+    rows = per_batch(texts.select("label", "text"), work, "label int, found binary").toArrow()
+    found = np.frombuffer(b"".join(rows.column("found").to_pylist()), np.float32).reshape(-1, GRAMS + STYLE)
     given = np.array(rows.column("label").to_pylist(), np.float32)
     if not len(given):
         return None
