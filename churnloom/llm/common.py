@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 import sys
 from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -32,10 +33,18 @@ def received(sent):
     return pickle.loads(sent.value)
 
 
+def kept(name: str, key, make):
+    """``make(key)``, kept by the worker from task to task as long as the key is the same."""
+    held = sys.modules.setdefault("kept_by_worker", SimpleNamespace(values={})).values
+    if held.get(name, (None,))[0] != key:
+        held[name] = (key, make(key))
+    return held[name][1]
+
+
 class Memory(dict):
     """Results of ``make`` by word; forgets all when full, so that it stays bounded."""
 
-    FULL = 400_000
+    FULL = 300_000
 
     def __init__(self, make):
         super().__init__()

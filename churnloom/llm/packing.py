@@ -1,10 +1,10 @@
 """Packing along a space-filling curve.
 
 Every document is a vector of hashed token weights, projected to few dimensions and placed on a
-Hilbert curve. Documents are range-sorted by their place, each sorted part is written with the
+Hilbert curve. Their ids are written once. Places and lengths are range-sorted, each sorted part with the
 running number of its tokens, and the parts' totals (one number per partition) turn these into
-positions in one long row of tokens. Sequences are cut from that row, so only its end can need
-padding; the end is cut at powers of two, which need none.
+positions in one long row of tokens, which are joined to the ids. Sequences are cut from that row, so only its
+end can need padding; the end is cut at powers of two, which need none.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnloom.llm.bpe import PreTokenizer
-from churnloom.llm.common import per_batch, ship
+from churnloom.llm.common import kept, per_batch, ship
 from churnloom.plans.stages import cut
 
 LENGTH = 4096
@@ -70,7 +70,7 @@ def curve_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def _tokenise(spec, end):
     def work():
-        tokens = PreTokenizer(spec.value)
+        tokens = kept("pre-tokenizer", spec.value, PreTokenizer)
         vectors = projection(1 << 16)
         last = np.array([end], "<u2").tobytes()
 
@@ -88,7 +88,7 @@ def _tokenise(spec, end):
                 [batch.column(0), pa.array(curve_keys(cells), pa.int64()),
                  pa.array([zlib.crc32(x) for x in ids], pa.int64()),
                  pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "curve", "tie", "doc_tokens", "ids"])
+                ["row", "curve", "tie", "doc_tokens", "ids"])
 
         return each
 
@@ -168,21 +168,24 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
         spec = spark.sparkContext.broadcast(file.read())
     given = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
-    tokens = per_batch(given, _tokenise(spec, end),
-                       f"doc_id {kind}, curve long, tie long, doc_tokens long, ids binary")
-    # Equal documents share a place on the curve; the id parts them among partitions.
-    order = ["curve", "tie", F.xxhash64("doc_id"), "doc_id"]
-    ordered = (tokens.repartitionByRange(*order).sortWithinPartitions(*order)
-               .select("doc_id", F.spark_partition_id().alias("part"), "doc_tokens", "ids"))
-    ordered = cut(ordered.mapInArrow(_running, ordered.schema.simpleString()[7:-1].replace(":", " ") + ", before long"),
-                  "packed")
+    numbered = given.select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id").alias("row"), "text")
+    tokens = per_batch(numbered, _tokenise(spec, end),
+                       f"row struct<row: long, doc_id: {kind}>, curve long, tie long, doc_tokens long, ids binary")
+    tokens = cut(tokens.select("row.*", "curve", "tie", "doc_tokens", "ids"), "tokens")
+    # Equal documents share a place on the curve; the number of the row parts them among partitions.
+    order = ["curve", "tie", F.xxhash64("doc_id"), "row"]
+    ordered = (tokens.select("row", "doc_id", "curve", "tie", "doc_tokens")
+               .repartitionByRange(*order).sortWithinPartitions(*order)
+               .select("row", F.spark_partition_id().alias("part"), "doc_tokens"))
+    ordered = cut(ordered.mapInArrow(_running, "row long, part int, doc_tokens long, before long"), "packed")
     # One total per partition of the sort.
     totals = sorted(ordered.groupBy("part").agg(F.sum("doc_tokens").alias("n")).collect())
     starts, total = {}, 0
     for part, n in totals:
         starts[part] = total
         total += n
-    return per_batch(ordered.select("doc_id", "part", "before", "ids"), _cut(starts, total, length),
+    placed = tokens.select("row", "doc_id", "ids").join(ordered.select("row", "part", "before"), "row")
+    return per_batch(placed.select("doc_id", "part", "before", "ids"), _cut(starts, total, length),
                      f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
                      "sequence_id long, offset long")
 

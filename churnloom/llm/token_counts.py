@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnloom.llm.bpe import PreTokenizer
-from churnloom.llm.common import Memory, per_batch, ship
+from churnloom.llm.common import Memory, kept, per_batch, ship
 from churnloom.plans.stages import cut
 
 # Bounds of the part of the piece table that is broadcast: 32 MB at most.
@@ -28,7 +28,7 @@ HELD = 400_000
 def _tally(spec):
     """Pre-tokens and their number, of a task's texts."""
     def run(batches):
-        tokens, words, found = PreTokenizer(spec.value), Counter(), Counter()
+        tokens, words, found = kept("pre-tokenizer", spec.value, PreTokenizer), Counter(), Counter()
 
         def out():
             for word, n in words.items():
@@ -54,7 +54,7 @@ def _tally(spec):
 
 def _pieces(spec):
     def work():
-        tokens = PreTokenizer(spec.value)
+        tokens = kept("pre-tokenizer", spec.value, PreTokenizer)
 
         def each(batch):
             n = [len(tokens.ids(t)) for t in batch.column(0).to_pylist()]
@@ -76,7 +76,7 @@ def _frequencies(spec, common):
     rest = pa.list_(pa.struct([("pre_token", pa.string()), ("n", pa.int64())]))
 
     def work():
-        tokens, known = PreTokenizer(spec.value), common.value
+        tokens, known = kept("pre-tokenizer", spec.value, PreTokenizer), common.value
 
         def looked_up(pre_tokens):
             """Pieces of those in the common part, and the others."""
