@@ -8,11 +8,15 @@ evaluate on Arrow batches.
 
 from __future__ import annotations
 
+import pickle
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import factorial
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -24,6 +28,9 @@ from churnloom.ml import narrative, prep
 from churnloom.ml.score import ChurnPredictor
 from churnloom.plans.stages import new_path
 
+# Workers get the functions of this module with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @dataclass
 class Leaf:
@@ -131,15 +138,18 @@ def _leaf_contributions(leaf: Leaf, x: np.ndarray, out: np.ndarray) -> None:
 def tree_contributions(spark, model):
     """A vectorised function from the input array to the contribution array."""
     found, expected = leaves(spark, model)
-    shared = spark.sparkContext.broadcast(found)  # bounded by the size of the model
+    # Bounded by the size of the model; as bytes, since workers may not have this package.
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(found))
 
     @F.pandas_udf("array<double>")
-    def contributions(features: pd.Series) -> pd.Series:
-        x = np.stack(features.to_numpy()) if len(features) else np.zeros((0, 1))
-        out = np.zeros(x.shape)
-        for leaf in shared.value:
-            _leaf_contributions(leaf, x, out)
-        return pd.Series(list(out))
+    def contributions(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model_leaves = pickle.loads(shared.value)
+        for features in batches:
+            x = np.stack(features.to_numpy()) if len(features) else np.zeros((0, 1))
+            out = np.zeros(x.shape)
+            for leaf in model_leaves:
+                _leaf_contributions(leaf, x, out)
+            yield pd.Series(list(out))
 
     return contributions, expected
 

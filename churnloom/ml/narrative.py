@@ -46,6 +46,7 @@ def local_explanations(df: DataFrame, probability: str = "Churn_Probability") ->
             template, F.replace(d["feature"], F.lit("_"), F.lit(" ")),
             round_even(d["contribution"], 2)))
 
+    # The wording of the summary.
     risky = F.concat(
         F.array(F.concat(who, F.lit(" is flagged at Churn Risk ("), share, F.lit(") driven primarily by:"))),
         lines("positive_drivers", "  - High %s (Impact: +%.2f)"))

@@ -26,7 +26,7 @@ class Settings:
     """Sizes of the candidates. The defaults are the full-size models."""
 
     trees: int = 300
-    forest_depth: int = 15
+    forest_depth: int = 30  # the deepest that Spark grows
     boosted_depth: int = 6
     step_size: float = 0.05
     max_iter: int = 1000
@@ -104,7 +104,7 @@ class Trained:
         columns = {"algorithm": order, "is_best": [n == self.algorithm for n in order]}
         for key in next(iter(self.results.values())):
             columns[key] = [self.results[n][key] for n in order]
-        return literal_table(spark, columns)
+        return literal_table(spark, columns, {"cv_f1_mean": "double", "cv_f1_std": "double"})
 
     def importance(self, spark) -> DataFrame:
         return importance(spark, self.models[self.algorithm], self.names)
@@ -166,11 +166,11 @@ def train(df: DataFrame, settings: Settings | None = None, target: str = c.TARGE
             for k in range(settings.folds)] if settings.folds > 1 else []
         predicted = model.transform(test)
         measured = rates(predicted).first().asDict()
-        mean = sum(scores) / len(scores) if scores else 0.0
-        spread = (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5 if scores else 0.0
+        mean = sum(scores) / len(scores) if scores else None
+        spread = (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5 if scores else None
         results[name] = {
             **measured, "roc_auc": round(area_under_curve(predicted), 4),
-            "cv_f1_mean": round(mean, 4), "cv_f1_std": round(spread, 4),
+            "cv_f1_mean": None if mean is None else round(mean, 4), "cv_f1_std": None if spread is None else round(spread, 4),
             "training_seconds": round(seconds, 4)}
         models[name] = model
     winner = min(results, key=lambda n: (-results[n]["f1"], n))

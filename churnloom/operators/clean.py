@@ -162,6 +162,7 @@ class Imputation:
             counts.append(self.missing[name])
             if name in self.categorical:
                 strategies.append(self.categorical_strategy)
+                # The wording of the descriptions.
                 texts.append(f"mode ({value})" if self.categorical_strategy == "mode"
                              else f"constant value '{value}'")
             else:

@@ -124,6 +124,7 @@ def recommendations(kpis: DataFrame) -> DataFrame:
     shown = lambda name: F.col(name).cast("string")
     churn, csat, complaints = (
         F.col("churn_rate_pct"), F.col("avg_satisfaction_score"), F.col("complaint_rate_pct"))
+    # The wording of the recommendations and their limits.
     advice = [
         F.when(churn > 15.0, _text(
             "CRITICAL: Churn rate is elevated at ", shown("churn_rate_pct"),

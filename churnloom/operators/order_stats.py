@@ -5,8 +5,8 @@ moves every row to one task. Here a mergeable sketch first brackets each wanted
 a second aggregate then counts the rows below the bracket and tallies only the values
 inside it. Both passes combine on the map side, so what is shuffled depends on the number
 of wanted positions and not on the number of rows. A bracket that is still crowded is
-narrowed again, and one that turns out to miss its position is dropped in favour of a
-full tally: the answer is exact in every case.
+narrowed again, and one that turns out to miss its position is sought in a wider one: the
+answer is exact in every case.
 """
 
 from __future__ import annotations
@@ -18,9 +18,12 @@ from pyspark.sql import types as T
 
 from churnloom.plans.stages import small
 
-# Up to this many rows per key are tallied without narrowing first.
-EXACT_ROWS = 1_000_000
+# Up to this many rows per key or bracket are tallied without narrowing. It is small, so
+# that tables of all sizes but tiny ones take the same way.
+EXACT_ROWS = 256
 GRID = 2_000
+# Cells of the grid that a bracket reaches to both sides; the last one leaves it open.
+MARGINS = (2, 50, 2 * GRID)
 ACCURACY = 10_000
 
 
@@ -38,9 +41,9 @@ def _sketch(value: Column, size: Column, exact_rows: int) -> Column:
         size > exact_rows, F.percentile_approx(value, grid.cast("array<double>"), ACCURACY))
 
 
-def _bracket(grid: Column, position: Column, size: Column):
+def _bracket(grid: Column, position: Column, size: Column, margin: int = MARGINS[0]):
     cell = F.floor(position / size * GRID).cast("int")
-    return F.get(grid, cell - 2), F.get(grid, cell + 3)
+    return F.get(grid, cell - margin), F.get(grid, cell + margin + 1)
 
 
 def order_statistics(long: DataFrame, keys, value: str, picks, exact_rows: int = EXACT_ROWS,
@@ -56,33 +59,31 @@ def order_statistics(long: DataFrame, keys, value: str, picks, exact_rows: int =
     keys = list(keys)
     if rows is not None and rows <= exact_rows:
         return _tally_short(long, keys, value, picks)
-    sketchable = isinstance(long.schema[value].dataType, T.NumericType)
-    v = F.col(value)
-    size = F.count(value)
-    totals = [size.alias("n")]
-    if sketchable:
-        totals.append(_sketch(v, size, exact_rows).alias("grid"))
-    else:
-        totals.append(F.lit(None).cast(T.ArrayType(long.schema[value].dataType)).alias("grid"))
-    wanted = small(long.groupBy(*keys).agg(*totals), "order-sizes")
+    if not isinstance(long.schema[value].dataType, T.NumericType):
+        return small(_tally_all(long, keys, value, _targets(long, keys, value, picks, None)), "order-found")
+    for margin in MARGINS:
+        wanted = _targets(long, keys, value, picks, exact_rows, margin)
+        wanted = _narrow_further(long, keys, F.col(value), wanted, exact_rows)
+        found = small(_tally_brackets(long, keys, value, wanted), "order-found")
+        if margin == MARGINS[-1] or found.count() == wanted.count():
+            break
+    return found
+
+
+def _targets(long, keys, value, picks, exact_rows: int | None, margin: int = MARGINS[0]):
+    """Wanted positions with their brackets. The grid of a key is used where it is made and not passed on."""
+    v, size = F.col(value), F.count(value)
+    nothing = F.lit(None).cast(T.ArrayType(long.schema[value].dataType))
+    grid = nothing if exact_rows is None else _sketch(v, size, exact_rows)
+    sizes = long.groupBy(*keys).agg(size.alias("n"), grid.alias("grid"))
     if isinstance(picks, DataFrame):
-        wanted = wanted.join(picks.select(*keys, "slot", "pos"), keys)
+        wanted = sizes.join(picks.select(*keys, "slot", "pos"), keys)
     else:
-        wanted = wanted.select(
-            *keys, "n", "grid", F.posexplode(picks(F.col("n"))).alias("slot", "pos"))
-    lo, hi = _bracket(F.col("grid"), F.col("pos"), F.col("n"))
-    wanted = small(
+        wanted = sizes.select(*keys, "n", "grid", F.posexplode(picks(F.col("n"))).alias("slot", "pos"))
+    lo, hi = _bracket(F.col("grid"), F.col("pos"), F.col("n"), margin)
+    return small(
         wanted.where((F.col("pos") >= 0) & (F.col("pos") < F.col("n")))
-        .select(*keys, "n", "slot", "pos", lo.alias("lo"), hi.alias("hi")),
-        "order-targets")
-
-    bounded = sketchable and wanted.where("lo IS NOT NULL OR hi IS NOT NULL").limit(1).count() > 0
-    if bounded:
-        wanted = _narrow_further(long, keys, v, wanted, exact_rows)
-        found = small(_tally_brackets(long, keys, value, wanted), "order-found")
-        if found.count() == wanted.count():
-            return found
-    return small(_tally_all(long, keys, value, wanted), "order-found")
+        .select(*keys, "n", "slot", "pos", lo.alias("lo"), hi.alias("hi")), "order-targets")
 
 
 def _within(long: DataFrame, keys, v: Column, wanted: DataFrame):
@@ -93,7 +94,8 @@ def _within(long: DataFrame, keys, v: Column, wanted: DataFrame):
 def _narrow_further(long, keys, v, wanted, exact_rows):
     """Repeat sketching inside brackets expected to hold more than ``exact_rows`` rows."""
     share = 6 / GRID
-    expected = wanted.agg(F.max("n")).first()[0] * share
+    # Keys without a bracket hold few rows.
+    expected = (wanted.where("lo IS NOT NULL OR hi IS NOT NULL").agg(F.max("n")).first()[0] or 0) * share
     while expected > exact_rows:
         rows, inside = _within(long, keys, v, wanted)
         held = F.count_if(inside)

@@ -23,7 +23,7 @@ from churnloom.plans.stages import literal_table
 
 @dataclass
 class QuintileCuts:
-    """The four cut rows of one metric. ``tiebreak`` names the columns after the metric."""
+    """The four cut rows of one metric. ``tiebreak`` holds the SQL terms that follow the metric in the order."""
 
     column: str
     larger_is_better: bool
@@ -57,15 +57,17 @@ def fit_quintiles(df: DataFrame, metrics=c.RFM_METRICS, tiebreak=None,
     Rows are ordered by (metric, customer, arrival); a missing metric counts as the median.
     """
     if tiebreak is None:
-        numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
-        tiebreak = [n for n in (c.PRIMARY_KEY, c.SEQUENCE) if n in numeric]
+        tiebreak = _order_terms(df)
+    terms = {f"_order{i}": F.expr(term) for i, term in enumerate(tiebreak)}
     columns = [column for _, column, _ in metrics]
     fills, rows = _fills(df, columns, exact_rows)
     models = {
         score: QuintileCuts(column, better, fills.get(column), tuple(tiebreak), [])
         for score, column, better in metrics}
-    series = df.select(*tiebreak, *[F.expr(m.metric()).alias(score) for score, m in models.items()])
-    long = unpivot_numeric(series, list(models), keep=tiebreak)
+    series = df.select(*[term.alias(name) for name, term in terms.items()],
+                       *[F.expr(m.metric()).alias(score) for score, m in models.items()])
+    names = list(terms)
+    long = unpivot_numeric(series, list(models), keep=names)
 
     found = order_statistics(
         long, ["series"], "value",
@@ -75,15 +77,28 @@ def fit_quintiles(df: DataFrame, metrics=c.RFM_METRICS, tiebreak=None,
         if row["n"] < 2:
             raise KPICalculationError("quintiles need at least two customers")
     cuts = {(r["series"], r["slot"]): ([r["value"]], r["pos"] - r["before"], r["ties"]) for r in found}
-    for depth, name in enumerate(tiebreak):
+    for depth, name in enumerate(names):
         if all(ties == 1 for _, _, ties in cuts.values()):
             break
-        cuts = _break_ties(long, tiebreak[:depth], name, cuts, exact_rows, rows)
+        cuts = _break_ties(long, names[:depth], name, cuts, exact_rows, rows)
     for (score, _), (prefix, _, _) in sorted(cuts.items()):
         models[score].cuts.append(tuple(prefix))
     return models
 
 
+def _order_terms(df) -> list[str]:
+    """Customer, then arrival; files follow each other by a hash of their names."""
+    terms = []
+    for name in (c.PRIMARY_KEY, c.SEQUENCE):
+        kind = df.schema[name].dataType if name in df.columns else None
+        if isinstance(kind, T.IntegralType):
+            terms.append(name)
+        elif isinstance(kind, T.StructType):
+            terms += [f"{name}.{f.name}" if isinstance(f.dataType, T.IntegralType) else f"xxhash64({name}.{f.name})"
+                      for f in kind.fields]
+    return terms
+
+
 def _fills(df, columns, exact_rows):
     gaps = df.agg(
         F.count("*").alias("_rows"), *[F.count_if(F.col(n).isNull()).alias(n) for n in columns]).first()

@@ -161,7 +161,7 @@ def _drift_rows(df, baseline_rows, baseline_columns):
     if ordered != actual:
         rows.append(_finding(
             "schema_drift", None, "info", "order_drift",
-            expected_order=quote(",".join(ordered[:5])), actual_order=quote(",".join(actual[:5]))))
+            expected_order=quote(",".join(ordered)), actual_order=quote(",".join(actual))))
     return rows
 
 
@@ -238,7 +238,7 @@ def check_domains(df: DataFrame) -> DataFrame:
     return per_column.select(
         F.lit("categorical_domain").alias("rule"), "column", F.lit("warning").alias("severity"),
         F.format_string(MESSAGES["domain"], "column", F.col("n_values").cast("string")).alias("message"),
-        F.expr("map('invalid_values', CAST(n_values AS STRING), 'row_count', CAST(n_rows AS STRING))")
+        F.expr("map('invalid_value_count', CAST(n_values AS STRING), 'row_count', CAST(n_rows AS STRING))")
         .alias("details"))
 
 

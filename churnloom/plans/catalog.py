@@ -51,6 +51,14 @@ def _round_trip(m: CustomerMart, fmt: str) -> DataFrame:
     return files.read_customers(m.table.sparkSession, path, fmt, schema=m.table.schema)
 
 
+def _out_of_range(m: CustomerMart) -> DataFrame:
+    """Raw rows with values planted below and above their bounds."""
+    k = F.col("CustomerID")
+    return m.raw.withColumns({
+        "Tenure": F.when(k % 13 == 0, -3.0).when(k % 17 == 0, 130.5).otherwise(F.col("Tenure")),
+        "SatisfactionScore": F.when(k % 19 == 0, 9).otherwise(F.col("SatisfactionScore"))})
+
+
 def _contributions(m: CustomerMart) -> DataFrame:
     """Stand-in contributions: fixed arithmetic on the customer number."""
     entries = [
@@ -149,9 +157,9 @@ def definitions() -> dict:
             unique_duplicated_keys="unique_duplicated_keys", sample_keys="sample_keys"),
         "a5_domain_values": lambda m: schema_checks.domain_violations(m.raw),
         "a5_domain_findings": lambda m: _findings(
-            schema_checks.check_domains(m.raw), invalid_values="invalid_values", row_count="row_count"),
+            schema_checks.check_domains(m.raw), invalid_values="invalid_value_count", row_count="row_count"),
         "a6_ranges": lambda m: _findings(
-            schema_checks.check_ranges(m.raw), boundary="boundary", actual_extreme="actual_extreme",
+            schema_checks.check_ranges(_out_of_range(m)), boundary="boundary", actual_extreme="actual_extreme",
             violation_count="violation_count"),
         "a7_drift": lambda m: _findings(
             schema_checks.check_drift(m.raw), actual_rows="actual_rows", deviation_pct="deviation_pct"),

@@ -12,7 +12,7 @@ from churnloom.ml.explain import ChurnExplainer
 from churnloom.ml.score import ChurnPredictor
 from churnloom.operators import clean, features, health, rfm, risk, segments
 from churnloom.plans.stages import cut, new_path
-from churnloom.sources.files import read_customers, write_table
+from churnloom.sources.files import read_customers, write_mart, write_table
 from churnloom.sources.landing import customer_table
 
 
@@ -38,6 +38,7 @@ class CustomerMart:
     def __init__(self, raw: DataFrame, source: str):
         self.raw = raw
         self.source = source
+        self.gate: dict[str, DataFrame] = {}  # reports of the ingestion gate, if it was run
 
     @cached_property
     def prepared(self) -> DataFrame:
@@ -57,8 +58,14 @@ class CustomerMart:
 
     @cached_property
     def table(self) -> DataFrame:
-        """Every customer with features, scores, segments, flags and health."""
-        return cut(enrich(self.cleaned.df, self.cuts), "mart")
+        """Every customer with features, scores, segments, flags and health.
+
+        Sorted by customer, so that the report of one customer skips all other row groups.
+        """
+        spark = self.raw.sparkSession
+        full, path = enrich(self.cleaned.df, self.cuts), new_path(spark, "mart")
+        write_mart(full, path)
+        return spark.read.schema(full.schema).parquet(path)
 
     @cached_property
     def scored(self) -> DataFrame:

@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side of a join is held by the driver and broadcast only up to this many rows.
+# A side of a join is held by the driver and broadcast only up to this many rows and bytes.
 SMALL_ROWS = 20_000
+SMALL_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -55,13 +56,13 @@ def literal_table(spark: SparkSession, columns: dict[str, list], types: dict[str
 
 
 def small(df: DataFrame, name: str) -> DataFrame:
-    """Evaluate a parameter table; mark it for broadcast only if it is short.
+    """Evaluate a parameter table; mark it for broadcast only if it is small.
 
-    At most ``SMALL_ROWS + 1`` rows are fetched to find out. A longer table becomes a stage
+    At most ``SMALL_ROWS + 1`` rows are fetched to find out. A larger table becomes a stage
     without a mark, so Spark joins it by shuffling (with skew splitting by adaptive
     execution).
     """
     head = df.limit(SMALL_ROWS + 1).toArrow()
-    if head.num_rows <= SMALL_ROWS:
+    if head.num_rows <= SMALL_ROWS and head.nbytes <= SMALL_BYTES:
         return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
     return cut(df, name)

@@ -27,6 +27,7 @@ RFM_ACTIONS: dict[str, str] = {
         "Low-cost reactivation. Include in periodic standard newsletters, "
         "offer basic discount coupons, or deprioritize marketing spend to preserve margins.",
 }
+# Action where no segment is known, and the texts a cohort has.
 RFM_DEFAULT_ACTION = "Standard engagement campaign."
 
 COHORT_FIELDS = (

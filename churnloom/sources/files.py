@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from churnloom.contract import SEQUENCE
+from churnloom.contract import SEQUENCE, SOURCE_TYPES
 from churnloom.errors import IngestionError
 
 FORMATS = ("parquet", "csv", "json", "orc")
@@ -17,16 +18,19 @@ def read_customers(spark: SparkSession, path, format: str = "parquet", schema=No
     """Read a table, trim its headers and stamp the arrival order of every row.
 
     Arrival order is (file, block, position), which does not change when a task is run
-    again. It is computed in the scan, before any shuffle.
+    again. It is computed in the scan, before any shuffle. A CSV is read with the types of the
+    contract, unknown columns as text; pass ``inferSchema=True`` to have it read twice instead.
     """
     if format not in FORMATS:
         raise IngestionError(f"unknown format {format!r}, expected one of {FORMATS}")
     reader = spark.read.format(format)
-    if format == "csv":
-        options = {"header": True, "inferSchema": schema is None, **options}
-    if schema is not None:
-        reader = reader.schema(schema)
     try:
+        if format == "csv":
+            options = {"header": True, **options}
+            if schema is None and not options.get("inferSchema"):
+                schema = _contract_schema(spark.read.options(**options).csv(path).columns)
+        if schema is not None:
+            reader = reader.schema(schema)
         df = reader.options(**options).load(path)
     except AnalysisException as error:
         raise IngestionError(f"cannot read {path}: {error}") from error
@@ -44,6 +48,12 @@ def read_customers(spark: SparkSession, path, format: str = "parquet", schema=No
     return df
 
 
+def _contract_schema(names: list[str]) -> T.StructType:
+    """Types of the columns of a header; only the header has to be read to know them."""
+    kinds = {name: T._parse_datatype_string(kind) for name, kind in SOURCE_TYPES.items()}
+    return T.StructType([T.StructField(n, kinds.get(n.strip(), T.StringType())) for n in names])
+
+
 def source_files(df: DataFrame) -> DataFrame:
     """Name, size and row count of every file behind a table read from files."""
     return (

@@ -107,6 +107,10 @@ def ingestion() -> dict[str, str]:
             f"CAST({total_nulls} AS BIGINT) AS null_total, "
             f"count(*) - (SELECT count(*) FROM (SELECT DISTINCT {BUSINESS} FROM raw)) AS duplicate_rows FROM raw")),
     }
+    PLANTED = (
+        "planted AS (SELECT * REPLACE (CASE WHEN CustomerID % 13 = 0 THEN -3.0::DOUBLE WHEN CustomerID % 17 = 0 "
+        "THEN 130.5::DOUBLE ELSE Tenure END AS Tenure, CASE WHEN CustomerID % 19 = 0 THEN 9 ELSE SatisfactionScore END "
+        "AS SatisfactionScore) FROM raw)")
     M = schema_checks.MESSAGES
     null_rows, range_rows = [], []
     for r in c.RULES:
@@ -172,7 +176,7 @@ def ingestion() -> dict[str, str]:
         "a4_uniqueness": upto("raw", unique, keys),
         "a5_domain_values": upto("raw", 'SELECT series AS "column", value, row_count FROM odd', odd),
         "a5_domain_findings": upto("raw", domains, odd),
-        "a6_ranges": upto("raw", union(range_rows)),
+        "a6_ranges": upto("raw", union(range_rows).replace("FROM raw)", "FROM planted)"), PLANTED),
         "a7_drift": upto("raw", drift),
         "a8_by_severity": upto("raw", union(
             f"SELECT '{s}' AS severity, {sev(s)} AS findings FROM found" for s in schema_checks.SEVERITIES), every),

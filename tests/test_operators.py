@@ -118,7 +118,7 @@ def test_gate_and_summary(dirty):
     only = ingest.quality_gate(dirty.dropDuplicates(["CustomerID"]), expected=("CustomerID",)).first()
     assert only.overall_pass and only.dtypes_valid is False
     summary = ingest.dataset_summary(dirty).first()
-    assert (summary.total_rows, summary.null_total, summary.duplicate_rows) == (5, 4, 0)
+    assert (summary.total_rows, summary.null_total, summary.duplicate_rows) == (7, 4, 0)
 
 
 def test_findings_and_status(mart, dirty):
@@ -129,9 +129,9 @@ def test_findings_and_status(mart, dirty):
     odd = dirty.withColumn("Tenure", F.lit(500.0)).withColumn("SatisfactionScore", F.lit(9))
     ranges = schema_checks.check_ranges(odd).collect()
     assert [(r["column"], r["details"]["boundary"], r["details"]["violation_count"]) for r in ranges] == [
-        ("Tenure", "max", "5")]
+        ("Tenure", "max", "7")]
     domains = {(r["column"], r["value"]): r["row_count"] for r in schema_checks.domain_violations(odd).collect()}
-    assert domains[("SatisfactionScore", "9")] == 5
+    assert domains[("SatisfactionScore", "9")] == 7
     clean = mart.table.select(*[r.name for r in c.RULES])
     assert schema_checks.validate(clean.where("CashbackAmount IS NOT NULL"), 150).first().overall_status in (
         "PASSED", "WARNINGS")
@@ -207,14 +207,15 @@ def test_files(spark, dirty, tmp_path):
         path = str(tmp_path / fmt)
         files.write_table(dirty.drop("src_seq"), path, fmt)
         back = files.read_customers(spark, path, fmt)
-        assert back.count() == 5 and "src_seq" in back.columns
-        assert back.where("CustomerID = 50002").count() == 2
+        assert back.count() == 7 and "src_seq" in back.columns
+        assert back.where("CustomerID = 711").count() == 2
+        assert dict(back.dtypes)["Tenure"] == "double"
         from churnloom.operators import clean
 
-        assert clean.drop_duplicates(back).count() == 4
+        assert clean.drop_duplicates(back).count() == 6
     files.write_mart(dirty, str(tmp_path / "mart"))
-    assert spark.read.parquet(str(tmp_path / "mart")).count() == 5
-    assert files.source_files(spark.read.parquet(str(tmp_path / "mart"))).agg(F.sum("rows")).first()[0] == 5
+    assert spark.read.parquet(str(tmp_path / "mart")).count() == 7
+    assert files.source_files(spark.read.parquet(str(tmp_path / "mart"))).agg(F.sum("rows")).first()[0] == 7
     with pytest.raises(IngestionError):
         files.read_customers(spark, str(tmp_path / "nowhere"))
     files.write_table(dirty.limit(0), str(tmp_path / "empty"))

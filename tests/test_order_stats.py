@@ -36,8 +36,9 @@ def test_quantiles_agree_with_numpy(spark, kind, exact_rows):
 
 
 def test_a_missed_bracket_is_repaired(spark, monkeypatch):
-    monkeypatch.setattr(order_stats, "_bracket", lambda grid, pos, size: (
-        F.lit(1e9), F.lit(2e9)))
+    bracket = order_stats._bracket
+    monkeypatch.setattr(order_stats, "_bracket", lambda grid, pos, size, margin=2: (
+        bracket(grid, pos, size, margin) if margin > 2 else (F.lit(1e9), F.lit(2e9))))
     df = literal_table(spark, {"k": ["a"] * 100, "value": [float(i) for i in range(100)]})
     row = order_stats.quantiles(df, ["k"], "value", {"m": 0.5}, exact_rows=5).first()
     assert row["m"] == 49.5
@@ -99,3 +100,17 @@ def test_scoring_needs_no_shuffle(mart):
                                        "CashbackAmount"), mart.cuts)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text and "Window" not in text and "Sort" not in text
+
+
+def test_rows_that_agree_are_parted_by_their_place_in_the_file(spark, tmp_path):
+    """Arrival order is a struct when it is stamped by the reader."""
+    from churnloom.operators import rfm
+    from churnloom.sources.files import read_customers
+
+    path = str(tmp_path / "same")
+    spark.range(20).selectExpr(
+        "7L AS CustomerID", "4.0D AS DaySinceLastOrder", "2.0D AS OrderCount", "id * 1.0D AS CashbackAmount"
+    ).coalesce(1).write.parquet(path)
+    scored = rfm.compute_rfm_scores(read_customers(spark, path))
+    for name in ("Recency_Score", "Frequency_Score", "Monetary_Score"):
+        assert sorted(r[0] for r in scored.select(name).collect()) == [s for s in range(1, 6) for _ in range(4)]
