@@ -121,17 +121,20 @@ def _leaf_contributions(leaf: Leaf, x: np.ndarray, out: np.ndarray) -> None:
         return_index=True, return_inverse=True)
     patterns = passed[first]
     weights = _shapley_weights(m)
-    phi = np.zeros(patterns.shape)
-    for i in range(m):
-        # Coefficients of the product of (share + passed * t) over the other inputs.
-        product = np.zeros((len(patterns), m))
-        product[:, 0] = 1.0
-        for j in range(m):
-            if j != i:
-                shifted = np.zeros_like(product)
-                shifted[:, 1:] = product[:, :-1] * patterns[:, [j]]
-                product = product * leaf.shares[j] + shifted
-        phi[:, i] = leaf.value * (patterns[:, i] - leaf.shares[i]) * (product @ weights)
+    # Coefficients of the product of (share + passed * t) over all inputs.
+    passes = patterns.astype(float)
+    product = np.zeros((len(patterns), m + 1))
+    product[:, 0] = 1.0
+    for j in range(m):
+        shifted = product[:, :-1] * passes[:, [j]]
+        product = product * leaf.shares[j]
+        product[:, 1:] += shifted
+    # Each input's own factor is divided out again, from the highest power down.
+    others, total = np.zeros(patterns.shape), np.zeros(patterns.shape)
+    for k in reversed(range(m)):
+        others = np.where(patterns, product[:, [k + 1]] - leaf.shares * others, product[:, [k]] / leaf.shares)
+        total += others * weights[k]
+    phi = leaf.value * (passes - leaf.shares) * total
     out[:, leaf.features] += phi[which.reshape(-1)]
 
 

