@@ -29,7 +29,7 @@ class Settings:
     """Sizes of the candidates. The defaults are the full-size models."""
 
     trees: int = 300
-    boosted_trees: int = 300
+    boosted_trees: int | None = None  # as many as the forest has
     forest_depth: int = 30  # the deepest that Spark grows
     boosted_depth: int = 6
     step_size: float = 0.05
@@ -47,7 +47,7 @@ def candidates(settings: Settings, rows: int) -> dict:
     leaf by leaf.
     """
     trees, seed = settings.trees, settings.seed
-    boosted = dict(maxIter=settings.boosted_trees, maxDepth=settings.boosted_depth, stepSize=settings.step_size,
+    boosted = dict(maxIter=settings.boosted_trees or trees, maxDepth=settings.boosted_depth, stepSize=settings.step_size,
                    featuresCol=prep.FEATURES, weightCol="ratio_weight", seed=seed)
     return {
         "LogisticRegression": LogisticRegression(
@@ -195,7 +195,8 @@ def train(df: DataFrame, settings: Settings | None = None, target: str = c.TARGE
 def save(spark, trained: Trained, path: str) -> None:
     """Write the winning pipeline and what is known about it."""
     trained.pipeline.write().overwrite().save(f"{path}/model")
-    trained.leaderboard(spark).write.mode("overwrite").json(f"{path}/leaderboard")
+    board = trained.leaderboard(spark).withColumn("saved_at", F.current_timestamp())
+    board.write.mode("overwrite").json(f"{path}/leaderboard")
     top_features(trained.importance(spark)).write.mode("overwrite").json(f"{path}/importance")
 
 
