@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+# Bytes of an Arrow batch worked on at once; Spark's batches have many rows, however long these are.
+PART = 4 << 20
+
+
 def ship(name: str) -> None:
     """Send the functions of module ``name`` to the workers as they are.
 
@@ -44,7 +48,7 @@ def kept(name: str, key, make):
 class Memory(dict):
     """Results of ``make`` by word; forgets all when full, so that it stays bounded."""
 
-    FULL = 300_000
+    FULL = 150_000
 
     def __init__(self, make):
         super().__init__()
@@ -61,14 +65,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of bounded size."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * PART // max(batch.nbytes, 1))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def per_batch(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
               schema: str) -> DataFrame:
-    """Apply a function to every Arrow batch; ``work()`` makes it, once per task."""
+    """Apply a function to every Arrow batch, in parts of bounded size; ``work()`` makes it, once per task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = work()
-        for batch in batches:
-            if batch.num_rows:
-                yield each(batch)
+        yield from map(each, parts(batches))
 
     return df.mapInArrow(run, schema)
 

@@ -115,30 +115,35 @@ def _solid(text: str) -> int:
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with counts, ``base_failed``, ``kept`` and ``clean_text``, the text without failing lines.
 
     A null or empty text has no words: it fails. Blank lines stay. Rows are judged one by one, so
     repeated rows, null ids and further columns change nothing; columns of ``docs`` that have
-    the name of a new one are replaced. An empty table gives an empty one.
+    the name of a new one are replaced. An empty table gives an empty one. Without ``keep_text`` the
+    text itself is left behind.
     """
     new = f"{COUNTS}, base_failed boolean, kept boolean, clean_text string"
     names = [x.split()[0] for x in new.split(", ")]
     rest = [c for c in docs.columns if c.lower() not in names]
+    others = [c for c in rest if c != text]
     types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()]
-    given = docs.select(F.struct(*rest).alias("row"), F.col(text).alias("text"))
+    # The text goes to Python once and comes back only if it is wanted.
+    given = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), F.col(text).alias("text"))
 
     def work():
         def each(batch):
-            found = zip(*map(judge, batch.column(1).to_pylist()), strict=True)
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, t) for x, t in zip(found, types, strict=True))], ["row", *names])
+            found = [pa.array(x, t) for x, t in zip(zip(*map(judge, batch.column(1).to_pylist()), strict=True), types, strict=True)]
+            return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[1:1 + keep_text], *found],
+                                              ["row", *["text"] * keep_text, *names])
 
         return each
 
     schema = given.select("row").schema.add("x", "string").simpleString()
     row = schema[len("struct<row:"):-len(",x:string>")]
-    return per_batch(given, work, f"row {row}, {new}").select("row.*", *names)
+    judged = per_batch(given, work, f"row {row}, {'text string, ' * keep_text}{new}")
+    columns = [F.col("text").alias(text) if c == text else F.col(f"row.`{c}`") for c in rest if keep_text or c != text]
+    return judged.select(*columns, *names)
 
 
 ship(__name__)

@@ -42,7 +42,7 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     from churnloom.llm.quality_rules import quality_rules
 
-    return quality_rules(table(spark, folder, "documents").select("doc_id", "text")).drop("text", "clean_text")
+    return quality_rules(table(spark, folder, "documents").select("doc_id", "text"), keep_text=False).drop("clean_text")
 
 
 def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:

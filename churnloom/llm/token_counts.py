@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnloom.llm.bpe import PreTokenizer
-from churnloom.llm.common import Memory, kept, per_batch, ship
+from churnloom.llm.common import Memory, kept, parts, per_batch, ship
 from churnloom.plans.stages import cut
 
 # Bounds of the part of the piece table that is broadcast: 32 MB at most.
 COMMON_ROWS = 65_536
 COMMON_LENGTH = 256
 # Distinct pre-tokens a task holds before it passes them on.
-HELD = 400_000
+HELD = 250_000
 
 
 def _tally(spec):
@@ -40,7 +40,7 @@ def _tally(spec):
             found.clear()
             return rows
 
-        for batch in batches:
+        for batch in parts(batches):
             for text in batch.column(0).to_pylist():
                 plain, others = tokens.words(text)
                 words.update(plain)
