@@ -23,7 +23,7 @@ def _with_text(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without their failing lines."""
-    return _with_text(quality_rules(docs).where("kept"), "clean_text", docs.columns)
+    return _with_text(quality_rules(docs, keep_text=False).where("kept"), "clean_text", docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
