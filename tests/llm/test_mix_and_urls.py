@@ -114,3 +114,32 @@ def test_trust_and_distrust(spark):
     verdicts = {r.page_id: r.verdict for r in url_filters.url_filters(pages).collect()}
     assert verdicts[7] == verdicts[8] == "block" or hosts["farm.org"].distrust < url_filters.LEAST_DISTRUST
     assert verdicts[3] == "allow" and verdicts[11] == "allow"
+
+
+def _linked(spark, links, blocked):
+    """Pages of hosts: host to the hosts that each of its pages links to, and how many of 100 pages a rule blocks."""
+    rows = [(f"http://{host}{'/es/' if i < blocked.get(host, 0) else '/en/'}{i}", "".join(f'<a href="http://{t}/">' for t in targets))
+            for host, targets in links.items() for i in range(100 if host in blocked else 1)]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    return {(r.host, r.path[:4]): r.verdict for r in url_filters.url_filters(pages).collect()}
+
+
+def test_own_share_counts_whatever_the_links(spark):
+    farms = {f"farm{i}.org": ["bad.net"] for i in range(50)}
+    # Without links, linked by farms, and half linked to itself by as many links as come from the farms.
+    for links in ({"bad.net": []}, {"bad.net": [], **farms}, {"bad.net": ["bad.net"], **{f: t * 2 for f, t in farms.items()}}):
+        got = _linked(spark, links, {"bad.net": 99})
+        assert got["bad.net", "/en/"] == "block"
+        assert all(got[f, "/en/"] == "block" for f in farms if f in links)
+    # Links of a host to itself do not add to its share.
+    got = _linked(spark, {"fair.net": ["fair.net"], "half.net": ["half.net"]}, {"fair.net": 49, "half.net": 50})
+    assert got["fair.net", "/en/"] == "allow" and got["half.net", "/en/"] == "block"
+
+
+def test_rounds_end_at_the_residual(spark):
+    # Two hosts that hand all to each other keep all seeds: the slowest case.
+    shares = url_filters.link_shares(spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long"))
+    seeds = spark.createDataFrame([("trust", "a", 1.0)], "kind string, host string, seed double")
+    got = {r.host: r.score for r in url_filters.propagate(shares, seeds).collect()}
+    a = 0.15 / (1 - 0.85 ** 2)
+    assert abs(got["a"] - a) < 1e-9 and abs(got["b"] - 0.85 * a) < 1e-9
