@@ -16,9 +16,8 @@ from churnloom.sources.files import read_customers, write_mart, write_table
 from churnloom.sources.landing import customer_table
 
 
-# Models of the registered queries: full size, but for the number of boosted trees. Spark grows
-# these one after the other in several jobs each; ``train.Settings()`` has the full number.
-QUERY_SETTINGS = train.Settings(boosted_trees=20, step_size=0.2)
+# Models of the registered queries: full size, all four.
+QUERY_SETTINGS = train.Settings()
 
 
 def enrich(cleaned: DataFrame, cuts: dict[str, rfm.QuintileCuts]) -> DataFrame:
@@ -75,7 +74,7 @@ class CustomerMart:
 
     @cached_property
     def trained(self) -> train.Trained:
-        """Small models of every kind, compared on this mart."""
+        """Models of every kind, compared on this mart."""
         return train.train(self.table, QUERY_SETTINGS)
 
     @cached_property

@@ -155,3 +155,13 @@ def test_scoring_is_a_projection(mart, trained):
     scored = predictors(trained)["GradientBoosting"].predict(mart.table)
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_queries_train_full_size_models(spark):
+    from churnloom.plans.mart import QUERY_SETTINGS
+
+    assert QUERY_SETTINGS == train.Settings()
+    models = train.candidates(QUERY_SETTINGS, 1000)
+    for name in ("GradientBoosting", "StochasticGradientBoosting"):
+        assert models[name].getMaxIter() == 300 and models[name].getStepSize() == 0.05 and models[name].getMaxDepth() == 6
+    assert models["RandomForest"].getNumTrees() == 300 and QUERY_SETTINGS.folds == 5
