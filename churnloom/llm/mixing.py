@@ -2,9 +2,9 @@
 
 The documents of a source queue in a random but fixed order, and queue again when all have been
 served, up to three times. Serving a source takes virtual time: its words so far divided by its target.
-All queues are merged by the virtual time at which a document is finished, and the merged order ends
-where the budget does, which is at virtual time 1 for every source: what is being served then is
-served in part.
+Every source is cut at virtual time 1, when it has given its target: what is being served then is
+served in part. All queues are merged by the virtual time at which a document is finished; this orders
+the mix and does not decide what is in it.
 
 Running sums are taken in two steps, over chunks and inside them, so that neither a source with most
 of the rows nor the merged order has to pass through one task.
