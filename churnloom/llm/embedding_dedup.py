@@ -1,8 +1,8 @@
-"""Near-duplicate vectors by a cover tree and its dual traversal.
+"""Near-duplicate vectors by pivots with distance shells, which replace a cover tree and its dual traversal.
 
 For unit vectors a cosine of at least c is a distance of at most sqrt(2 - 2c). Centres are a bounded sample
-of the vectors, per label. Around each lie nested balls with halving radii; a vector belongs to the
-innermost ball that holds it, of its nearest centre. Such a node is bounded by the exact largest and
+of the vectors, per label. Around each lie shells between halving radii; a vector belongs to a shell
+of its nearest centre. There is one level of centres, without parents or children. Such a node is bounded by the exact largest and
 smallest distance of its vectors to the centre. Pairs of nodes that these bounds keep apart are
 pruned, all others are compared exactly, in blocks of bounded size, so results do not depend on the sample.
 
