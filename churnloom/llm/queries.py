@@ -75,9 +75,28 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), _tokenizer())
 
 
+def op11_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from churnloom.llm.license_scan import license_scan
+
+    return license_scan(table(spark, folder, "documents")).drop("matches")
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    from churnloom.llm.merkle import verify_documents
+
+    return verify_documents(table(spark, folder, "documents"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    from churnloom.llm.whitening import whiten
+
+    return whiten(table(spark, folder, "embeddings"))
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_ngram_jaccard, op2_packing, op3_quality_classifier, op4_line_dedup, op5_quality_rules,
-    op6_embedding_dedup, op7_language_id, op8_url_filters, op9_mixing, op10_token_counts)
+    op6_embedding_dedup, op7_language_id, op8_url_filters, op9_mixing, op10_token_counts,
+    op11_license_scan, op12_merkle_manifest, op13_whitening)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -85,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from churnloom.llm import line_dedup, mixing
+    from churnloom.llm import license_scan, line_dedup, merkle, mixing
 
-    return {"op4_line_dedup": line_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
+    return {"op4_line_dedup": line_dedup.ORACLE, "op9_mixing": mixing.ORACLE,
+            "op11_license_scan": license_scan.ORACLE, "op12_merkle_manifest": merkle.ORACLE}

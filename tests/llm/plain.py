@@ -137,3 +137,69 @@ def check_packing(pieces, ids: list, length: int):
         n = sum(p.length for p in own)
         assert n <= length and n & (n - 1) == 0
     assert sorted(by_sequence) == list(range(len(by_sequence)))
+
+
+def license_marks(text, phrases, templates, threshold):
+    """Words, places and labels of a text, every block compared with every template."""
+    found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    places, base, best, labels = [], set(), 0.0, set()
+    for phrase, label in phrases:
+        p = phrase.split()
+        at = [i for i in range(len(found) - len(p) + 1) if found[i:i + len(p)] == p]
+        places += at
+        base |= {label} if at else set()
+    for notice, label in templates:
+        words, size = set(notice.split()), len(notice.split())
+        least = max(1, -(-Fraction(str(threshold)) * len(words) // 1))
+        for first in range(0, len(found), size):
+            common = len(words & set(found[first:first + 2 * size]))
+            if common >= least:
+                best, labels = max(best, common / len(words)), labels | {label}
+    return (len(found), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)),
+            ",".join(sorted(base | labels)), 1.0 if base else best)
+
+
+def _sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _lift(leaves):
+    """Levels of a tree, leaves first."""
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        row = levels[-1]
+        levels.append([_sha("".join(row[i:i + 8])) for i in range(0, len(row), 8)])
+    return levels
+
+
+def _way(levels, at, node):
+    """Siblings up to the root, and the root that follows from ``node``."""
+    proof = ""
+    for row in levels[:-1]:
+        run, mine = row[at - at % 8:at - at % 8 + 8], at % 8
+        left, right = "".join(run[:mine]), "".join(run[mine + 1:])
+        proof, node, at = proof + left + right, _sha(left + node + right), at // 8
+    return proof, node
+
+
+def merkle_rows(rows):
+    """``rows`` of (doc_id, source, lang, n_chars, text) to the rows of the manifest query."""
+    def leaf(fields):
+        return _sha("".join("-" if f is None else f"{len(str(f).encode())}:{f}" for f in fields))
+
+    trees = defaultdict(list)
+    for r in rows:
+        d, text = r[0], r[4]
+        tampered = d is not None and zlib.crc32(str(d).encode()) % 3 == 0 and text is not None
+        trees[r[2]].append((d is not None, d or 0, leaf(r), leaf((*r[:4], text.translate(LOWER))) if tampered else leaf(r), d))
+    langs = sorted(trees, key=lambda x: (x is not None, (x or "").encode()))
+    built = {lang: _lift([t[2] for t in sorted(trees[lang], key=lambda t: t[:3])]) for lang in langs}
+    top = _lift([built[lang][-1][0] for lang in langs])
+    found = []
+    for place, lang in enumerate(langs):
+        for at, (_, _, own, seen, d) in enumerate(sorted(trees[lang], key=lambda t: t[:3])):
+            low, node = _way(built[lang], at, seen)
+            high, node = _way(top, place, node)
+            root = top[-1][0]
+            found.append((d, own, built[lang][-1][0], root, _sha(low + high), node, node == root))
+    return sorted(found, key=repr)
