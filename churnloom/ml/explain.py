@@ -2,7 +2,7 @@
 
 A linear model contributes coefficient times distance from the mean, an array expression
 in the JVM. Tree ensembles use the path-dependent Shapley values of Lundberg et al.
-(2018): Spark's saved node table is turned into one small record per leaf, which tasks
+(2018): every path to a leaf is turned into one small record, which tasks
 evaluate on Arrow batches.
 """
 
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from churnloom import contract as c
 from churnloom.errors import ModelInferenceError
 from churnloom.ml import narrative, prep
+from churnloom.ml.models import TreeEnsemble
 from churnloom.ml.score import ChurnPredictor
-from churnloom.plans.stages import new_path
 
 # Workers get the functions of this module with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -39,69 +39,36 @@ class Leaf:
     value: float
     features: np.ndarray   # inputs on the path
     shares: np.ndarray     # share of the training weight that goes the leaf's way
-    low: np.ndarray        # the leaf's way is low < x <= high, or membership
+    low: np.ndarray        # the leaf's way is low < x <= high
     high: np.ndarray
-    members: list
-
-
-def _ensemble(spark, model):
-    """Node rows per tree, the scale of a tree's output and how to read a leaf."""
-    path = new_path(spark, "trees")
-    model.write().overwrite().save(path)
-    # The model itself lives on the driver; its nodes are no larger.
-    nodes: dict[int, dict] = {}
-    for row in spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect():
-        nodes.setdefault(row["treeID"], {})[row["id"]] = row
-    weights = list(model.treeWeights)
-    if "GBT" in type(model).__name__:
-        # Log odds are twice the weighted sum of the trees.
-        return nodes, [2.0 * w for w in weights], lambda n: n["prediction"], lambda n: n["impurityStats"][0]
-    total = sum(weights)
-    return (nodes, [w / total for w in weights],
-            lambda n: n["impurityStats"][1] / sum(n["impurityStats"]), lambda n: sum(n["impurityStats"]))
-
-
-def leaves(spark, model):
+
+
+def leaves(model: TreeEnsemble):
     """All leaves of the ensemble and its expected output."""
-    trees, scales, value_of, cover = _ensemble(spark, model)
-    found, expected = [], 0.0
-    for tree, nodes in trees.items():
-        pending = [(nodes[0], {})]
+    n, found, expected = model.nodes, [], 0.0
+    feature, threshold, left, right = (v.tolist() for v in (n.feature, n.threshold, n.left, n.right))
+    value, cover = n.value.tolist(), n.cover.tolist()
+    for root in n.roots.tolist():
+        pending = [(root, {})]
         while pending:
             node, tests = pending.pop()
-            if node["leftChild"] < 0:
-                value = scales[tree] * value_of(node)
-                expected += value * cover(node) / cover(nodes[0])
+            f = feature[node]
+            if f < 0:
+                expected += value[node] * (cover[node] / cover[root] if cover[root] else 1.0)
                 if tests:
-                    found.append(_leaf(value, tests))
+                    found.append(_leaf(value[node], tests))
                 continue
-            split = node["split"]
-            feature, bounds = split["featureIndex"], split["leftCategoriesOrThreshold"]
-            for side in ("leftChild", "rightChild"):
-                child = nodes[node[side]]
-                share, low, high, members = tests.get(feature, (1.0, -np.inf, np.inf, None))
-                share *= cover(child) / cover(node)
-                if split["numCategories"] == 2 and len(bounds) == 1:
-                    # A one-hot input: its side of one half.
-                    if (side == "leftChild") == (bounds[0] == 0.0):
-                        high = min(high, 0.5)
-                    else:
-                        low = max(low, 0.5)
-                elif split["numCategories"] > 0:
-                    way = set(bounds) if side == "leftChild" else (
-                        set(map(float, range(split["numCategories"]))) - set(bounds))
-                    members = way if members is None else members & way
-                elif side == "leftChild":
-                    high = min(high, bounds[0])
-                else:
-                    low = max(low, bounds[0])
-                pending.append((child, {**tests, feature: (share, low, high, members)}))
+            for child, is_left in ((left[node], True), (right[node], False)):
+                share, low, high = tests.get(f, (1.0, -np.inf, np.inf))
+                share *= cover[child] / cover[node]
+                low, high = (low, min(high, threshold[node])) if is_left else (max(low, threshold[node]), high)
+                pending.append((child, {**tests, f: (share, low, high)}))
     return found, expected
 
 
 def _leaf(value, tests):
-    share, low, high, members = zip(*tests.values())
-    return Leaf(value, np.array(list(tests)), np.array(share), np.array(low), np.array(high), list(members))
+    share, low, high = zip(*tests.values())
+    return Leaf(value, np.array(list(tests)), np.array(share), np.array(low), np.array(high))
 
 
 def _shapley_weights(m: int) -> np.ndarray:
@@ -112,9 +79,6 @@ def _leaf_contributions(leaf: Leaf, x: np.ndarray, out: np.ndarray) -> None:
     """Add one leaf's Shapley values. Rows that pass the same tests share the result."""
     values = x[:, leaf.features]
     passed = (values > leaf.low) & (values <= leaf.high)
-    for j, members in enumerate(leaf.members):
-        if members is not None:
-            passed[:, j] &= np.isin(values[:, j], list(members))
     m = len(leaf.features)
     _, first, which = np.unique(
         passed @ (1 << np.arange(m, dtype=object if m > 62 else np.int64)),
@@ -140,7 +104,7 @@ def _leaf_contributions(leaf: Leaf, x: np.ndarray, out: np.ndarray) -> None:
 
 def tree_contributions(spark, model):
     """A vectorised function from the input array to the contribution array."""
-    found, expected = leaves(spark, model)
+    found, expected = leaves(model)
     # Bounded by the size of the model; as bytes, since workers may not have this package.
     shared = spark.sparkContext.broadcast(cloudpickle.dumps(found))
 
@@ -157,6 +121,14 @@ def tree_contributions(spark, model):
     return contributions, expected
 
 
+def encoded_pairs(stages, df: DataFrame) -> DataFrame:
+    """Customer and encoded inputs as (feature, value) pairs in vector order; needs the encoding, not a model."""
+    inputs = prep.model_inputs(df, target=None)
+    names = F.array(*[F.lit(n) for n in prep.feature_names(stages)])
+    return prep.encode(stages, inputs, keep=[c.PRIMARY_KEY]).select(
+        c.PRIMARY_KEY, F.arrays_zip(names.alias("feature"), vector_to_array(prep.FEATURES).alias("value")).alias("inputs"))
+
+
 class ChurnExplainer:
     """Explains the predictions of a model for all customers, or for one."""
 
@@ -177,11 +149,7 @@ class ChurnExplainer:
 
     def encoded(self, df: DataFrame) -> DataFrame:
         """Customer and encoded inputs as (feature, value) pairs in vector order."""
-        inputs = prep.model_inputs(df, target=None)
-        names = F.array(*[F.lit(n) for n in self.names])
-        return prep.encode(self.predictor.stages, inputs, keep=[c.PRIMARY_KEY]).select(
-            c.PRIMARY_KEY, F.arrays_zip(
-                names.alias("feature"), vector_to_array(prep.FEATURES).alias("value")).alias("inputs"))
+        return encoded_pairs(self.predictor.stages, df)
 
     def contributions(self, df: DataFrame, background: DataFrame | None = None):
         """Rows of (CustomerID, p, contributions) and the expected output.
@@ -195,7 +163,7 @@ class ChurnExplainer:
         if hasattr(model, "coefficients"):
             base = self.predictor.transform(background) if background is not None else scored
             means = base.agg(Summarizer.mean(F.col(prep.SCALED)).alias("m")).first()["m"].toArray()
-            weights = model.coefficients.toArray()
+            weights = model.coefficients
             expected = float(model.intercept + weights @ means)
             pairs = F.array(*[F.struct(F.lit(float(w)).alias("w"), F.lit(float(a)).alias("a"))
                               for w, a in zip(weights, means)])

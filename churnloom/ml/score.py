@@ -13,18 +13,18 @@ from pyspark.sql import functions as F
 from churnloom import __version__
 from churnloom import contract as c
 from churnloom.errors import ModelInferenceError
-from churnloom.ml import prep
-from churnloom.ml.train import probability_of_churn
+from churnloom.ml import models, prep
 from churnloom.operators.risk import with_risk
 
 log = logging.getLogger(__name__)
 
 
 class ChurnPredictor:
-    """Scores mart rows with a pipeline that starts from the plain columns."""
+    """Scores mart rows from their plain columns: the encoding, then the model."""
 
-    def __init__(self, pipeline: PipelineModel, algorithm: str = "Unknown", version: str = __version__):
-        self.pipeline = pipeline
+    def __init__(self, stages: PipelineModel, model, algorithm: str = "Unknown", version: str = __version__):
+        self.stages = stages
+        self.model = model
         self.algorithm = algorithm
         self.version = version
 
@@ -32,7 +32,7 @@ class ChurnPredictor:
     def load(cls, spark: SparkSession, path: str) -> ChurnPredictor:
         """Read a saved model; its leaderboard is optional."""
         try:
-            pipeline = PipelineModel.load(f"{path}/model")
+            stages, model = PipelineModel.load(f"{path}/stages"), models.load(spark, f"{path}/model")
         except (Py4JJavaError, PySparkException) as error:
             raise ModelInferenceError(f"no model can be read from {path}") from error
         algorithm = "Unknown"
@@ -40,22 +40,13 @@ class ChurnPredictor:
             algorithm = spark.read.json(f"{path}/leaderboard").where("is_best").first()["algorithm"]
         except (PySparkException, TypeError, KeyError):
             log.warning("no leaderboard beside the model in %s", path)
-        return cls(pipeline, algorithm)
-
-    @property
-    def model(self):
-        return self.pipeline.stages[-1]
-
-    @property
-    def stages(self) -> PipelineModel:
-        return PipelineModel(stages=self.pipeline.stages[:-1])
+        return cls(stages, model, algorithm)
 
     def transform(self, df: DataFrame, keep=()) -> DataFrame:
         """Customer, input vectors, prediction and probability ``p`` of every row."""
         inputs = prep.model_inputs(df, target=None)
-        scored = self.pipeline.transform(inputs)
-        return scored.select(
-            c.PRIMARY_KEY, prep.FEATURES, prep.SCALED, "prediction", probability_of_churn().alias("p"), *keep)
+        scored = self.stages.transform(inputs).withColumn("p", self.model.probability())
+        return scored.select(c.PRIMARY_KEY, prep.FEATURES, prep.SCALED, (F.col("p") > 0.5).cast("double").alias("prediction"), "p", *keep)
 
     def predict(self, df: DataFrame) -> DataFrame:
         """The rows with prediction, probability, confidence, tier, action and model version.
@@ -67,8 +58,9 @@ class ChurnPredictor:
         prep.model_inputs(df, target=None)
         kept = df.withColumn("_row", F.struct(*df.columns))
         numbers = {n: F.col(n).cast("double") for n in c.MODEL_NUMERIC}
-        scored = self.pipeline.transform(
+        encoded = self.stages.transform(
             kept.withColumns(numbers).select("_row", *c.MODEL_NUMERIC, *c.MODEL_CATEGORICAL))
-        flat = scored.select("_row.*", "prediction", probability_of_churn().alias("p"))
+        scored = encoded.select("_row", self.model.probability().alias("p"))
+        flat = scored.select("_row.*", (F.col("p") > 0.5).cast("double").alias("prediction"), "p")
         return with_risk(flat, "p", "prediction", self.version).drop(
             *[n for n in ("prediction", "p") if n not in added])

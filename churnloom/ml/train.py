@@ -1,27 +1,42 @@
-"""Training, cross validation and comparison of four churn classifiers."""
+"""Training, cross validation and comparison of four churn classifiers.
+
+The fits of a candidate, on all training rows and on those outside each fold, are made together (see ``fits`` and
+``linear``), and so are all tree candidates.
+"""
 
 from __future__ import annotations
 
+import pickle
+import sys
 import time
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from math import isqrt
 
-from pyspark import StorageLevel, inheritable_thread_target
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from churnloom import contract as c
 from churnloom.errors import ModelTrainingError
 from churnloom.functions import round_even
+from churnloom.ml import models as kinds
 from churnloom.ml import prep
+from churnloom.ml.fits import Fit, binned, fit_bins, fit_trees
+from churnloom.ml.grow import Growth
+from churnloom.ml.linear import fit_linear
+from churnloom.ml.models import LinearModel, TreeEnsemble
 from churnloom.plans.stages import cut, literal_table, shared_folder
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TOP_FEATURES = 20
-FITS_AT_ONCE = 5
+# Equal parts of the range of scores in which ranks are counted.
+SCORE_PARTS = 4096
 
 
 @dataclass
@@ -30,8 +45,9 @@ class Settings:
 
     trees: int = 300
     boosted_trees: int | None = None  # as many as the forest has
-    forest_depth: int = 30  # the deepest that Spark grows
+    forest_depth: int | None = None  # until nodes are pure
     boosted_depth: int = 6
+    leaves: int = 31  # of a tree that grows leaf by leaf
     step_size: float = 0.05
     max_iter: int = 1000
     folds: int = 5
@@ -39,26 +55,19 @@ class Settings:
     seed: int = 42
 
 
-def candidates(settings: Settings, rows: int) -> dict:
-    """Name to estimator. All train as distributed Spark jobs.
+def candidates(settings: Settings, inputs: int) -> dict[str, Growth | None]:
+    """Name to how its trees grow; None for the linear model.
 
-    The linear model has the usual unit penalty on the summed loss, which is 1 / rows on
-    Spark's mean loss. The second boosted model samples rows and features; neither grows
-    leaf by leaf.
+    Forest nodes look at the square root of the inputs. The first boosted model grows level by level with a penalty on
+    leaf values, the second best leaf first with at least 20 rows in each.
     """
-    trees, seed = settings.trees, settings.seed
-    boosted = dict(maxIter=settings.boosted_trees or trees, maxDepth=settings.boosted_depth, stepSize=settings.step_size,
-                   featuresCol=prep.FEATURES, weightCol="ratio_weight", seed=seed)
+    rounds, seed = settings.boosted_trees or settings.trees, settings.seed
+    boosted = {"rounds": rounds, "depth": settings.boosted_depth, "step": settings.step_size, "seed": seed}
     return {
-        "LogisticRegression": LogisticRegression(
-            maxIter=settings.max_iter, regParam=1.0 / rows, standardization=False,
-            featuresCol=prep.SCALED, weightCol="balanced_weight"),
-        "RandomForest": RandomForestClassifier(
-            numTrees=trees, maxDepth=settings.forest_depth, featuresCol=prep.FEATURES,
-            weightCol="balanced_weight", seed=seed),
-        "GradientBoosting": GBTClassifier(**boosted),
-        "StochasticGradientBoosting": GBTClassifier(
-            subsamplingRate=0.8, featureSubsetStrategy="0.8", **boosted),
+        "LogisticRegression": None,
+        "RandomForest": Growth(settings.trees, settings.forest_depth, tries=max(1, isqrt(inputs)), seed=seed),
+        "GradientBoosting": Growth(**boosted, l2=1.0, least_hessian=1.0),
+        "LeafwiseBoosting": Growth(**boosted, leaves=settings.leaves, least_hessian=1e-3, least_rows=20),
     }
 
 
@@ -67,13 +76,13 @@ def confusion(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("label", "prediction").agg(F.count("*").alias("rows"))
 
 
-def rates(predictions: DataFrame) -> DataFrame:
-    """One row: the four cells, accuracy, precision, recall and F1 of class 1."""
+def rates(predictions: DataFrame, *by: str) -> DataFrame:
+    """The four cells, accuracy, precision, recall and F1 of class 1: one row, or one for each value of ``by``."""
     def cell(label, prediction):
         return F.count_if((F.col("label") == label) & (F.col("prediction") == prediction))
 
-    cells = predictions.agg(cell(0, 0).alias("tn"), cell(0, 1).alias("fp"),
-                            cell(1, 0).alias("fn"), cell(1, 1).alias("tp"))
+    cells = predictions.groupBy(*by).agg(cell(0, 0).alias("tn"), cell(0, 1).alias("fp"),
+                                         cell(1, 0).alias("fn"), cell(1, 1).alias("tp"))
     col, zero = F.col, F.lit(0.0)
     divide = lambda a, b: F.coalesce(F.try_divide(a, b), zero)
     precision = divide(col("tp"), col("tp") + col("fp"))
@@ -81,14 +90,30 @@ def rates(predictions: DataFrame) -> DataFrame:
     accuracy = divide(col("tp") + col("tn"), col("tp") + col("tn") + col("fp") + col("fn"))
     f1 = divide(2 * col("tp"), 2 * col("tp") + col("fp") + col("fn"))
     return cells.select(
-        "tn", "fp", "fn", "tp", round_even(accuracy, 4).alias("accuracy"),
+        *by, "tn", "fp", "fn", "tp", round_even(accuracy, 4).alias("accuracy"),
         round_even(precision, 4).alias("precision"), round_even(recall, 4).alias("recall"),
         round_even(f1, 4).alias("f1"))
 
 
-def area_under_curve(predictions: DataFrame) -> float:
-    """Exact area under the receiver operating characteristic, by distributed sort."""
-    return BinaryClassificationEvaluator(numBins=0).evaluate(predictions)
+def areas(scored: DataFrame) -> DataFrame:
+    """``fit, roc_auc``: the exact area under each receiver operating characteristic of ``fit, label, score`` (0 to 1).
+
+    The share of (positive, negative) pairs that are in order, ties counting half. Equal scores are tallied first, parts
+    of the range of scores are summed, and ranks are counted inside each part: no fit is sorted in one task.
+    Null without rows of both classes.
+    """
+    tallies = scored.groupBy("fit", "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q"))
+    tallies = tallies.withColumn("part", F.floor(F.col("score") * SCORE_PARTS))
+    below = W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)
+    whole = tallies.groupBy("fit", "part").agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"))
+    whole = whole.select("fit", "part", F.sum("sp").over(W.partitionBy("fit")).alias("np"), F.sum("sq").over(W.partitionBy("fit")).alias("nq"),
+                         F.coalesce(F.sum("sq").over(W.partitionBy("fit").orderBy("part").rowsBetween(W.unboundedPreceding, -1)),
+                                    F.lit(0)).alias("before"))
+    inside = tallies.withColumn("inside", F.coalesce(F.sum("q").over(below.partitionBy("fit", "part")), F.lit(0)))
+    pairs = F.sum(F.col("p").cast("decimal(38,0)") * (2 * (F.col("before") + F.col("inside")) + F.col("q")))
+    return (inside.join(whole, ["fit", "part"]).groupBy("fit")
+            .agg(pairs.cast("double").alias("twice"), F.first("np").alias("np"), F.first("nq").alias("nq"))
+            .select("fit", F.try_divide(F.col("twice"), 2.0 * F.col("np") * F.col("nq")).alias("roc_auc")))
 
 
 @dataclass
@@ -96,11 +121,16 @@ class Trained:
     """The winner, ready to score raw mart rows, with how it was chosen."""
 
     algorithm: str
-    pipeline: PipelineModel
+    stages: PipelineModel
     results: dict[str, dict[str, float]]
     names: list[str]
     balance: dict[str, float]
     models: dict = field(default_factory=dict)
+    folds: list[dict] = field(default_factory=list)
+
+    @property
+    def model(self):
+        return self.models[self.algorithm]
 
     def leaderboard(self, spark) -> DataFrame:
         """One row per candidate, best first."""
@@ -110,14 +140,19 @@ class Trained:
             columns[key] = [self.results[n][key] for n in order]
         return literal_table(spark, columns, {"cv_f1_mean": "double", "cv_f1_std": "double"})
 
+    def fold_table(self, spark) -> DataFrame:
+        """Cells and F1 of every candidate in every fold."""
+        keys = ("algorithm", "fold", "tn", "fp", "fn", "tp", "f1")
+        kinds = dict(zip(keys, ("string", "int", *["long"] * 4, "double"), strict=True))
+        return literal_table(spark, {k: [f[k] for f in self.folds] for k in keys}, kinds)
+
     def importance(self, spark) -> DataFrame:
-        return importance(spark, self.models[self.algorithm], self.names)
+        return importance(spark, self.model, self.names)
 
 
 def importance(spark, model, names) -> DataFrame:
-    """Importances, or coefficients of a linear model, by encoded input."""
-    weights = model.featureImportances if hasattr(model, "featureImportances") else model.coefficients
-    return literal_table(spark, {"feature": list(names), "importance": [float(w) for w in weights.toArray()]})
+    """Shares in the gain of splits, or coefficients of a linear model, by encoded input."""
+    return literal_table(spark, {"feature": list(names), "importance": [float(w) for w in model.weights]})
 
 
 def top_features(table: DataFrame, size: int = TOP_FEATURES) -> DataFrame:
@@ -125,36 +160,52 @@ def top_features(table: DataFrame, size: int = TOP_FEATURES) -> DataFrame:
         "importance", round_even("importance", 6))
 
 
-def _weights(balance):
-    total, positives = balance["rows"], balance["positives"]
-    negatives = total - positives
-    is_positive = F.col("label") == 1.0
-    return {
-        "balanced_weight": F.when(is_positive, total / (2.0 * positives)).otherwise(
-            total / (2.0 * negatives)),
-        "ratio_weight": F.when(is_positive, negatives / positives).otherwise(1.0),
-    }
-
-
-def _cross_validate(estimator, training: DataFrame, folds: int) -> list[float]:
-    """F1 of each fold. Folds are fitted side by side, as the jobs of one fit are short."""
-    def one(k: int) -> float:
-        model = estimator.fit(training.where(F.col("fold") != k))
-        return rates(model.transform(training.where(F.col("fold") == k))).first()["f1"]
-
-    with ThreadPoolExecutor(min(folds, FITS_AT_ONCE)) as pool:
-        return list(pool.map(inheritable_thread_target(training.sparkSession)(one), range(folds)))
+def _fits(names, settings: Settings, growths, counts, ratio: float) -> list[Fit]:
+    """All fits of the given candidates; ``counts`` are rows by (fold, label) of the training rows."""
+    fits = []
+    for name in names:
+        for holdout in (-1, *range(settings.folds if settings.folds > 1 else 0)):
+            growth = growths[name]
+            if growth is None or growth.leaves is None and growth.tries is not None:
+                # Both classes weigh half of the rows of the fit.
+                n = [sum(v for (fold, label), v in counts.items() if fold != holdout and label == y) for y in (0, 1)]
+                weights = tuple(sum(n) / (2.0 * v) if v else 1.0 for v in n)
+            else:
+                weights = (1.0, ratio)
+            fits.append(Fit(len(fits), name, growth, growth is not None and growth.tries is not None, holdout, weights))
+    return fits
+
+
+def _scores(encoded: DataFrame, fits: list[Fit], models: dict) -> DataFrame:
+    """``fit, label, score`` of the rows each fit has not seen: the test rows for a full fit, its fold for the others."""
+    sent = encoded.sparkSession.sparkContext.broadcast(cloudpickle.dumps((fits, models)))
+    linear = isinstance(models[fits[0].number], LinearModel)
+
+    def run(batches):
+        fits, models = pickle.loads(sent.value)
+        for batch in batches:
+            label, fold = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for fit in fits:
+                rows, model = np.flatnonzero(fold == fit.holdout), models[fit.number]
+                score = 1 / (1 + np.exp(-(x[rows] @ model.coefficients + model.intercept))) if linear else model.scores(x[rows])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), fit.number, np.int32)), pa.array(label[rows]), pa.array(score)],
+                                                 ["fit", "label", "score"])
+
+    rows = encoded.select("label", "fold", vector_to_array(prep.SCALED if linear else prep.FEATURES).alias("x"))
+    return rows.mapInArrow(run, "fit int, label double, score double")
 
 
 def train(df: DataFrame, settings: Settings | None = None, target: str = c.TARGET,
           only=None) -> Trained:
-    """Split, encode, fit and compare the candidates; the best test F1 wins.
+    """Split, encode, fit and compare the candidates (or those named in ``only``); the best test F1 wins.
 
-    The encoded rows are written once and read by every fit, so no fit repeats the
-    encoding. Encoding and scaling are fitted on the training rows.
+    The encoded rows are written once and read by every fit, so no fit repeats the encoding. Encoding and scaling are fitted
+    on the training rows. ``training_seconds`` is the time of the job that fitted a candidate, with its folds and, for trees,
+    the other tree candidates beside it.
     """
     settings = settings or Settings()
-    shared_folder(df.sparkSession)  # boosting cuts its lineage in the checkpoint folder
+    shared_folder(df.sparkSession)
     inputs = prep.stratified_split(prep.model_inputs(df, target), settings.test_share, settings.seed)
     balance = prep.class_balance(inputs.where("NOT is_test")).first().asDict()
     if not balance["positives"] or not balance["negatives"]:
@@ -162,43 +213,51 @@ def train(df: DataFrame, settings: Settings | None = None, target: str = c.TARGE
     folded = prep.stratified_folds(inputs.where("NOT is_test"), settings.folds, settings.seed)
     rows = folded.unionByName(inputs.where("is_test").withColumn("fold", F.lit(-1)))
     stages = prep.fit_preprocessor(inputs.where("NOT is_test"))
-    encoded = cut(
-        prep.encode(stages, rows, keep=[c.PRIMARY_KEY, "label", "is_test", "fold"])
-        .withColumns(_weights(balance)), "encoded")
-    # All fits read these rows; they may spill.
-    encoded = encoded.persist(StorageLevel.MEMORY_AND_DISK)
-    training, test = encoded.where("NOT is_test"), encoded.where("is_test")
-
-    results, models = {}, {}
-    for name, estimator in candidates(settings, balance["rows"]).items():
-        if only is not None and name not in only:
+    encoded = cut(prep.encode(stages, rows, keep=[c.PRIMARY_KEY, "label", "is_test", "fold"]), "encoded")
+    training = encoded.where("NOT is_test")
+    counts = {(r["fold"], int(r["label"])): r["count"] for r in training.groupBy("fold", "label").count().collect()}
+    names = prep.feature_names(stages)
+    growths = candidates(settings, len(names))
+    fits = _fits([n for n in growths if only is None or n in only], settings, growths, counts, balance["ratio"])
+
+    fitted, seconds = {}, {}
+    for trees in (False, True):
+        mine = [f for f in fits if (f.growth is not None) == trees]
+        if not mine:
             continue
         start = time.perf_counter()
-        model = estimator.fit(training)
-        seconds = time.perf_counter() - start
-        scores = _cross_validate(estimator, training, settings.folds) if settings.folds > 1 else []
-        predicted = model.transform(test)
-        measured = rates(predicted).first().asDict()
-        mean = sum(scores) / len(scores) if scores else None
-        spread = (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5 if scores else None
+        if trees:
+            bins = fit_bins(training, len(c.MODEL_NUMERIC), len(names))
+            grown = fit_trees(binned(encoded, bins), bins, mine)
+            fitted |= {f.number: TreeEnsemble.grown(grown[f.number], bins, f.is_forest) for f in mine}
+        else:
+            fitted |= fit_linear(encoded, mine, len(names), settings.max_iter)
+        seconds |= dict.fromkeys((f.name for f in mine), time.perf_counter() - start)
+
+    results, models, by_fold = {}, {}, []
+    for name in dict.fromkeys(f.name for f in fits):
+        mine = [f for f in fits if f.name == name]
+        scored = cut(_scores(encoded, mine, {f.number: fitted[f.number] for f in mine}), "scores")
+        measured = {r.pop("fit"): r for r in (r.asDict() for r in rates(
+            scored.withColumn("prediction", (F.col("score") > 0.5).cast("double")), "fit").collect())}
+        area = areas(scored.where(F.col("fit") == mine[0].number)).first()
+        by_fold += [{"algorithm": name, "fold": f.holdout, **measured[f.number]} for f in mine[1:] if f.number in measured]
+        folds = [measured[f.number]["f1"] for f in mine[1:] if f.number in measured]
+        mean = sum(folds) / len(folds) if folds else None
+        spread = (sum((s - mean) ** 2 for s in folds) / len(folds)) ** 0.5 if folds else None
         results[name] = {
-            **measured, "roc_auc": round(area_under_curve(predicted), 4),
+            **measured[mine[0].number], "roc_auc": None if area is None or area["roc_auc"] is None else round(area["roc_auc"], 4),
             "cv_f1_mean": None if mean is None else round(mean, 4), "cv_f1_std": None if spread is None else round(spread, 4),
-            "training_seconds": round(seconds, 4)}
-        models[name] = model
-    encoded.unpersist()
+            "training_seconds": round(seconds[name], 4)}
+        models[name] = fitted[mine[0].number]
     winner = min(results, key=lambda n: (-results[n]["f1"], n))
-    pipeline = PipelineModel(stages=[*stages.stages, models[winner]])
-    return Trained(winner, pipeline, results, prep.feature_names(stages), balance, models)
+    return Trained(winner, stages, results, names, balance, models, by_fold)
 
 
 def save(spark, trained: Trained, path: str) -> None:
-    """Write the winning pipeline and what is known about it."""
-    trained.pipeline.write().overwrite().save(f"{path}/model")
+    """Write the encoding, the winning model and what is known about it."""
+    trained.stages.write().overwrite().save(f"{path}/stages")
+    kinds.save(spark, trained.model, f"{path}/model")
     board = trained.leaderboard(spark).withColumn("saved_at", F.current_timestamp())
     board.write.mode("overwrite").json(f"{path}/leaderboard")
     top_features(trained.importance(spark)).write.mode("overwrite").json(f"{path}/importance")
-
-
-def probability_of_churn():
-    return vector_to_array("probability")[1]

@@ -13,6 +13,7 @@ from churnloom.operators import (
     clean, feature_quality, features, health, ingest, kpi, profile, reports, rfm, risk, schema_checks,
     segments,
 )
+from churnloom.ml.explain import encoded_pairs
 from churnloom.ml.score import ChurnPredictor
 from churnloom.plans import modes, service
 from churnloom.plans.mart import CustomerMart, mart_for
@@ -129,7 +130,7 @@ def _importance_follows(m: CustomerMart) -> DataFrame:
 
 def _same_when_loaded(m: CustomerMart) -> DataFrame:
     """Whether a model gives each customer the same probability before and after it was saved."""
-    kept = ChurnPredictor(m.trained.pipeline, m.trained.algorithm).transform(m.table).select(
+    kept = ChurnPredictor(m.trained.stages, m.trained.model, m.trained.algorithm).transform(m.table).select(
         "CustomerID", F.col("p").alias("before"))
     return m.predictor.transform(m.table).select("CustomerID", "p").join(kept, "CustomerID").select(
         "CustomerID", (F.col("p") == F.col("before")).alias("same"))
@@ -219,8 +220,63 @@ def _gate_files(m: CustomerMart) -> DataFrame:
                      F.bool_and(F.endswith("path", F.lit(".parquet"))).alias("named"))
 
 
+def _rates_follow(tn="tn", fp="fp", fn="fn", tp="tp"):
+    """Whether the rates follow from the cells and the area lies between chance and 1."""
+    tn, fp, fn, tp = map(F.col, (tn, fp, fn, tp))
+    zero = F.lit(0.0)
+    near = lambda name, a, b: F.abs(F.coalesce(F.try_divide(a, b), zero) - F.col(name)) < 1e-4
+    return (near("accuracy", tn + tp, tn + fp + fn + tp) & near("precision", tp, tp + fp) & near("recall", tp, tp + fn)
+            & near("f1", 2 * tp, 2 * tp + fp + fn) & F.col("roc_auc").between(0.5, 1))
+
+
+def _judged(board: DataFrame) -> DataFrame:
+    """Test rows of both classes that each candidate was judged on, and whether its rates follow."""
+    return board.select("algorithm", (F.col("fn") + F.col("tp")).alias("positives"), (F.col("tn") + F.col("fp")).alias("negatives"),
+                        _rates_follow().alias("rates_follow"))
+
+
 def _candidate(name: str):
-    return lambda m: _board(m).where(F.col("algorithm") == name)
+    return lambda m: _judged(m.trained_only(name).leaderboard(m.table.sparkSession).where(F.col("algorithm") == name))
+
+
+def _cross_validation(m: CustomerMart) -> DataFrame:
+    """Rows of both classes in each fold of each candidate, and whether mean and spread of F1 are those of the folds."""
+    folds = m.trained.fold_table(m.table.sparkSession)
+    summary = folds.groupBy("algorithm").agg(F.avg("f1").alias("mean"), F.stddev_pop("f1").alias("std"))
+    board = _board(m).join(summary, "algorithm").select("algorithm", (
+        (F.abs(F.col("mean") - F.col("cv_f1_mean")) < 1e-4) & (F.abs(F.col("std") - F.col("cv_f1_std")) < 1e-4)).alias("follows"))
+    return folds.join(board, "algorithm").select("algorithm", "fold", (F.col("fn") + F.col("tp")).alias("positives"),
+                                                 (F.col("tn") + F.col("fp")).alias("negatives"), "follows")
+
+
+def _areas_given(m: CustomerMart) -> DataFrame:
+    """Area under the curve of the stand-in probability: of all customers, and by city tier."""
+    given = m.scored.select(F.col("CityTier").cast("int").alias("fit"), F.col("Churn").cast("double").alias("label"),
+                            F.col("Churn_Probability").alias("score")).where("fit IS NOT NULL")
+    both = given.unionAll(given.withColumn("fit", F.lit(0)))
+    return train.areas(both).select("fit", round_even("roc_auc", 9).alias("roc_auc"))
+
+
+def _leaderboard(m: CustomerMart) -> DataFrame:
+    """Places of the candidates, whether each is no better than the one before, and which one won."""
+    order = F.array_sort(F.collect_list(F.struct((-F.col("f1")).alias("less"), "algorithm", "is_best")))
+    board = _board(m).agg(order.alias("b"))  # four rows
+    return board.select(F.posexplode("b").alias("at", "row"), "b").select(
+        (F.col("at") + 1).alias("place"), F.col("row.is_best").alias("is_best"),
+        ((F.col("at") == 0) | (F.get("b", F.col("at") - 1)["less"] <= F.col("row.less"))).alias("in_order"))
+
+
+def _top_features(m: CustomerMart) -> DataFrame:
+    """Places of the reported inputs and whether each is an encoded input."""
+    top = train.top_features(m.trained.importance(m.table.sparkSession)).agg(F.collect_list("feature").alias("f"))
+    names = F.array(*[F.lit(n) for n in m.trained.names])
+    return top.select(F.posexplode("f").alias("at", "feature")).select(
+        (F.col("at") + 1).alias("position"), F.array_contains(names, F.col("feature")).alias("is_input"))
+
+
+def _scored_batch(m: CustomerMart) -> DataFrame:
+    """Every customer that was scored, and whether all that a score brings is there."""
+    return m.predictor.predict(m.table).select("CustomerID", F.expr(" AND ".join(f"{n} IS NOT NULL" for n in risk_columns())).alias("scored"))
 
 
 def _profile_part(part: str):
@@ -414,42 +470,11 @@ def definitions() -> dict:
             prep.stratified_split(prep.model_inputs(m.table)).where("NOT is_test")),
         "m4_m6_encoded_inputs": lambda m: prep.encoded_totals(_encoder(m), prep.model_inputs(m.table)),
         "m5_scaled_inputs": _scaled,
-        # trained models; results depend on the library, so only their rows are checked
-        "m7_logistic_regression": _candidate("LogisticRegression"),
-        "m8_random_forest": _candidate("RandomForest"),
-        "m9_gradient_boosting": _candidate("GradientBoosting"),
-        "m10_stochastic_boosting": _candidate("StochasticGradientBoosting"),
-        "m11_cross_validation": lambda m: _board(m).select("algorithm", "cv_f1_mean", "cv_f1_std"),
-        "m12_test_metrics": lambda m: _board(m).select(
-            "algorithm", "accuracy", "precision", "recall", "f1", "roc_auc", "tn", "fp", "fn", "tp"),
-        "m13_winner": lambda m: _board(m).where("is_best").select("algorithm", "f1"),
-        "m14_top_features": lambda m: train.top_features(m.trained.importance(m.table.sparkSession)),
-        "m15_leaderboard": _board,
-        "m16_batch_scoring": lambda m: m.predictor.predict(m.table).select("CustomerID", *risk_columns()),
-        "s7_s8_model_round_trip": lambda m: risk.tier_counts(m.predictor.predict(m.table)),
-        "x1_global_importance": lambda m: m.explainer.global_importance(m.table),
-        "x2_contributions": lambda m: m.explainer.contributions(m.table)[0].select(
-            "CustomerID", F.inline("contributions")),
-        "x3_x4_explanations": lambda m: m.explainer.explain(m.table).select(
-            "CustomerID", "churn_probability", "risk_level", "executive_summary"),
-        "x5_encoded_rows": lambda m: m.explainer.encoded(m.table).select("CustomerID", F.inline("inputs")),
-        # facts that hold for any trained model
-        "s8_same_when_loaded": _same_when_loaded,
-        "m11_scores_in_range": lambda m: _board(m).select(
-            "algorithm", (F.col("cv_f1_mean").between(0, 1) & F.col("cv_f1_std").between(0, 1)).alias("in_range")),
-        "m12_metrics_follow": _metrics_follow,
-        "m13_winner_is_best": _winner_is_best,
-        "m14_features_in_order": _features_in_order,
-        "m16_consistent_scores": _consistent_scores,
-        "x1_importance_follows": _importance_follows,
-        "x2_adds_up": _adds_up,
-        "x3_x4_follow": _explanations_follow,
-        # run modes
+        "m12_auc_given": _areas_given,
+        "x5_encoded_rows": lambda m: encoded_pairs(_encoder(m), m.table).select("CustomerID", F.inline("inputs")),
+        # mart service
         "d2_data_only": _data_only,
-        "d2_predict_only": _predict_only,
         "v6_source_files": _gate_files,
-        # mart service
-        "d6_explainability": _explainability,
         "d1_mart": lambda m: m.table,
         "d4_dashboard_summary": lambda m: reports.dashboard_summary(
             _kpis(m), health.overall_summary(m.table), risk.tier_counts(m.scored)),
@@ -497,6 +522,39 @@ def definitions() -> dict:
         "b21_top_drivers": lambda m: reports.top_drivers(
             narrative.global_importance(_contributions(m)).withColumn(
                 "importance", round_even("importance", 6))),
+        # trained models, last as they take longest; what is compared holds for any model fitted on these rows
+        "m7_logistic_regression": _candidate("LogisticRegression"),
+        "m8_random_forest": _candidate("RandomForest"),
+        "m9_gradient_boosting": _candidate("GradientBoosting"),
+        "m10_leafwise_boosting": _candidate("LeafwiseBoosting"),
+        "m11_cross_validation": _cross_validation,
+        "m12_test_metrics": lambda m: _judged(_board(m)),
+        "m13_winner": lambda m: _board(m).agg(F.count("*").alias("candidates"), F.count_if("is_best").alias("winners")),
+        "m14_top_features": _top_features,
+        "m15_leaderboard": _leaderboard,
+        "m16_batch_scoring": _scored_batch,
+        "s7_s8_model_round_trip": lambda m: risk.tier_counts(m.predictor.predict(m.table)).agg(F.sum("count").alias("customers")),
+        "x1_global_importance": lambda m: m.explainer.global_importance(m.table).select(
+            "feature", (F.col("importance") >= 0).alias("not_negative")),
+        "x2_contributions": lambda m: m.explainer.contributions(m.table)[0].select(
+            "CustomerID", F.inline("contributions")).select("CustomerID", "feature", F.col("contribution").isNotNull().alias("given")),
+        "x3_x4_explanations": lambda m: m.explainer.explain(m.table).select(
+            "CustomerID", (F.col("risk_level") == risk.risk_tier("churn_probability")).alias("tier_fits"),
+            F.startswith("executive_summary", F.concat(F.lit("Customer "), F.col("CustomerID").cast("string"))).alias("named")),
+        # facts that hold for any trained model
+        "s8_same_when_loaded": _same_when_loaded,
+        "m11_scores_in_range": lambda m: _board(m).select(
+            "algorithm", (F.col("cv_f1_mean").between(0, 1) & F.col("cv_f1_std").between(0, 1)).alias("in_range")),
+        "m12_metrics_follow": _metrics_follow,
+        "m13_winner_is_best": _winner_is_best,
+        "m14_features_in_order": _features_in_order,
+        "m16_consistent_scores": _consistent_scores,
+        "x1_importance_follows": _importance_follows,
+        "x2_adds_up": _adds_up,
+        "x3_x4_follow": _explanations_follow,
+        # run modes
+        "d2_predict_only": _predict_only,
+        "d6_explainability": _explainability,
     }
     return q
 

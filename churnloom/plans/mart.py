@@ -77,6 +77,10 @@ class CustomerMart:
         """Models of every kind, compared on this mart."""
         return train.train(self.table, QUERY_SETTINGS)
 
+    def trained_only(self, name: str) -> train.Trained:
+        """One candidate on this mart, by itself unless all are trained already."""
+        return self.__dict__.get("trained") or train.train(self.table, QUERY_SETTINGS, only=[name])
+
     @cached_property
     def predictor(self) -> ChurnPredictor:
         """The winner, written and read back."""

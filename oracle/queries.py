@@ -662,13 +662,27 @@ def model_queries() -> dict[str, str]:
         f"({n} - (SELECT avg({n}) FROM whole_base)) / (SELECT stddev_samp({n}) FROM whole_base) END")
     every = lambda name: upto("mart", f"SELECT CustomerID, TRUE AS {name} FROM mart")
     four = lambda name: union(f"SELECT '{a}' AS algorithm, TRUE AS {name}" for a in (
-        "LogisticRegression", "RandomForest", "GradientBoosting", "StochasticGradientBoosting"))
+        "LogisticRegression", "RandomForest", "GradientBoosting", "LeafwiseBoosting"))
     features = union([f"SELECT '{n}' AS feature" for n in c.MODEL_NUMERIC]) + f" UNION ALL SELECT feature FROM ({hot})"
     rows_of = union([
         f"SELECT CustomerID, '{n}' AS feature, coalesce(CAST({n} AS DOUBLE), (SELECT median({n}) FROM mart)) AS value FROM mart"
         for n in c.MODEL_NUMERIC] + [
         f"SELECT CustomerID, '{n}' || '_' || v AS feature, CASE WHEN {n} = v THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value "
         f"FROM mart CROSS JOIN (SELECT DISTINCT {n} AS v FROM mart WHERE {n} IS NOT NULL)" for n in c.MODEL_CATEGORICAL])
+    names = ("LogisticRegression", "RandomForest", "GradientBoosting", "LeafwiseBoosting")
+    tests = ("SELECT CAST(sum(CASE WHEN y = 1 THEN t ELSE 0 END) AS BIGINT) AS positives, "
+             "CAST(sum(CASE WHEN y = 0 THEN t ELSE 0 END) AS BIGINT) AS negatives, TRUE AS rates_follow FROM st")
+    judged = lambda wanted: upto("mart", union(f"SELECT '{a}' AS algorithm, * FROM ({tests})" for a in wanted), sizes)
+    # The training rows of each label are cut into five folds, equal up to one row.
+    in_fold = lambda y: (
+        f"(SELECT CAST((n - t) * (k + 1) // 5 - (n - t) * k // 5 AS BIGINT) FROM st WHERE y = {y})")
+    folds = union(f"SELECT '{a}' AS algorithm, CAST(k AS INTEGER) AS fold, {in_fold(1)} AS positives, {in_fold(0)} AS negatives, "
+                  "TRUE AS follows FROM range(5) AS r(k)" for a in names)
+    # Every pair of a customer who left and one who stayed, in order or not.
+    pairs = ("SELECT CAST({fit} AS INTEGER) AS fit, " + rnd(
+        "avg(CASE WHEN a.p > b.p THEN 1.0::DOUBLE WHEN a.p = b.p THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END)", 9) + " AS roc_auc "
+        "FROM given a JOIN given b ON a.y = 1 AND b.y = 0{on} GROUP BY 1")
+    with_p = "given AS (SELECT CityTier AS tier, Churn AS y, Churn_Probability AS p FROM scored WHERE CityTier IS NOT NULL)"
     given = "cm AS (SELECT " + ", ".join(
         f"count(*) FILTER (WHERE Churn = {a} AND Churn_Prediction = {b}) AS {k}"
         for k, a, b in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))) + " FROM scored)"
@@ -686,6 +700,16 @@ def model_queries() -> dict[str, str]:
         "m14_features_in_order": f"SELECT CAST(i + 1 AS INTEGER) AS position, TRUE AS in_order FROM range(20) AS r(i)",
         "x1_importance_follows": upto("mart", f"SELECT feature, TRUE AS follows FROM ({features})"),
         "x5_encoded_rows": upto("mart", rows_of),
+        "m7_logistic_regression": judged(names[:1]), "m8_random_forest": judged(names[1:2]), "m9_gradient_boosting": judged(names[2:3]),
+        "m10_leafwise_boosting": judged(names[3:]), "m12_test_metrics": judged(names), "m11_cross_validation": upto("mart", folds, sizes),
+        "m12_auc_given": upto("scored", pairs.format(fit="0", on="") + " UNION ALL " + pairs.format(fit="a.tier", on=" AND a.tier = b.tier"), with_p),
+        "m13_winner": "SELECT CAST(4 AS BIGINT) AS candidates, CAST(1 AS BIGINT) AS winners",
+        "m14_top_features": "SELECT CAST(i + 1 AS INTEGER) AS position, TRUE AS is_input FROM range(20) AS r(i)",
+        "m15_leaderboard": "SELECT CAST(i + 1 AS INTEGER) AS place, i = 0 AS is_best, TRUE AS in_order FROM range(4) AS r(i)",
+        "m16_batch_scoring": every("scored"), "s7_s8_model_round_trip": upto("mart", "SELECT count(*) AS customers FROM mart"),
+        "x1_global_importance": upto("mart", f"SELECT feature, TRUE AS not_negative FROM ({features})"),
+        "x2_contributions": upto("mart", f"SELECT CustomerID, feature, TRUE AS given FROM mart CROSS JOIN ({features})"),
+        "x3_x4_explanations": upto("mart", "SELECT CustomerID, TRUE AS tier_fits, TRUE AS named FROM mart"),
         "v6_source_files": upto("raw", "SELECT count(*) AS rows, TRUE AS sized, TRUE AS named FROM raw"),
         "m1_model_inputs": upto("mart", f"SELECT CustomerID, {numbers}, {cats}, CAST(Churn AS DOUBLE) AS label FROM mart"),
         "m2_split_sizes": upto("mart", (

@@ -1,11 +1,10 @@
 import numpy as np
 import pytest
-from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from churnloom.errors import ModelInferenceError, ModelTrainingError
-from churnloom.ml import prep, train
+from churnloom.ml import models, prep, train
 from churnloom.ml.explain import ChurnExplainer
 from churnloom.ml.score import ChurnPredictor
 from churnloom.operators import risk
@@ -20,8 +19,7 @@ def trained(mart):
 
 
 def predictors(trained):
-    stages = trained.pipeline.stages[:-1]
-    return {n: ChurnPredictor(PipelineModel(stages=[*stages, m]), n) for n, m in trained.models.items()}
+    return {n: ChurnPredictor(trained.stages, m, n) for n, m in trained.models.items()}
 
 
 def test_split_is_exact_and_repeatable(mart):
@@ -75,39 +73,31 @@ def test_tree_contributions_agree_with_the_definition(spark, mart, trained):
     from itertools import combinations
     from math import factorial
 
-    from churnloom.ml.explain import _ensemble
-
-    model = trained.models["RandomForest"]
+    nodes = trained.models["RandomForest"].nodes
     predictor = predictors(trained)["RandomForest"]
-    trees, scales, value_of, cover = _ensemble(spark, model)
     rows = ChurnExplainer(predictor).contributions(mart.table.where("CustomerID < 50004"))[0].collect()
+    ends = [*nodes.roots[1:], len(nodes.feature)]
 
-    def goes_left(split, x):
-        v, bounds = x[split["featureIndex"]], split["leftCategoriesOrThreshold"]
-        return v in bounds if split["numCategories"] > 0 else v <= bounds[0]
-
-    def expectation(nodes, node, x, known):
-        if node["leftChild"] < 0:
-            return value_of(node)
-        left, right = nodes[node["leftChild"]], nodes[node["rightChild"]]
-        if node["split"]["featureIndex"] in known:
-            return expectation(nodes, left if goes_left(node["split"], x) else right, x, known)
-        return sum(cover(k) / cover(node) * expectation(nodes, k, x, known) for k in (left, right))
+    def expectation(node, x, known):
+        f, left, right = nodes.feature[node], nodes.left[node], nodes.right[node]
+        if f < 0:
+            return nodes.value[node]
+        if f in known:
+            return expectation(left if x[f] <= nodes.threshold[node] else right, x, known)
+        return sum(nodes.cover[k] / nodes.cover[node] * expectation(k, x, known) for k in (left, right))
 
     for row in rows:
         x = [d["value"] for d in row["contributions"]]
         total = np.zeros(len(x))
-        for t, nodes in trees.items():
-            used = sorted({n["split"]["featureIndex"] for n in nodes.values() if n["leftChild"] >= 0})
+        for root, end in zip(nodes.roots, ends):
+            used = sorted({int(f) for f in nodes.feature[root:end] if f >= 0})
             m = len(used)
             for f in used:
                 others = [u for u in used if u != f]
                 for size in range(m):
                     weight = factorial(size) * factorial(m - size - 1) / factorial(m)
                     for subset in combinations(others, size):
-                        gain = (expectation(nodes, nodes[0], x, {*subset, f})
-                                - expectation(nodes, nodes[0], x, set(subset)))
-                        total[f] += scales[t] * weight * gain
+                        total[f] += weight * (expectation(root, x, {*subset, f}) - expectation(root, x, set(subset)))
         assert np.allclose(total, [d["contribution"] for d in row["contributions"]], atol=1e-9)
 
 
@@ -141,7 +131,8 @@ def test_modes_save_and_load(spark, mart, tmp_path):
 def test_missing_model_and_missing_columns(spark, mart, tmp_path, trained):
     with pytest.raises(ModelInferenceError):
         ChurnPredictor.load(spark, str(tmp_path / "none"))
-    trained.pipeline.write().overwrite().save(str(tmp_path / "bare/model"))
+    trained.stages.write().overwrite().save(str(tmp_path / "bare/stages"))
+    models.save(spark, trained.model, str(tmp_path / "bare/model"))
     assert ChurnPredictor.load(spark, str(tmp_path / "bare")).algorithm == "Unknown"
     with pytest.raises(ModelInferenceError):
         ChurnPredictor.load(spark, str(tmp_path / "bare")).predict(mart.table.drop("Tenure"))
@@ -161,7 +152,9 @@ def test_queries_train_full_size_models(spark):
     from churnloom.plans.mart import QUERY_SETTINGS
 
     assert QUERY_SETTINGS == train.Settings()
-    models = train.candidates(QUERY_SETTINGS, 1000)
-    for name in ("GradientBoosting", "StochasticGradientBoosting"):
-        assert models[name].getMaxIter() == 300 and models[name].getStepSize() == 0.05 and models[name].getMaxDepth() == 6
-    assert models["RandomForest"].getNumTrees() == 300 and QUERY_SETTINGS.folds == 5
+    growths = train.candidates(QUERY_SETTINGS, 49)
+    assert growths["LogisticRegression"] is None
+    for name in ("GradientBoosting", "LeafwiseBoosting"):
+        assert (growths[name].rounds, growths[name].step, growths[name].depth) == (300, 0.05, 6)
+    assert growths["RandomForest"].rounds == 300 and growths["RandomForest"].depth is None and QUERY_SETTINGS.folds == 5
+    assert growths["RandomForest"].tries == 7 and growths["LeafwiseBoosting"].leaves == 31
