@@ -1,176 +1,206 @@
-"""Near-duplicate vectors by pivots with distance shells, which replace a cover tree and its dual traversal.
+"""Near-duplicate vectors by a cover tree and its dual traversal.
 
-For unit vectors a cosine of at least c is a distance of at most sqrt(2 - 2c). Centres are a bounded sample
-of the vectors, per label. Around each lie shells between halving radii; a vector belongs to a shell
-of its nearest centre. There is one level of centres, without parents or children. Such a node is bounded by the exact largest and
-smallest distance of its vectors to the centre. Pairs of nodes that these bounds keep apart are
-pruned, all others are compared exactly, in blocks of bounded size, so results do not depend on the sample.
+For unit vectors a cosine of at least c is a distance of at most sqrt(2 - 2c). The vectors of a label form a tree: below a
+node lie centres, picked from its vectors further apart than a radius that halves from level to level, the node's own
+centre first among them, and every vector belongs to the nearest. A node is bounded by the exact largest distance of
+its vectors to its centre (the covering radius), so that vectors which no centre within the radius covers are
+bounded as well. Nodes of few vectors are leaves, as are all nodes below the last radius. The traversal
+goes down with pairs of nodes, first a root with itself: the children of a pair meet, and a pair stays if centres and
+covering radii do not keep it apart. Pairs of leaves are compared exactly, in blocks of bounded size.
 
+Levels, nodes and pairs are tables, and a step is a join: none of them passes through the driver. Centres decide speed only.
 Equal vectors are one vector with a number of copies. A block pair reports link counts, and its links
 as stars, never as pairs.
 """
 
 from __future__ import annotations
 
-from itertools import groupby
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from churnloom.llm.common import received, send, ship
+from churnloom.llm.common import parts, ship
 from churnloom.llm.components import components, stars
 from churnloom.plans.stages import cut
 
 COSINE = 0.98
-# Bounds of the broadcast centres, in vectors and in numbers (16 MB).
-CENTRES = 2048
-CENTRE_NUMBERS = 1 << 21
-RADII = (1.0, 0.5, 0.25, 0.125, 0.0625)  # beyond the first: the rest
-BLOCK = 2048  # vectors compared at once
-SLACK = 1e-9  # of the bounds, for rounding
-
-
-class Centres:
-    """The sample, by label; nodes are numbered centre by centre, each with its balls."""
-
-    def __init__(self, labels: list, vectors: np.ndarray):
-        self.vectors = vectors
-        order = sorted(range(len(labels)), key=lambda i: labels[i])
-        self.of_label = {k: np.array(list(g)) for k, g in groupby(order, key=lambda i: labels[i])}
-
-    def node_of(self, label, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Node and distance to its centre of unit vectors of one label; without a centre, node -1."""
-        own = self.of_label.get(label)
-        if own is None:
-            return np.full(len(unit), -1), np.full(len(unit), 2.0)
-        similar = unit @ self.vectors[own].T
-        nearest = similar.argmax(1)
-        far = np.linalg.norm(unit - self.vectors[own[nearest]], axis=1)
-        ball = (far[:, None] <= np.array(RADII)).sum(1)
-        return own[nearest] * (len(RADII) + 1) + ball, far
-
-
-def unit(packed: list[bytes]) -> np.ndarray:
-    found = np.stack([np.frombuffer(x, "<f4") for x in packed]).astype(np.float64)
+LEAF = 2048  # most vectors of a leaf above the last level
+BLOCK = 2048  # vectors compared at once, and dealt to centres at once
+SAMPLE = 512  # vectors that the centres below a node are picked from
+FAN = 48  # most centres below a node
+RADII = (1.0, 0.5, 0.25, 0.125, 0.0625)
+SLACK = 1e-7  # of the bounds, for rounding
+
+
+def unit(packed: list[bytes], kind: str) -> np.ndarray:
+    found = np.stack([np.frombuffer(x, kind) for x in packed]).astype(np.float64)
     return found / np.linalg.norm(found, axis=1, keepdims=True)
 
 
-def _assign(centres):
-    def run(batches):
-        tree = received(centres)
-        for batch in batches:
-            labels = batch.column(batch.schema.get_field_index("label")).to_pylist()
-            packed = batch.column(batch.schema.get_field_index("vector")).to_pylist()
-            nodes, far = np.zeros(len(labels), np.int64), np.zeros(len(labels))
-            # Vectors of a label and of one length together.
-            of = {}
-            for i, key in enumerate(zip(labels, map(len, packed), strict=True)):
-                of.setdefault(key, []).append(i)
-            for (label, length), rows in of.items():
-                fits = tree.vectors.shape[1:] == (length // 4,)
-                nodes[rows], far[rows] = tree.node_of(label if fits else None, unit([packed[i] for i in rows]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes), pa.array(far)], [*batch.schema.names, "node", "far"])
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of unit vectors; the square root loses digits near 0, which the slack allows for."""
+    return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
+
+
+def _net(radius: float, kind: str):
+    """Centres below one node, from a sample of its vectors."""
+    def run(key, group):
+        order = np.lexsort((group.column("rep").to_numpy(), group.column("draw").to_numpy()))
+        packed = group.column("vector").take(pa.array(order)).to_pylist()
+        own = group.column("centre")[0].as_py()
+        packed = ([own] if own is not None else []) + packed
+        x = unit(packed, kind)
+        picked, free = [], np.ones(len(x), bool)
+        while free.any() and len(picked) < FAN:
+            picked.append(int(free.argmax()))
+            free &= distances(x, x[picked[-1:]])[:, 0] > radius
+        n = len(picked)
+        return pa.table({"tree": pa.array([key[0].as_py()] * n), "node": pa.array([key[1].as_py()] * n),
+                         "child": pa.array([f"{key[1].as_py()}.{i}" for i in range(n)]), "centre": pa.array([packed[i] for i in picked], pa.binary())})
 
     return run
 
 
-class Traversal:
-    """Which groups of nodes meet, from the nodes' counts and bounds; a group is what one or more blocks hold."""
-
-    def __init__(self, tree: Centres, rows: list, threshold: float):
-        self.limit = np.sqrt(2 - 2 * threshold) + SLACK
-        self.group_of, self.blocks, self.partners = {}, [], []
-        self.bounds = {(r.label, r.node): (r.low, r.high) for r in rows}
-        for label, own in groupby(sorted(rows, key=lambda r: (r.label, r.node)), key=lambda r: r.label):
-            members, first = [], len(self.blocks)
-            for r in own:  # neighbouring small nodes share a block, a large node has several
-                if not members or members[-1][1] + r.n > BLOCK:
-                    members.append([[], 0])
-                members[-1][0].append(r.node)
-                members[-1][1] += r.n
-                self.group_of[label, r.node] = first + len(members) - 1
-            self.blocks += [-(-n // BLOCK) for _, n in members]
-            for i, (nodes, _) in enumerate(members):
-                self.partners.append([first + j for j, (others, _) in enumerate(members)
-                                      if i == j or self.meet(tree, label, nodes, others).any()])
-
-    def meet(self, tree: Centres, label, a, b) -> np.ndarray:
-        """Which nodes of ``a`` and ``b`` cannot be kept apart by their bounds."""
-        a, b = np.asarray(a), np.asarray(b)
-        low_a, high_a = np.array([self.bounds[label, x] for x in a.tolist()]).T
-        low_b, high_b = np.array([self.bounds[label, x] for x in b.tolist()]).T
-        if min(a.min(), b.min()) < 0:  # no centre, no bound
-            return np.ones((len(a), len(b)), bool)
-        size = len(RADII) + 1
-        x, y = tree.vectors[a // size], tree.vectors[b // size]
-        between = np.sqrt(np.maximum(2 - 2 * (x @ y.T), 0))
-        apart = np.maximum.reduce([between - high_a[:, None] - high_b, low_a[:, None] - between - high_b,
-                                   low_b - between - high_a[:, None]])
-        return apart <= self.limit + 1e-7  # the square root above loses digits near 0
-
-
-def _deal(traversal):
-    """Every vector once for each block pair that its block is in."""
+def _nearest(kind: str):
+    """The nearest centre of each vector of a part of a node."""
+    def run(points, centres):
+        if not points.num_rows:
+            return pa.table({"tree": pa.array([], pa.string()), "node": pa.array([], pa.string()), "rep": pa.array([], pa.int64()),
+                             "copies": pa.array([], pa.int64()), "vector": pa.array([], pa.binary()), "far": pa.array([], pa.float64())})
+        away = distances(unit(points.column("vector").to_pylist(), kind), unit(centres.column("centre").to_pylist(), kind))
+        nearest = away.argmin(1)
+        return pa.table({"tree": points.column("tree"), "node": centres.column("child").take(pa.array(nearest)), "rep": points.column("rep"),
+                         "copies": points.column("copies"), "vector": points.column("vector"), "far": pa.array(away[np.arange(len(away)), nearest])})
+
+    return run
+
+
+def _apart(limit: float, kind: str):
+    """Drops pairs of nodes that their centres and covering radii keep apart."""
     def run(batches):
-        plan = received(traversal)
-        for batch in batches:
-            taken, lefts, rights, sides = [], [], [], []
-            at = [batch.schema.get_field_index(c) for c in ("label", "node", "rep")]
-            for i, (label, node, rep) in enumerate(zip(*(batch.column(c).to_pylist() for c in at), strict=True)):
-                group = plan.group_of[label, node]
-                block = hash(rep * 2654435761 % 4294967291) % plan.blocks[group]
-                for other in plan.partners[group]:
-                    for j in range(plan.blocks[other]):
-                        mine, its = (group, block), (other, j)
-                        taken.append(i)
-                        lefts.append("%d.%d" % min(mine, its))
-                        rights.append("%d.%d" % max(mine, its))
-                        sides.append(int(mine > its))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.take(pa.array(taken, pa.int64())).columns, pa.array(lefts), pa.array(rights), pa.array(sides, pa.int32())],
-                [*batch.schema.names, "left_block", "right_block", "side"])
+        for batch in parts(batches):
+            at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            sides = [at[c].to_pylist() for c in ("centre_a", "centre_b")]
+            between = np.zeros(batch.num_rows)
+            for length in set(map(len, sides[0])):  # trees differ in length
+                rows = [i for i, x in enumerate(sides[0]) if len(x) == length]
+                a, b = (unit([side[i] for i in rows], kind) for side in sides)
+                between[rows] = np.sqrt(np.maximum(2 - 2 * (a * b).sum(1), 0))
+            keep = between - at["radius_a"].to_numpy() - at["radius_b"].to_numpy() <= limit + SLACK
+            yield pa.RecordBatch.from_arrays([at[c].filter(pa.array(keep)) for c in ("tree", "a", "b")], ["tree", "a", "b"])
 
     return run
 
 
-def _compare(centres, traversal, threshold):
+def cover_tree(points: DataFrame, limit: float, kind: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Points with the leaf (``node``) they are in, and a table of nodes for each level: ``tree, parent, node, centre, radius``.
+
+    A leaf stays in the tables of the levels below it, as its own only child.
+    """
+    active = points.withColumn("node", F.lit("")).withColumn("far", F.lit(2.0))
+    centre_of = points.select("tree").distinct().select("tree", F.lit("").alias("node"), F.lit(None).cast("binary").alias("centre"))
+    done, levels, kept = [], [], None
+    for radius in RADII:
+        sizes = cut(active.groupBy("tree", "node").agg(F.count("*").alias("n"), F.max("far").alias("radius")), "node-sizes")
+        # Vectors of a node this narrow are all linked; splitting it would keep nothing apart.
+        is_big = (F.col("n") > LEAF) & (2 * F.col("radius") > limit)
+        big = sizes.where(is_big)
+        done.append(active.join(sizes.where(~is_big).select("tree", "node"), ["tree", "node"]).select("tree", "node", "rep", "copies", "vector"))
+        if big.isEmpty():
+            break
+        active = active.join(big.select("tree", "node", "n"), ["tree", "node"])
+        order = W.partitionBy("tree", "node").orderBy("draw", "rep")
+        sample = (active.withColumn("draw", F.xxhash64("rep")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE)
+                  .select("tree", "node", "rep", "draw", "vector").join(centre_of, ["tree", "node"]))
+        centres = cut(sample.groupBy("tree", "node").applyInArrow(_net(radius, kind), "tree string, node string, child string, centre binary"),
+                      "centres")
+        # The vectors of a node are dealt to its centres in parts of bounded size.
+        share = F.ceil(F.col("n") / BLOCK).cast("int")
+        dealt = active.withColumn("part", F.pmod(F.xxhash64("rep"), share).cast("int"))
+        copies = centres.join(big.select("tree", "node", F.explode(F.sequence(F.lit(0), share - 1)).alias("part")), ["tree", "node"])
+        active = cut(dealt.groupBy("tree", "node", "part").cogroup(copies.groupBy("tree", "node", "part")).applyInArrow(
+            _nearest(kind), "tree string, node string, rep long, copies long, vector binary, far double"), "assigned")
+        covered = active.groupBy("tree", "node").agg(F.max("far").alias("radius"))
+        found = centres.select("tree", F.col("node").alias("parent"), F.col("child").alias("node"), "centre").join(covered, ["tree", "node"])
+        found = found.select("tree", "parent", "node", "centre", "radius")
+        if kept is not None:
+            leaves = kept.join(big.select("tree", "node"), ["tree", "node"], "left_anti").select(
+                "tree", F.col("node").alias("parent"), "node", "centre", "radius")
+            found = found.unionAll(leaves)
+        roots = points.select("tree").distinct().join(big.select("tree").distinct(), "tree", "left_anti") if kept is None else None
+        kept = cut(found, "nodes")
+        levels.append((kept, roots))
+        centre_of = kept.select("tree", "node", "centre")
+    else:
+        done.append(active.select("tree", "node", "rep", "copies", "vector"))
+    leaves = done[0]
+    for part in done[1:]:
+        leaves = leaves.unionAll(part)
+    return cut(leaves, "leaves"), levels
+
+
+def meeting_leaves(points: DataFrame, levels: list, limit: float, kind: str) -> DataFrame:
+    """``tree, a, b``: pairs of leaves that nothing keeps apart, a leaf with itself among them; found level by level."""
+    pairs = points.select("tree").distinct().select("tree", F.lit("").alias("a"), F.lit("").alias("b"))
+    lone = None
+    for nodes, roots in levels:
+        if roots is not None:  # trees that are one leaf
+            lone = roots.select("tree", F.lit("").alias("a"), F.lit("").alias("b"))
+        side = lambda k: nodes.select("tree", F.col("parent").alias(k), F.col("node").alias(f"{k}_child"),
+                                      F.col("centre").alias(f"centre_{k}"), F.col("radius").alias(f"radius_{k}"))
+        met = pairs.join(side("a"), ["tree", "a"]).join(side("b"), ["tree", "b"])
+        # The children of a node meet each other once.
+        met = met.where((F.col("a") != F.col("b")) | (F.col("a_child") <= F.col("b_child")))
+        met = met.select("tree", F.col("a_child").alias("a"), F.col("b_child").alias("b"), "centre_a", "centre_b", "radius_a", "radius_b")
+        pairs = cut(met.mapInArrow(_apart(limit, kind), "tree string, a string, b string"), "node-pairs")
+    return pairs if lone is None else pairs.unionAll(lone)
+
+
+def block_pairs(leaves: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Every vector once for each pair of blocks that its block is in: ``name`` of the pair, ``side`` and the vector."""
+    sizes = cut(leaves.groupBy("tree", "node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "leaf-sizes")
+    of = lambda k: sizes.select("tree", F.col("node").alias(k), F.col("blocks").alias(f"{k}_blocks"))
+    met = pairs.join(of("a"), ["tree", "a"]).join(of("b"), ["tree", "b"])
+    met = met.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("a_blocks") - 1))).withColumn(
+        "j", F.explode(F.sequence(F.lit(0), F.col("b_blocks") - 1))).where("a <> b OR i <= j")
+    met = met.withColumn("name", F.struct("tree", "a", "i", "b", "j"))
+    place = lambda k, i, side: met.select("tree", F.col(k).alias("node"), F.col(i).alias("block"), "name", F.lit(side).alias("side"))
+    sides = place("a", "i", 0).unionAll(place("b", "j", 1).where("name.a <> name.b OR name.i <> name.j"))
+    placed = leaves.join(sizes, ["tree", "node"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    return placed.join(sides, ["tree", "node", "block"]).select("name", "side", "rep", "copies", "vector")
+
+
+def _compare(threshold: float, kind: str):
     def run(key, group):
-        tree, plan = received(centres), received(traversal)
-        data = group.to_pydict()
-        label, same = data["label"][0], data["left_block"][0] == data["right_block"][0]
-        rows = [[i for i, s in enumerate(data["side"]) if s == side] for side in (0, 1)]
+        side = group.column("side").to_numpy()
+        rows = [np.flatnonzero(side == k) for k in (0, 1)]
+        name = key[0].as_py()
+        same = (name["a"], name["i"]) == (name["b"], name["j"])
         if same:
             rows[1] = rows[0]
-        out = ([], [], [])
-        lengths = {len(data["vector"][i]) for i in rows[0]} & {len(data["vector"][i]) for i in rows[1]}
-        for length in lengths:
-            ids = [[i for i in side if len(data["vector"][i]) == length] for side in rows]
-            a, b = (unit([data["vector"][i] for i in side]) for side in ids)
-            nodes = [np.unique([data["node"][i] for i in side], return_inverse=True) for side in ids]
-            meet = plan.meet(tree, label, nodes[0][0], nodes[1][0])
-            linked = np.zeros((len(a), len(b)), bool)
-            for n in range(len(nodes[0][0])):
-                mine, theirs = np.flatnonzero(nodes[0][1] == n), np.flatnonzero(meet[n][nodes[1][1]])
-                if len(theirs):
-                    linked[np.ix_(mine, theirs)] = a[mine] @ b[theirs].T >= threshold
-            if same:
-                np.fill_diagonal(linked, False)
-            copies = [np.array([data["copies"][i] for i in side]) for side in ids]
-            reps = [np.array([data["rep"][i] for i in side]) for side in ids]
-            counts = [linked @ copies[1], linked.T @ copies[0]]
-            used = [np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))]
-            if same:  # a row is its own column
-                np.fill_diagonal(linked, True)
-            parts = stars(linked[np.ix_(*used)])
-            for side in range(1 if same else 2):
-                rep, n = reps[side][used[side]], counts[side][used[side]]
-                out[0].extend(rep.tolist())
-                out[1].extend(n.tolist())
-                # The star's middle: the component is numbered by one of its rows.
-                out[2].extend(reps[0][used[0]][parts[side]].tolist())
-        return pa.table({"rep": pa.array(out[0], pa.int64()), "links": pa.array(out[1], pa.int64()), "middle": pa.array(out[2], pa.int64())})
+        if not len(rows[0]) or not len(rows[1]):  # a block that no vector fell into
+            return pa.table({n: pa.array([], pa.int64()) for n in ("rep", "links", "middle")})
+        vector = group.column("vector")
+        a = unit(vector.take(pa.array(rows[0])).to_pylist(), kind)
+        b = a if same else unit(vector.take(pa.array(rows[1])).to_pylist(), kind)
+        linked = a @ b.T >= threshold
+        if same:
+            np.fill_diagonal(linked, False)
+        reps, copies = (group.column(c).to_numpy() for c in ("rep", "copies"))
+        counts = [linked @ copies[rows[1]], linked.T @ copies[rows[0]]]
+        used = [np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))]
+        if same:  # a row is its own column
+            np.fill_diagonal(linked, True)
+        middles = stars(linked[np.ix_(*used)])
+        out = [[], [], []]
+        for k in range(1 if same else 2):
+            out[0].append(reps[rows[k][used[k]]])
+            out[1].append(counts[k][used[k]])
+            # The star's middle: the component is numbered by one of its rows.
+            out[2].append(reps[rows[0][used[0]]][middles[k]] if len(used[0]) else np.empty(0, np.int64))
+        return pa.table({n: pa.array(np.concatenate(v), pa.int64()) for n, v in zip(("rep", "links", "middle"), out, strict=True)})
 
     return run
 
@@ -184,12 +214,15 @@ def embedding_dedup(vectors: DataFrame, threshold: float = COSINE, vec_id: str =
     is kept. Repeated rows are copies of each other and link. Ties at the threshold link. Other columns
     are not read. An empty table gives an empty one.
     """
-    spark = vectors.sparkSession
+    # Doubles stay doubles; anything else is read as float.
+    number = "double" if vectors.schema[embedding].dataType.simpleString() == "array<double>" else "float"
+    kind = "<f8" if number == "double" else "<f4"
+    limit = float(np.sqrt(2 - 2 * threshold))
     numbers = F.col("embedding")
     good = (F.col("vec_id").isNotNull() & F.col("label").isNotNull() & numbers.isNotNull()
             & F.forall(numbers, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
             & F.exists(numbers, lambda x: x != 0))
-    given = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>").alias("embedding"),
+    given = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{number}>").alias("embedding"),
                            F.col(label).cast("string").alias("label"))
     keyed = given.select("*", F.coalesce(good, F.lit(False)).alias("good")).select(
         "*", *(F.when(F.col("good"), F.xxhash64("label", "embedding", F.lit(i))).alias(f"k{i}") for i in (0, 1)))
@@ -200,26 +233,16 @@ def embedding_dedup(vectors: DataFrame, threshold: float = COSINE, vec_id: str =
     def packed(batches):
         for batch in batches:
             at = batch.schema.get_field_index("embedding")
-            column = pa.array([np.array(x, "<f4").tobytes() for x in batch.column(at).to_pylist()], pa.binary())
+            column = pa.array([np.array(x, kind).tobytes() for x in batch.column(at).to_pylist()], pa.binary())
             yield batch.set_column(at, "vector", column)
 
     classes = cut(classes.mapInArrow(packed, "k0 long, k1 long, rep long, copies long, label string, vector binary"), "classes")
-    # A sample of a size that follows the table up to the bound; it decides speed only.
-    size = classes.agg(F.count("*").alias("n"), F.max(F.length("vector")).alias("bytes")).first()
-    wanted = min(CENTRES, CENTRE_NUMBERS * 4 // max(size.bytes or 4, 4), max(16, size.n // 256))
-    sample = (classes.where(F.length("vector") == (size.bytes or 0)).orderBy(F.xxhash64("rep"), "rep").limit(wanted)
-              .select("label", "vector").toArrow().to_pydict())
-    tree = Centres(sample["label"], unit(sample["vector"]) if sample["vector"] else np.zeros((0, 0)))
-    centres = send(spark, tree)
-    assigned = cut(classes.mapInArrow(_assign(centres), "k0 long, k1 long, rep long, copies long, label string, vector binary, node long, far double"),
-                   "nodes")
-    # One row per node: at most the number of centres times that of balls, and one per label without a centre.
-    nodes = assigned.groupBy("label", "node").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).collect()
-    traversal = send(spark, Traversal(tree, nodes, threshold))
-    dealt = assigned.select("label", "node", "rep", "copies", "vector").mapInArrow(
-        _deal(traversal), "label string, node long, rep long, copies long, vector binary, left_block string, right_block string, side int")
-    found = cut(dealt.groupBy("left_block", "right_block").applyInArrow(
-        _compare(centres, traversal, threshold), "rep long, links long, middle long"), "embedding-links")
+    # Vectors of a label and of one length make a tree.
+    points = classes.select(F.concat_ws("/", F.length("vector").cast("string"), "label").alias("tree"), "rep", "copies", "vector")
+    leaves, levels = cover_tree(points, limit, kind)
+    pairs = meeting_leaves(points, levels, limit, kind)
+    found = cut(block_pairs(leaves, pairs).groupBy("name").applyInArrow(
+        _compare(threshold, kind), "rep long, links long, middle long"), "embedding-links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = cut(components(found.select(F.col("rep").alias("a"), F.col("middle").alias("b"))), "embedding-components")
     judged = (classes.select("k0", "k1", "rep", "copies").join(counts, "rep", "left")

@@ -2,9 +2,9 @@
 
 The documents of a source queue in a random but fixed order, and queue again when all have been
 served, up to three times. Serving a source takes virtual time: its words so far divided by its target.
-Every source is cut at virtual time 1, when it has given its target: what is being served then is
-served in part. All queues are merged by the virtual time at which a document is finished; this orders
-the mix and does not decide what is in it.
+All queues are merged by the virtual time at which a document is finished, and the merged order is cut where its
+words reach the total budget, in the middle of a document if need be. By virtual time 1 every source has been
+served its target, so each ends within a document or so of it.
 
 Running sums are taken in two steps, over chunks and inside them, so that neither a source with most
 of the rows nor the merged order has to pass through one task.
@@ -66,7 +66,8 @@ def _before(df: DataFrame, group: list[str], chunk: str, amount: str) -> DataFra
 def queue(docs: DataFrame, seed: str = "", text: str = "text") -> DataFrame:
     """Every row's size and place in the queue of its source: ``doc_id, source_key, text_hash, size,
     chunk, place, before, source_size, target``. Written once, as all that follows reads it."""
-    shuffled = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    # The text is part of the draw, so that rows of one id, or of none, do not queue in one place.
+    shuffled = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")))))
     sizes = cut(docs.select(
         "doc_id", "source", source_key(F.col("source")).alias("source_key"), F.xxhash64(text).alias("text_hash"),
         word_count(text).alias("size"), shuffled.alias("shuffled")), "sizes")
@@ -86,27 +87,24 @@ def queue(docs: DataFrame, seed: str = "", text: str = "text") -> DataFrame:
 
 def merged(queued: DataFrame) -> DataFrame:
     """The mix: one row per document and round that is served, with the ``words`` it gives and where
-    they start in the mix (``mix_start``), in order of ``finish``, its virtual time."""
+    they start in the mix (``mix_start``), in order of ``finish``, its virtual time. The budget is the size of all documents."""
+    budget = queued.agg(F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
     start = F.col("round") * F.col("source_size") + F.col("before")
-    served = F.least(F.col("size"), F.floor("target").cast("long") - start)
-    entries = (queued.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
-               .withColumn("words", served).where("words > 0")
-               .withColumn("finish", F.least((start + F.col("words")) / F.col("target"), F.lit(1.0))))
+    entries = (queued.where("size > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
+               .withColumn("finish", (start + F.col("size")) / F.col("target")))
     # All sources progress alike, so equal spans of virtual time hold about equal numbers of words.
-    bins = max(LEAST_CHUNKS, queued.count() // CHUNK_ROWS)
-    entries = entries.withColumn("span", F.least(F.floor(F.col("finish") * bins), F.lit(bins - 1)).cast("long"))
+    bins = max(LEAST_CHUNKS, budget["rows"] // CHUNK_ROWS)
+    entries = entries.withColumn("span", F.floor(F.col("finish") * bins).cast("long"))
     order = W.partitionBy("span").orderBy("finish", "source_key", "chunk", "place", "round")
-    budget = F.sum("span_sum").over(W.partitionBy())
-    sums = entries.groupBy("span").agg(F.sum("words").alias("span_sum"))
-    bases = sums.select(
-        "span", budget.alias("budget"),
-        F.coalesce(F.sum("span_sum").over(W.orderBy("span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        .alias("span_before"))
-    return (entries
-            .withColumn("inside", F.sum("words").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("words"))
-            .join(bases, "span")
-            .withColumn("mix_start", F.col("span_before") + F.col("inside"))
-            .where("mix_start < budget").drop("inside", "span_before", "span"))
+    sums = entries.groupBy("span").agg(F.sum("size").alias("span_sum"))
+    bases = sums.select("span", F.coalesce(
+        F.sum("span_sum").over(W.orderBy("span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("span_before"))
+    # Spans that begin beyond the budget are left out before anything is ordered.
+    return (entries.join(bases.where(F.col("span_before") < budget["words"]), "span")
+            .withColumn("inside", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
+            .withColumn("mix_start", F.col("span_before") + F.col("inside")).where(F.col("mix_start") < budget["words"])
+            .withColumn("words", F.least(F.col("size"), budget["words"] - F.col("mix_start")))
+            .drop("inside", "span_before", "span"))
 
 
 def mix(docs: DataFrame, seed: str = "", text: str = "text") -> DataFrame:
@@ -127,7 +125,7 @@ def mix(docs: DataFrame, seed: str = "", text: str = "text") -> DataFrame:
 def mixed_documents(docs: DataFrame, seed: str = "") -> DataFrame:
     """The rows of ``docs`` as the mix holds them, each as often as it is taken as a whole.
 
-    A document whose serving the budget cuts short is in if at least half of it is served. Texts without
+    The document that the budget cuts short is in if at least half of it is served. Texts without
     words are not in. All columns of ``docs`` are kept.
     """
     queued = cut(queue(docs, seed), "queue")
@@ -152,7 +150,7 @@ def mixed_documents(docs: DataFrame, seed: str = "") -> DataFrame:
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS shuffled
+         md5(':' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS shuffled
   FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -170,13 +168,21 @@ goals AS (
          CASE WHEN s.place < f.place THEN (3 * source_size)::DOUBLE ELSE f.unit * weight END AS target
   FROM shared s CROSS JOIN first f),
 queued AS (
-  SELECT doc_id, size, source_size, target,
+  SELECT row_number() OVER () AS r, d.source, doc_id, size, source_size, target,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY shuffled, size
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
-  FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, floor(target)::BIGINT - before))
-        + greatest(0, least(size, floor(target)::BIGINT - before - source_size))
-        + greatest(0, least(size, floor(target)::BIGINT - before - 2 * source_size)))::BIGINT AS taken
-FROM queued
+  FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source),
+entries AS (
+  SELECT r, size, before, round, coalesce('s' || source, 'n') AS source_key,
+         (round * source_size + before + size)::DOUBLE / target AS finish
+  FROM queued CROSS JOIN range(3) AS t(round) WHERE size > 0),
+merged AS (
+  SELECT r, size, (sum(size) OVER (ORDER BY finish, source_key, before, round
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS mix_start
+  FROM entries),
+served AS (
+  SELECT r, sum(greatest(0, least(size, (SELECT sum(size) FROM sized)::BIGINT - mix_start)))::BIGINT AS taken
+  FROM merged GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
+FROM queued LEFT JOIN served USING (r)
 """

@@ -92,17 +92,22 @@ def mix(rows):
             target[s] = Fraction(3 * total[s]) if above else unit * weight[s]
         left -= sum(target[s] for s in above)
         free = free - above if above else set()
-    out = []
-    before = defaultdict(int)
-    order = sorted(range(len(rows)), key=lambda i: (hashlib.md5(str("" if rows[i][0] is None else rows[i][0]).encode()).hexdigest(), sizes[i]))
+    def draw(i):
+        d, text, _ = rows[i]
+        inner = hashlib.md5((text or "").encode()).hexdigest()
+        return hashlib.md5(f":{'' if d is None else d}:{inner}".encode()).hexdigest(), sizes[i]
+
+    before, queue, order = defaultdict(int), [], sorted(range(len(rows)), key=draw)
     for i in order:
-        d, _, s = rows[i]
-        goal = int(target[s])
-        taken = sum(max(0, min(sizes[i], goal - before[s] - r * total[s])) for r in range(3))
-        parts = [max(0, min(sizes[i], goal - before[s] - r * total[s])) for r in range(3)]
-        out.append((d, sizes[i], total[s], float(target[s]), taken, parts))
+        s = rows[i][2]
+        key = "n" if s is None else "s" + s
+        queue += [((r * total[s] + before[s] + sizes[i]) / float(target[s]), key.encode(), before[s], r, i) for r in range(3) if sizes[i]]
         before[s] += sizes[i]
-    return out
+    parts, left = defaultdict(lambda: [0, 0, 0]), sum(sizes)
+    for _, _, _, r, i in sorted(queue):
+        parts[i][r] = min(sizes[i], left)
+        left -= parts[i][r]
+    return [(rows[i][0], sizes[i], total[rows[i][2]], float(target[rows[i][2]]), sum(parts[i]), parts[i]) for i in order]
 
 
 def tokenizer():

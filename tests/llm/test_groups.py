@@ -1,5 +1,7 @@
 """Operators that compare documents or vectors."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -78,8 +80,9 @@ def _vector_groups(rows, threshold=0.98):
     return counts, plain.groups(counts, links)
 
 
-@pytest.mark.parametrize("block", [2048, 4])
-def test_vectors(spark, monkeypatch, block):
+@pytest.mark.parametrize(("leaf", "block"), [(2048, 2048), (2048, 4), (4, 2048), (6, 3)])
+def test_vectors(spark, monkeypatch, leaf, block):
+    monkeypatch.setattr(vectors, "LEAF", leaf)
     monkeypatch.setattr(vectors, "BLOCK", block)
     rng = np.random.default_rng(3)
     rows = []
@@ -96,6 +99,53 @@ def test_vectors(spark, monkeypatch, block):
         (v, counts[v], groups[v], groups[v] == v) for v in counts)
 
 
+def _tree(spark, rows, limit=0.2):
+    table = spark.createDataFrame([("t", i, 1, np.array(x, "<f8").tobytes()) for i, x in enumerate(rows)],
+                                  "tree string, rep long, copies long, vector binary").repartition(3)
+    leaves, levels = vectors.cover_tree(table, limit, "<f8")
+    return leaves, levels, vectors.meeting_leaves(table, levels, limit, "<f8")
+
+
+def test_the_tree_covers_and_the_traversal_prunes(spark, monkeypatch):
+    """Clustered vectors: levels nest, radii cover, and under a tenth of all pairs is compared."""
+    monkeypatch.setattr(vectors, "LEAF", 20)
+    rng = np.random.default_rng(8)
+    coarse = rng.standard_normal((6, 16))
+    fine = np.repeat(coarse, 8, 0) + 0.25 * rng.standard_normal((48, 16))
+    x = np.repeat(fine, 25, 0) + 0.02 * rng.standard_normal((1200, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    leaves, levels, pairs = _tree(spark, x)
+    held = {r.rep: r.node for r in leaves.collect()}
+    assert len(held) == len(x) and len(levels) > 1
+    above = {""}
+    for nodes, _ in levels:
+        rows = nodes.collect()
+        assert {r.parent for r in rows} <= above
+        for r in rows:
+            centre = np.frombuffer(r.centre, "<f8")
+            under = [i for i, n in held.items() if n == r.node or n.startswith(r.node + ".")]
+            assert under and max(np.linalg.norm(x[under] - centre, axis=1)) <= r.radius + 1e-7
+        above = {r.node for r in rows}
+    # A node's centre is a centre below it.
+    first, second = ({r.node: r for r in n.collect()} for n, _ in levels[:2])
+    for node, r in first.items():
+        below = [c for c in second.values() if c.parent == node]
+        assert r.centre in {c.centre for c in below}
+    sizes, met = Counter(held.values()), [(r.a, r.b) for r in pairs.collect()]
+    assert len(set(met)) == len(met)
+    assert sum(sizes[a] * sizes[b] for a, b in met) < len(x) ** 2 / 10
+    near = np.argwhere(x @ x.T >= 0.98)
+    known = set(met) | {(b, a) for a, b in met}
+    assert all((held[i], held[j]) in known for i, j in near.tolist())
+
+
+def test_doubles_are_compared_as_doubles(spark):
+    """Two pairs about the threshold that floats cannot tell apart."""
+    rows = [(k * 2 + i, [1.0, 0.0] if i == 0 else [c, float(np.sqrt(1 - c * c))], k) for k, c in enumerate((0.98 + 1e-12, 0.98 - 1e-12)) for i in (0, 1)]
+    found = vectors.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: r.n_links for r in found} == {0: 1, 1: 1, 2: 0, 3: 0}
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1, "k"), (2, [2.0, 0.0], 1, "k"), (3, [1.0, 0.0], None, "k"), (4, None, 1, "k"), (5, [0.0, 0.0], 1, "k"),

@@ -28,10 +28,22 @@ def test_mix_is_one_row_of_words(documents):
     for e in entries:
         assert e.mix_start == at and e.finish >= last
         at, last = at + e.words, e.finish
-    taken = Counter()
+    assert at == sum(r.size for r in mixing.queue(documents).select("size").collect())
+    taken, longest = Counter(), max(e.size for e in entries)
     for e in entries:
         taken[e.source_key] += e.words
-    assert all(abs(taken[e.source_key] - e.target) < 1 for e in entries)
+    # The cut of the merged order leaves each source within a document or two of its target.
+    assert all(abs(taken[e.source_key] - e.target) <= 2 * longest for e in entries)
+    assert sum(e.words < e.size for e in entries) <= 1
+
+
+def test_rows_of_one_id_or_none_do_not_queue_in_one_place(spark):
+    rows = [(None if i % 2 else 7, f"word{i} " * (1 + i % 9), "a" if i % 3 else "b") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    assert mixing.queue(df).select("chunk").distinct().count() > 100
+    found = sorted(map(tuple, mixing.mix(df).collect()), key=repr)
+    expected = sorted((r[:5] for r in plain.mix(rows)), key=repr)
+    assert all(map(_near, found, expected)) and len(found) == len(expected)
 
 
 def test_mixed_documents(documents, odd, nothing):
