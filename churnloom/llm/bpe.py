@@ -60,8 +60,8 @@ class PreTokenizer:
         self.outside, self.split = _plain_patterns()
         self.letters = _byte_letters()
         self.bytes = {c: b for b, c in enumerate(self.letters)}
-        self.packed = Memory(lambda pre_token: array("H", self.ids(pre_token)).tobytes())
-        self.packed_word = Memory(lambda word: b"".join(map(self.packed.__getitem__, self.cut(word))))
+        self.packed = Memory(self._packed)
+        self.packed_word = Memory(self._packed_word, 300_000)
 
     def pre_tokens(self, text: str) -> list[str]:
         """In order. A special token is a pre-token of its own."""
@@ -87,6 +87,13 @@ class PreTokenizer:
                 found += map(self.packed.__getitem__, self._ordinary(part))
         return b"".join(found)
 
+    def _packed(self, pre_token: str) -> bytes:
+        return array("H", self.ids(pre_token)).tobytes()
+
+    def _packed_word(self, word: str) -> bytes:
+        """Ids of a plain word. Short pre-tokens, such as stops, are remembered; others hardly come back alone."""
+        return b"".join([self.packed[t] if len(t) < 4 else self._packed(t) for t in self.cut(word)])
+
     def cut(self, word: str) -> list[str]:
         """Pre-tokens of a plain word in lower case; most are letters with a stop or comma at the end."""
         body = word.rstrip(".,")
@@ -111,7 +118,9 @@ class PreTokenizer:
     def ids(self, pre_token: str) -> list[int]:
         if pre_token in self.specials:
             return [self.specials[pre_token]]
-        written = "".join(map(self.letters.__getitem__, pre_token.encode()))
+        # Printable ASCII stands for itself.
+        is_plain = pre_token.isascii() and pre_token.isprintable() and " " not in pre_token
+        written = pre_token if is_plain else "".join(map(self.letters.__getitem__, pre_token.encode()))
         return [t.id for t in self.tokenizer.model.tokenize(written)]
 
 

@@ -46,18 +46,20 @@ def kept(name: str, key, make):
 
 
 class Memory(dict):
-    """Results of ``make`` by word; forgets all when full, so that it stays bounded."""
+    """Results of ``make`` by word; forgets all when ``full``, so that it stays bounded. Long words are not kept."""
 
-    FULL = 150_000
+    LONGEST = 64
 
-    def __init__(self, make):
+    def __init__(self, make, full: int = 100_000):
         super().__init__()
-        self.make = make
+        self.make, self.full = make, full
 
     def __missing__(self, word):
-        if len(self) >= self.FULL:
-            self.clear()
-        self[word] = found = self.make(word)
+        found = self.make(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.full:
+                self.clear()
+            self[word] = found
         return found
 
 

@@ -33,10 +33,11 @@ def test_jaccard_join(documents, monkeypatch, region):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted((d, sizes[d], groups[d]) for d in texts)
 
 
-@pytest.mark.parametrize("region", [1024, 4])
-def test_jaccard_join_of_a_family(spark, monkeypatch, region):
+@pytest.mark.parametrize(("region", "shingles"), [(1024, 1 << 19), (4, 1 << 19), (1024, 150)])
+def test_jaccard_join_of_a_family(spark, monkeypatch, region, shingles):
     """Many near copies about the threshold, a passage that unrelated documents share, and pairs of all sizes."""
     monkeypatch.setattr(jaccard, "REGION", region)
+    monkeypatch.setattr(jaccard, "REGION_SHINGLES", shingles)
     monkeypatch.setattr(jaccard, "FREQUENT_IN_BATCH", 3)
     rng = np.random.default_rng(7)
     base = [f"b{i}" for i in range(60)]
