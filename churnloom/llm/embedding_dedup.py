@@ -45,15 +45,16 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _net(radius: float, kind: str):
-    """Centres below one node, from a sample of its vectors."""
+    """Centres below one node, from a sample of its vectors; two for each leaf that they will fill, at most ``FAN``."""
     def run(key, group):
+        fan = max(2, min(FAN, 2 * group.column("n")[0].as_py() // LEAF))
         order = np.lexsort((group.column("rep").to_numpy(), group.column("draw").to_numpy()))
         packed = group.column("vector").take(pa.array(order)).to_pylist()
         own = group.column("centre")[0].as_py()
         packed = ([own] if own is not None else []) + packed
         x = unit(packed, kind)
         picked, free = [], np.ones(len(x), bool)
-        while free.any() and len(picked) < FAN:
+        while free.any() and len(picked) < fan:
             picked.append(int(free.argmax()))
             free &= distances(x, x[picked[-1:]])[:, 0] > radius
         n = len(picked)
@@ -113,7 +114,7 @@ def cover_tree(points: DataFrame, limit: float, kind: str) -> tuple[DataFrame, l
         active = active.join(big.select("tree", "node", "n"), ["tree", "node"])
         order = W.partitionBy("tree", "node").orderBy("draw", "rep")
         sample = (active.withColumn("draw", F.xxhash64("rep")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE)
-                  .select("tree", "node", "rep", "draw", "vector").join(centre_of, ["tree", "node"]))
+                  .select("tree", "node", "n", "rep", "draw", "vector").join(centre_of, ["tree", "node"]))
         centres = cut(sample.groupBy("tree", "node").applyInArrow(_net(radius, kind), "tree string, node string, child string, centre binary"),
                       "centres")
         # The vectors of a node are dealt to its centres in parts of bounded size.
