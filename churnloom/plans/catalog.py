@@ -20,13 +20,6 @@ from churnloom.plans.mart import CustomerMart, mart_for
 from churnloom.plans.stages import new_path
 from churnloom.sources import files
 
-# Columns the stand-in contributions are made for.
-EXPLAINED = (
-    "Tenure", "OrderCount", "CashbackAmount", "SatisfactionScore", "AppExposure", "Complain", "CityTier",
-    "WarehouseToHome", "HourSpendOnApp", "NumberOfDeviceRegistered", "NumberOfAddress", "CouponUsed",
-    "DaySinceLastOrder", "OrderAmountHikeFromlastYear", "OrderVelocity")
-
-
 def _gappy(m: CustomerMart) -> DataFrame:
     """Prepared rows in which one payment mode is unknown, to have text to impute."""
     mode = F.col("PreferredPaymentMode")
@@ -65,11 +58,14 @@ def _out_of_range(m: CustomerMart) -> DataFrame:
 
 
 def _contributions(m: CustomerMart) -> DataFrame:
-    """Stand-in contributions: fixed arithmetic on the customer number."""
+    """Stand-in contributions of every encoded input: fixed arithmetic on the customer number."""
+    found = m.table.agg(*[F.sort_array(F.collect_set(n)).alias(n) for n in c.MODEL_CATEGORICAL]).first()  # the contract's few values
+    inputs = [(n, F.col(n).cast("double")) for n in c.MODEL_NUMERIC] + [
+        (f"{n}_{v}", F.when(F.col(n) == v, 1.0).otherwise(0.0)) for n in c.MODEL_CATEGORICAL for v in found[n]]
     entries = [
-        F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value"),
+        F.struct(F.lit(name).alias("feature"), value.alias("value"),
                  ((F.pmod(F.col("CustomerID") * (7 + i), F.lit(2001)) - 1000) / 1000.0).alias("contribution"))
-        for i, n in enumerate(EXPLAINED)]
+        for i, (name, value) in enumerate(inputs)]
     return m.scored.withColumn("contributions", F.array(*entries))
 
 

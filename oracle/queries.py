@@ -499,17 +499,16 @@ def kpi_queries() -> dict[str, str]:
 
 # --- risk, explanations, reports -----------------------------------------------------------------------
 
-EXPLAINED = (
-    "Tenure", "OrderCount", "CashbackAmount", "SatisfactionScore", "AppExposure", "Complain", "CityTier",
-    "WarehouseToHome", "HourSpendOnApp", "NumberOfDeviceRegistered", "NumberOfAddress", "CouponUsed",
-    "DaySinceLastOrder", "OrderAmountHikeFromlastYear", "OrderVelocity")
-
-
 def _contributions() -> str:
-    return "contrib AS (" + union(
-        f"SELECT CustomerID, Churn_Probability, '{n}' AS feature, CAST({n} AS DOUBLE) AS value, "
-        f"CAST((CustomerID * {7 + i}) % 2001 - 1000 AS DOUBLE) / 1000.0::DOUBLE AS contribution FROM scored"
-        for i, n in enumerate(EXPLAINED)) + ")"
+    """Of every encoded input: the numbers, then each value of each text column in order."""
+    amount = lambda k: f"CAST((CustomerID * (7 + {k})) % 2001 - 1000 AS DOUBLE) / 1000.0::DOUBLE AS contribution"
+    hot = union(f"SELECT DISTINCT {i} AS col, {n} AS v FROM scored WHERE {n} IS NOT NULL" for i, n in enumerate(c.MODEL_CATEGORICAL))
+    numbers = [f"SELECT CustomerID, Churn_Probability, '{n}' AS feature, CAST({n} AS DOUBLE) AS value, {amount(i)} FROM scored"
+               for i, n in enumerate(c.MODEL_NUMERIC)]
+    texts = [f"SELECT CustomerID, Churn_Probability, '{n}_' || v AS feature, CASE WHEN {n} = v THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value, "
+             f"{amount('place')} FROM scored CROSS JOIN hot WHERE col = {i}" for i, n in enumerate(c.MODEL_CATEGORICAL)]
+    return (f"hot AS (SELECT col, v, {len(c.MODEL_NUMERIC)} + row_number() OVER (ORDER BY col, v) - 1 AS place FROM ({hot})),\n"
+            "contrib AS (" + union(numbers + texts) + ")")
 
 
 def _drivers() -> str:
