@@ -90,7 +90,7 @@ def _scaled(m: CustomerMart) -> DataFrame:
 def _saved_reports(m: CustomerMart) -> DataFrame:
     """Every report written, read back and counted."""
     spark, folder = m.table.sparkSession, new_path(m.table.sparkSession, "reports")
-    tables = service.report_tables(m, m.scored)
+    tables = service.report_tables(m, m.scored, narrative.global_importance(_contributions(m)))
     service.write_reports(tables, folder)
     united = None
     for name in tables:

@@ -596,10 +596,11 @@ def report_queries() -> dict[str, str]:
             "SELECT total_customers, active_customers, churned_customers, churn_rate_pct, retention_rate_pct, "
             f"(SELECT {rnd(exact_mean('CustomerHealthScore', 2), 2)} FROM mart) AS average_health_score, avg_satisfaction_score AS average_satisfaction, "
             f"complaint_rate_pct, {at('Critical')} AS critical_risk_count, {at('High')} AS high_risk_count FROM kpi"), _kpi_sql()),
-        "d5_report_tables": upto("mart", (
+        "d5_report_tables": upto("scored", (
             "SELECT 'kpis' AS report, CAST(1 AS BIGINT) AS rows UNION ALL SELECT 'health_overall', 1 UNION ALL SELECT 'health_categories', 5 "
             "UNION ALL SELECT 'cohorts', 12 UNION ALL SELECT 'risk_tiers', 4 "
-            "UNION ALL SELECT 'rfm_segments', count(DISTINCT RFM_Segment) FROM mart")),
+            "UNION ALL SELECT 'rfm_segments', count(DISTINCT RFM_Segment) FROM mart "
+            "UNION ALL SELECT 'global_importance', count(DISTINCT feature) FROM contrib"), _contributions()),
         "d7_run_metadata": upto("mart", "SELECT 'ONLINE' AS service_status, count(*) AS processed_records_count FROM mart"),
         "b1_health_categories": counts("mart", "Health_Category"),
         "b2_risk_tiers": _ordered("scored", "Prediction_Risk_Level", reports.TIER_ORDER),
