@@ -208,3 +208,44 @@ def merkle_rows(rows):
             root = top[-1][0]
             found.append((d, own, built[lang][-1][0], root, _sha(low + high), node, node == root))
     return sorted(found, key=repr)
+
+
+def gram_buckets(text):
+    """Buckets of all 2- and 3-grams of a text, one by one."""
+    letters = [ch if ch.isalpha() else " " for ch in f" {(text or '').lower()} "]
+    if not any(ch != " " for ch in letters):
+        return []
+    kept = [ch for i, ch in enumerate(letters) if ch != " " or i == 0 or letters[i - 1] != " "]
+    out = []
+    for size in (2, 3):
+        for i in range(len(kept) - size + 1):
+            key = size
+            for ch in kept[i:i + size]:
+                key = (key + ord(ch)) * 0x9E3779B97F4A7C15 % (1 << 64)
+            out.append(key >> 50)
+    return out
+
+
+def naive_bayes(rows):
+    """``rows`` of (doc_id, text, lang) to (doc_id, held out, language, probability), by sums over n-grams."""
+    from math import exp, log
+
+    held = [d is not None and zlib.crc32(str(d).encode()) % 4 == 2 for d, _, _ in rows]
+    grams = [gram_buckets(t) for _, t, _ in rows]
+    counts, docs = defaultdict(Counter), Counter()
+    for (d, text, lang), out, found in zip(rows, held, grams, strict=True):
+        if d is not None and not out and lang is not None and text is not None:
+            counts[lang].update(found)
+            docs[lang] += 1
+    langs, got = sorted(docs), []
+    size = {k: sum(counts[k].values()) + 0.5 * (1 << 14) for k in langs}
+    for (d, _, _), out, found in zip(rows, held, grams, strict=True):
+        if not found or not langs:
+            got.append((d, out, "und", 0.0))
+            continue
+        total = {k: log((docs[k] + 1) / (sum(docs.values()) + len(langs))) for k in langs}
+        for k in langs:
+            total[k] += sum(n * log((counts[k][b] + 0.5) / size[k]) for b, n in Counter(found).items())
+        best = max(langs, key=lambda k: total[k])
+        got.append((d, out, best, 1 / sum(exp(total[k] - total[best]) for k in langs)))
+    return got

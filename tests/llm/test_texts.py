@@ -5,6 +5,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import public_tokenizers
+import pytest
+
+from churnloom.llm import language_id as lang_module
 from churnloom.llm import quality_rules as rules
 from churnloom.llm import token_counts as counts
 from churnloom.llm.bpe import PreTokenizer
@@ -123,6 +126,20 @@ def test_language(spark, odd, nothing):
     assert unlabelled.where("lang_pred <> 'und'").count() == 0
 
 
+@pytest.mark.parametrize("size", [1 << 19, 16])
+def test_language_is_that_of_plain_naive_bayes(documents, odd, monkeypatch, size):
+    """Also where slices are short, so that n-grams cross their seams."""
+    monkeypatch.setattr(lang_module, "SLICE", size)
+    for df in (documents, odd):
+        rows = [(r.doc_id, r.text if r.text is None else r.text[:3000], r.lang) for r in df.select("doc_id", "text", "lang").collect()]
+        df = df.sparkSession.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+        key = lambda r: (repr(r[0]), r[2], r[3])
+        found = sorted(((r.doc_id, r.held_out, r.lang_pred, r.score) for r in language_id(df).collect()), key=key)
+        expected = sorted(plain.naive_bayes(rows), key=key)
+        assert [r[:3] for r in found] == [r[:3] for r in expected]
+        assert all(abs(a[3] - b[3]) < 1e-9 for a, b in zip(found, expected, strict=True))
+
+
 def test_quality_classifier(spark, odd, nothing):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
