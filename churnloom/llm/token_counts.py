@@ -83,7 +83,7 @@ def _frequencies(spec, common):
             others = [t for t in pre_tokens if t not in known]
             return sum(known[t] for t in pre_tokens if t in known), others
 
-        of_word = Memory(lambda word: looked_up(tokens.cut(word)))
+        of_word = Memory(lambda word: looked_up(tokens.cut(word)), 150_000)
 
         def one(text):
             words, odd = tokens.words(text)
