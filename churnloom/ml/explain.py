@@ -2,8 +2,8 @@
 
 A linear model contributes coefficient times distance from the mean, an array expression
 in the JVM. Tree ensembles use the path-dependent Shapley values of Lundberg et al.
-(2018): every path to a leaf is turned into one small record, which tasks
-evaluate on Arrow batches.
+(2018), see ``shapley``. A model of one shard is broadcast; a larger one is a table of
+shards that slices of the rows are joined to, so that no broadcast grows with the model.
 """
 
 from __future__ import annotations
@@ -11,11 +11,11 @@ from __future__ import annotations
 import pickle
 import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
-from math import factorial
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -27,98 +27,68 @@ from churnloom.errors import ModelInferenceError
 from churnloom.ml import narrative, prep
 from churnloom.ml.models import TreeEnsemble
 from churnloom.ml.score import ChurnPredictor
+from churnloom.ml.shapley import SHARD_BYTES, Leaf, Shard, expected, leaves, shards
+from churnloom.plans.stages import cut, literal_table, new_path
 
 # Workers get the functions of this module with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-@dataclass
-class Leaf:
-    """The path to one leaf, reduced to one test per input."""
-
-    value: float
-    features: np.ndarray   # inputs on the path
-    shares: np.ndarray     # share of the training weight that goes the leaf's way
-    low: np.ndarray        # the leaf's way is low < x <= high
-    high: np.ndarray
-
-
-def leaves(model: TreeEnsemble):
-    """All leaves of the ensemble and its expected output."""
-    n, found, expected = model.nodes, [], 0.0
-    feature, threshold, left, right = (v.tolist() for v in (n.feature, n.threshold, n.left, n.right))
-    value, cover = n.value.tolist(), n.cover.tolist()
-    for root in n.roots.tolist():
-        pending = [(root, {})]
-        while pending:
-            node, tests = pending.pop()
-            f = feature[node]
-            if f < 0:
-                expected += value[node] * (cover[node] / cover[root] if cover[root] else 1.0)
-                if tests:
-                    found.append(_leaf(value[node], tests))
-                continue
-            for child, is_left in ((left[node], True), (right[node], False)):
-                share, low, high = tests.get(f, (1.0, -np.inf, np.inf))
-                share *= cover[child] / cover[node]
-                low, high = (low, min(high, threshold[node])) if is_left else (max(low, threshold[node]), high)
-                pending.append((child, {**tests, f: (share, low, high)}))
-    return found, expected
-
-
-def _leaf(value, tests):
-    share, low, high = zip(*tests.values())
-    return Leaf(value, np.array(list(tests)), np.array(share), np.array(low), np.array(high))
-
-
-def _shapley_weights(m: int) -> np.ndarray:
-    return np.array([factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)])
-
-
-def _leaf_contributions(leaf: Leaf, x: np.ndarray, out: np.ndarray) -> None:
-    """Add one leaf's Shapley values. Rows that pass the same tests share the result."""
-    values = x[:, leaf.features]
-    passed = (values > leaf.low) & (values <= leaf.high)
-    m = len(leaf.features)
-    _, first, which = np.unique(
-        passed @ (1 << np.arange(m, dtype=object if m > 62 else np.int64)),
-        return_index=True, return_inverse=True)
-    patterns = passed[first]
-    weights = _shapley_weights(m)
-    # Coefficients of the product of (share + passed * t) over all inputs.
-    passes = patterns.astype(float)
-    product = np.zeros((len(patterns), m + 1))
-    product[:, 0] = 1.0
-    for j in range(m):
-        shifted = product[:, :-1] * passes[:, [j]]
-        product = product * leaf.shares[j]
-        product[:, 1:] += shifted
-    # Each input's own factor is divided out again, from the highest power down.
-    others, total = np.zeros(patterns.shape), np.zeros(patterns.shape)
-    for k in reversed(range(m)):
-        others = np.where(patterns, product[:, [k + 1]] - leaf.shares * others, product[:, [k]] / leaf.shares)
-        total += others * weights[k]
-    phi = leaf.value * (passes - leaf.shares) * total
-    out[:, leaf.features] += phi[which.reshape(-1)]
-
-
-def tree_contributions(spark, model):
-    """A vectorised function from the input array to the contribution array."""
-    found, expected = leaves(model)
-    # Bounded by the size of the model; as bytes, since workers may not have this package.
-    shared = spark.sparkContext.broadcast(cloudpickle.dumps(found))
+# Rows of a slice, which meets one shard of the model in one task.
+SLICE_ROWS = 1 << 16
+LEAF = "shard int, value double, features array<int>, shares array<double>, low array<double>, high array<double>"
+
+
+def _broadcast_shard(spark, shard: list[Leaf], inputs: int):
+    """A function of the input array. The shard is bounded by ``shapley.SHARD_BYTES``; as bytes, since workers may not have this package."""
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(shard))
 
     @F.pandas_udf("array<double>")
     def contributions(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model_leaves = pickle.loads(shared.value)
+        prepared = Shard(pickle.loads(shared.value), inputs)
         for features in batches:
-            x = np.stack(features.to_numpy()) if len(features) else np.zeros((0, 1))
-            out = np.zeros(x.shape)
-            for leaf in model_leaves:
-                _leaf_contributions(leaf, x, out)
-            yield pd.Series(list(out))
-
-    return contributions, expected
+            x = np.stack(features.to_numpy()) if len(features) else np.zeros((0, inputs))
+            yield pd.Series(list(prepared.contributions(x)))
+
+    return contributions
+
+
+def _leaf_table(spark, model: TreeEnsemble, size: int) -> DataFrame:
+    """All leaves as a stage, written shard by shard."""
+    path = new_path(spark, "leaves")
+    for number, shard in enumerate(shards(leaves(model.nodes), size)):
+        columns = {"shard": [number] * len(shard), "value": [leaf.value for leaf in shard],
+                   **{n: [getattr(leaf, n).tolist() for leaf in shard] for n in ("features", "shares", "low", "high")}}
+        kinds = dict(f.split() for f in LEAF.split(", "))
+        literal_table(spark, columns, kinds).write.mode("append").parquet(path)
+    return spark.read.schema(LEAF).parquet(path)
+
+
+def _joined_shards(rows: DataFrame, found: DataFrame, count: int, inputs: int) -> DataFrame:
+    """Rows of (row, contributions): every slice of rows meets every shard in a task of its own, sums follow by row.
+
+    ``rows`` holds (row, x) with distinct ``row``.
+    """
+    slices = max(1, -(-rows.count() // SLICE_ROWS))
+    numbers = F.sequence(F.lit(0), F.lit(count - 1))
+    dealt = rows.select("row", "x", F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int").alias("slice"), F.explode(numbers).alias("shard"))
+    copies = found.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+
+    def meet(part: pa.Table, model: pa.Table) -> pa.Table:
+        columns = model.to_pydict()
+        shard = Shard([Leaf(v, *map(np.array, rest)) for v, *rest in zip(
+            *(columns[n] for n in ("value", "features", "shares", "low", "high")), strict=True)], inputs)
+        x = part.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, inputs)
+        added = shard.contributions(x)
+        lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * inputs, added.reshape(-1))
+        return pa.table({"row": part.column("row"), "shard": part.column("shard"), "added": lists})
+
+    parts = dealt.groupBy("slice", "shard").cogroup(copies.groupBy("slice", "shard")).applyInArrow(
+        meet, "row long, shard int, added array<double>")
+    # In the order of shards, so that sums do not depend on the order of tasks.
+    listed = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("shard", "added"))).alias("parts"))
+    return listed.select("row", F.aggregate(
+        "parts", F.array_repeat(F.lit(0.0), inputs), lambda total, part: F.zip_with(total, part["added"], lambda a, b: a + b)).alias("_c"))
 
 
 def encoded_pairs(stages, df: DataFrame) -> DataFrame:
@@ -132,9 +102,10 @@ def encoded_pairs(stages, df: DataFrame) -> DataFrame:
 class ChurnExplainer:
     """Explains the predictions of a model for all customers, or for one."""
 
-    def __init__(self, predictor: ChurnPredictor):
+    def __init__(self, predictor: ChurnPredictor, shard_bytes: int = SHARD_BYTES):
         self.predictor = predictor
         self.names = prep.feature_names(predictor.stages)
+        self.shard_bytes = shard_bytes
         self._prepared = None
 
     @classmethod
@@ -142,9 +113,15 @@ class ChurnExplainer:
         return cls(ChurnPredictor.load(spark, path))
 
     def _trees(self, spark):
-        """The function over the trees of the model, prepared once per explainer."""
+        """The function of the one shard of the model, or the table of its shards and their number; prepared once per explainer."""
         if self._prepared is None:
-            self._prepared = tree_contributions(spark, self.predictor.model)
+            model = self.predictor.model
+            first = list(islice(shards(leaves(model.nodes), self.shard_bytes), 2))
+            if len(first) == 1:
+                self._prepared = _broadcast_shard(spark, first[0], len(self.names)), 1
+            else:
+                table = _leaf_table(spark, model, self.shard_bytes)
+                self._prepared = table, table.agg(F.max("shard")).first()[0] + 1
         return self._prepared
 
     def encoded(self, df: DataFrame) -> DataFrame:
@@ -164,19 +141,25 @@ class ChurnExplainer:
             base = self.predictor.transform(background) if background is not None else scored
             means = base.agg(Summarizer.mean(F.col(prep.SCALED)).alias("m")).first()["m"].toArray()
             weights = model.coefficients
-            expected = float(model.intercept + weights @ means)
+            model_expected = float(model.intercept + weights @ means)
             pairs = F.array(*[F.struct(F.lit(float(w)).alias("w"), F.lit(float(a)).alias("a"))
                               for w, a in zip(weights, means)])
             found = F.zip_with(vector_to_array(prep.SCALED), pairs, lambda x, p: p["w"] * (x - p["a"]))
         else:
-            explain, expected = self._trees(spark)
-            found = explain(values)
+            model_expected, (trees, count) = expected(model.nodes), self._trees(spark)
+            if count > 1:
+                rows = cut(scored.select(F.monotonically_increasing_id().alias("row"), c.PRIMARY_KEY, "p", values.alias("_x")), "encoded-rows")
+                found = _joined_shards(rows.select("row", F.col("_x").alias("x")), trees, count, len(self.names))
+                return self._named(rows.join(found, "row")), model_expected
+            found = trees(values)
+        return self._named(scored.select(c.PRIMARY_KEY, "p", values.alias("_x"), found.alias("_c"))), model_expected
+
+    def _named(self, listed: DataFrame) -> DataFrame:
         names = F.array(*[F.lit(n) for n in self.names])
-        listed = scored.select(c.PRIMARY_KEY, "p", values.alias("_x"), found.alias("_c"))
         return listed.select(
             c.PRIMARY_KEY, "p", F.transform(
                 F.arrays_zip(names.alias("feature"), F.col("_x").alias("value"),
-                             F.col("_c").alias("contribution")), lambda d: d).alias("contributions")), expected
+                             F.col("_c").alias("contribution")), lambda d: d).alias("contributions"))
 
     def global_importance(self, df: DataFrame, sample: int | None = None) -> DataFrame:
         """Mean absolute contribution per input over all rows, or over a hashed sample."""

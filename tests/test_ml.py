@@ -101,6 +101,36 @@ def test_tree_contributions_agree_with_the_definition(spark, mart, trained):
         assert np.allclose(total, [d["contribution"] for d in row["contributions"]], atol=1e-9)
 
 
+def test_a_model_in_shards_explains_as_one_in_one_piece(spark, mart, trained, monkeypatch):
+    from churnloom.ml import explain
+
+    monkeypatch.setattr(explain, "SLICE_ROWS", 40)
+    for name in ("RandomForest", "LeafwiseBoosting"):
+        predictor = predictors(trained)[name]
+        whole, expected = ChurnExplainer(predictor).contributions(mart.table)
+        small = ChurnExplainer(predictor, shard_bytes=4000)
+        parts, same = small.contributions(mart.table)
+        assert small._trees(spark)[1] > 1 and same == expected
+        # Rows that share a customer stay apart.
+        assert small.contributions(mart.table.unionByName(mart.table))[0].count() == 2 * mart.table.count()
+        one, other = ({r["CustomerID"]: [d["contribution"] for d in r["contributions"]] for r in t.collect()} for t in (whole, parts))
+        assert one.keys() == other.keys()
+        assert all(np.allclose(one[k], other[k], atol=1e-12) for k in one)
+
+
+def test_long_paths_agree_with_listed_ones(monkeypatch):
+    from churnloom.ml import shapley
+
+    draw = np.random.default_rng(5)
+    found = [shapley.Leaf(draw.normal(), draw.permutation(9)[:m], draw.uniform(.1, .9, m), np.full(m, -np.inf), draw.normal(size=m))
+             for m in (1, 2, 3, 5, 7) for _ in range(4)]
+    x = draw.normal(size=(300, 9))
+    listed = shapley.Shard(found, 9).contributions(x)
+    monkeypatch.setattr(shapley, "LISTED", 0)
+    assert np.allclose(listed, shapley.Shard(found, 9).contributions(x), atol=1e-12)
+    assert shapley.Shard([], 9).contributions(x).any() == False and [*shapley.shards([])] == [[]]  # noqa: E712
+
+
 def test_explanations(spark, mart, trained):
     explainer = ChurnExplainer(predictors(trained)["GradientBoosting"])
     row = explainer.explain_customer(mart.table, 50003).first()
