@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from churnloom import contract as c
+from churnloom.errors import ModelInferenceError
 from churnloom.ml import train
 from churnloom.ml.explain import ChurnExplainer
 from churnloom.ml.score import ChurnPredictor
 from churnloom.operators import clean, features, health, rfm, risk, segments
-from churnloom.plans.stages import cut, new_path
+from churnloom.plans.manifest import Manifest
+from churnloom.plans.stages import new_path
 from churnloom.sources.files import read_customers, write_mart, write_table
-from churnloom.sources.landing import customer_table
+from churnloom.sources.landing import TABLES, customer_table
 
 
 # Models of the registered queries: full size, all four.
 QUERY_SETTINGS = train.Settings()
+# Customers per file of the stored explanations; a lookup opens one file.
+EXPLAINED_ROWS = 1 << 18
 
 
 def enrich(cleaned: DataFrame, cuts: dict[str, rfm.QuintileCuts]) -> DataFrame:
@@ -31,17 +37,31 @@ class CustomerMart:
 
     Two stages are written: the prepared rows (duplicates removed), which the parameter
     passes read, and the finished mart, which every report reads. Everything between them
-    is a projection with fitted parameters.
+    is a projection with fitted parameters. With a manifest, stages that any application has
+    built from the same sources are read instead of built.
     """
 
-    def __init__(self, raw: DataFrame, source: str):
+    def __init__(self, raw: DataFrame, source: str, manifest: Manifest | None = None):
         self.raw = raw
         self.source = source
+        self.manifest = manifest
         self.gate: dict[str, DataFrame] = {}  # reports of the ingestion gate, if it was run
 
+    def _stage(self, name: str, make, write=lambda df, path: df.write.parquet(path), **about) -> DataFrame:
+        """The published stage of this name, or what ``make`` returns, written and published."""
+        spark = self.raw.sparkSession
+        found = self.manifest.table(name) if self.manifest else None
+        if found is not None:
+            return found
+        df, path = make(), new_path(spark, name)
+        write(df, path)
+        if self.manifest:
+            return self.manifest.read(self.manifest.publish(name, path, schema=df.schema.json(), **about))
+        return spark.read.schema(df.schema).parquet(path)
+
     @cached_property
     def prepared(self) -> DataFrame:
-        return cut(clean.prepare(self.raw), "prepared")
+        return self._stage("prepared", lambda: clean.prepare(self.raw))
 
     @cached_property
     def cleaned(self) -> clean.Cleaned:
@@ -61,10 +81,7 @@ class CustomerMart:
 
         Sorted by customer, so that the report of one customer skips all other row groups.
         """
-        spark = self.raw.sparkSession
-        full, path = enrich(self.cleaned.df, self.cuts), new_path(spark, "mart")
-        write_mart(full, path)
-        return spark.read.schema(full.schema).parquet(path)
+        return self._stage("mart", lambda: enrich(self.cleaned.df, self.cuts), write_mart)
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -81,36 +98,84 @@ class CustomerMart:
         """One candidate on this mart, by itself unless all are trained already."""
         return self.__dict__.get("trained") or train.train(self.table, QUERY_SETTINGS, only=[name])
 
+    @property
+    def _model(self) -> str:
+        return "model-" + hashlib.sha256(repr(QUERY_SETTINGS).encode()).hexdigest()[:16]
+
     @cached_property
     def predictor(self) -> ChurnPredictor:
-        """The winner, written and read back."""
-        path = new_path(self.table.sparkSession, "model")
-        train.save(self.table.sparkSession, self.trained, path)
-        return ChurnPredictor.load(self.table.sparkSession, path)
+        """The winner, written and read back; one that was published is not trained again."""
+        spark = self.raw.sparkSession
+        entry = self.manifest.find(self._model) if self.manifest else None
+        if entry is None:
+            path = new_path(spark, "model")
+            train.save(spark, self.trained, path)
+            entry = self.manifest.publish(self._model, path) if self.manifest else {"path": path}
+        return ChurnPredictor.load(spark, entry["path"])
 
     @cached_property
     def explainer(self) -> ChurnExplainer:
         return ChurnExplainer(self.predictor)
 
+    @cached_property
+    def _buckets(self) -> int:
+        return max(1, -(-self.table.count() // EXPLAINED_ROWS))
+
+    def _bucket(self, customer):
+        return F.pmod(F.xxhash64(customer.cast("long")), F.lit(self._buckets)).cast("int")
+
+    @cached_property
+    def explanations(self) -> DataFrame:
+        """The explanation of every customer, stored in buckets and sorted by customer within each."""
+        def make():
+            return self.explainer.explain(self.table).withColumn("bucket", self._bucket(F.col(c.PRIMARY_KEY)))
+
+        def write(df: DataFrame, path: str):
+            df.repartition(self._buckets, "bucket").sortWithinPartitions("bucket", c.PRIMARY_KEY).write.partitionBy("bucket").parquet(path)
+
+        return self._stage(f"explanations-{self._model}-{self._buckets}", make, write)
+
+    def explanation_of(self, customer_id: int) -> DataFrame:
+        """The stored explanation of one customer: one bucket is listed, one row group read."""
+        mine = F.col(c.PRIMARY_KEY) == customer_id
+        return self.explanations.where(mine & (F.col("bucket") == self._bucket(F.lit(customer_id)))).drop("bucket")
+
+    def explain_customer(self, customer_id: int) -> DataFrame:
+        """As ``explanation_of``, fetched; fails if the customer is unknown."""
+        asked = self.explanation_of(customer_id)
+        rows = asked.take(1)
+        if not rows:
+            raise ModelInferenceError(f"customer {customer_id} is not in the table")
+        return asked.sparkSession.createDataFrame(rows, asked.schema)
+
 
 _MARTS: dict[tuple[str, str], CustomerMart] = {}
 
 
 def mart_for(spark: SparkSession, folder: str) -> CustomerMart:
-    """The mart over the order data in ``folder``, built once per application."""
-    key = (spark.sparkContext.applicationId, folder.rstrip("/"))
-    if key not in _MARTS:
-        _MARTS[key] = build(spark, folder)
+    """The mart over the order data in ``folder`` as it is now.
+
+    Within an application the same object is returned while the sources stay as they are; across
+    applications stages are found through the manifest.
+    """
+    folder = folder.rstrip("/")
+    key = (spark.sparkContext.applicationId, folder)
+    manifest = Manifest.of(spark, folder, [f"{folder}/{name}.parquet" for name in TABLES])
+    if key not in _MARTS or _MARTS[key].manifest.fingerprint != manifest.fingerprint:
+        _MARTS[key] = build(spark, folder, manifest)
     return _MARTS[key]
 
 
-def build(spark: SparkSession, folder: str) -> CustomerMart:
-    """A fresh mart; nothing is shared with earlier ones."""
-    path = new_path(spark, "landing")
-    write_table(customer_table(spark, folder), path)
-    return CustomerMart(read_customers(spark, path), path)
+def build(spark: SparkSession, folder: str, manifest: Manifest | None = None) -> CustomerMart:
+    """A mart with its customer table written; without a manifest nothing is shared with earlier ones."""
+    entry = manifest.find("landing") if manifest else None
+    if entry is None:
+        path = new_path(spark, "landing")
+        write_table(customer_table(spark, folder), path)
+        entry = manifest.publish("landing", path) if manifest else {"path": path}
+    return CustomerMart(read_customers(spark, entry["path"]), entry["path"], manifest)
 
 
 def forget(spark: SparkSession, folder: str) -> None:
-    """Drop the remembered mart so that the next call reads changed sources."""
+    """Drop the remembered mart of this application."""
     _MARTS.pop((spark.sparkContext.applicationId, folder.rstrip("/")), None)

@@ -9,6 +9,10 @@ from churnloom.contract import SOURCE_TYPES
 from churnloom.functions import quote
 
 
+# What the customer table is derived from.
+TABLES = ("customer", "orders", "lineitem", "events")
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
