@@ -98,7 +98,7 @@ class Manifest:
             fs.rename(draft, place)
         if fs.exists(draft):
             fs.delete(draft, False)
-        return self.find(stage)
+        return self.find(stage) or entry
 
     def table(self, stage: str) -> DataFrame | None:
         """A published table, with the schema it was written with."""
