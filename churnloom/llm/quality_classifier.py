@@ -3,7 +3,7 @@
 A document is a vector of hashed byte trigrams and a few shares that describe its style. The
 latent space is a truncated singular value decomposition of a bounded sample of labelled documents; their
 latent vectors are broadcast. Every document is projected and multiplied with all of them, in
-blocks, and the nearest vote with their similarity.
+blocks, and the nearest vote with their similarity. Those as similar as the last of the nearest vote too.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ STYLE = 7
 STYLE_WEIGHT = 0.5
 LATENT = 64
 NEIGHBOURS = 25
+AS_SIMILAR = 1e-6  # cosines that far apart are taken as equal
 BLOCK = 512
 SLICE = 1 << 20
 DIVISOR, HELD_OUT = 3, 1
@@ -75,7 +76,8 @@ class Space:
         basis = np.random.default_rng(0).standard_normal((scaled.shape[1], dims + 16)).astype(np.float32)
         for _ in range(4):  # subspace iteration
             basis = np.linalg.qr(scaled.T @ (scaled @ basis))[0]
-        _, _, right = np.linalg.svd(scaled @ basis, full_matrices=False)
+        _, spread, right = np.linalg.svd(scaled @ basis, full_matrices=False)
+        dims = min(dims, int((spread > 1e-4 * spread[0]).sum()) if len(spread) else 0)  # only those in which the sample varies
         self.directions = (basis @ right[:dims].T).astype(np.float32)
 
     def project(self, found: np.ndarray) -> np.ndarray:
@@ -93,15 +95,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
 
     def work():
         def each(batch):
-            found = features(batch.column(1).to_pylist())
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["label", "found"])
+            found = features(batch.column(2).to_pylist())
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "label", "found"])
 
         return each
 
-    # At most 2 * sample ids: the broadcast and what comes back are bounded by it.
-    texts = docs.join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id").select("label", "text", "doc_id")
-    texts = texts.where(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(2 * sample)
-    rows = per_batch(texts.select("label", "text"), work, "label int, found binary").toArrow()
+    # At most 2 * sample ids: the broadcast and what comes back are bounded by it. Features, not texts, are ordered.
+    texts = docs.join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id").where(F.col("text").isNotNull())
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = per_batch(texts.select("doc_id", "label", "text"), work, f"doc_id {kind}, label int, found binary")
+    made = made.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "found").limit(2 * sample)
+    rows = made.select("label", "found").toArrow()
     found = np.frombuffer(b"".join(rows.column("found").to_pylist()), np.float32).reshape(-1, GRAMS + STYLE)
     given = np.array(rows.column("label").to_pylist(), np.float32)
     if not len(given):
@@ -112,10 +117,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
 
 def votes(similar: np.ndarray, given: np.ndarray) -> np.ndarray:
     """Mean label of the nearest, weighted by similarity; the mean of all where nothing is similar."""
-    near = np.argpartition(-similar, min(NEIGHBOURS, similar.shape[1]) - 1, axis=1)[:, :NEIGHBOURS]
-    weight = np.maximum(np.take_along_axis(similar, near, 1), 0).astype(np.float64) ** 4
+    last = max(similar.shape[1] - NEIGHBOURS, 0)
+    least = np.partition(similar, last, axis=1)[:, last, None]
+    weight = np.where(similar >= least - AS_SIMILAR, similar, 0).clip(0).astype(np.float64) ** 4
     total = weight.sum(1)
-    found = (weight * given[near]).sum(1) / np.where(total > 0, total, 1)
+    found = weight @ given / np.where(total > 0, total, 1)
     return np.clip(np.where(total > 0, found, given.mean()), 0, 1)
 
 
@@ -147,7 +153,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, text: str = "text", d
     ``labels`` has ``doc_id`` and a label of 0 or 1; other labels and null ids are not learned from. A null text is
     an empty one; texts of less than three bytes have no features and get the mean label of the
     sample. Without labelled documents every score is 0.5. Repeated rows are scored each; an id labelled
-    twice counts with both labels. Other columns are not read. An empty table gives an empty one.
+    twice counts with both labels. Neighbours within 1e-6 of the cosine of the 25th all vote. Other columns are not read. An empty table gives an empty one.
     """
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     fitted = fit(given, labels.select("doc_id", F.col(label).cast("int").alias("label")), sample)

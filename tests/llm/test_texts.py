@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 
 from churnloom.llm import language_id as lang_module
+from churnloom.llm import quality_classifier as quality_module
 from churnloom.llm import quality_rules as rules
 from churnloom.llm import token_counts as counts
 from churnloom.llm.bpe import PreTokenizer
@@ -152,3 +153,21 @@ def test_quality_classifier(spark, odd, nothing):
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     assert {r.score for r in quality_classifier(odd, few.limit(0)).collect()} == {0.5}
     assert quality_classifier(nothing, few).collect() == []
+
+
+@pytest.mark.parametrize("size", [1 << 20, 16])
+def test_quality_is_that_of_plain_votes(documents, odd, monkeypatch, size):
+    """Also where slices are short, so that trigrams cross their seams, and where copies tie for the last vote."""
+    monkeypatch.setattr(quality_module, "SLICE", size)
+    texts = sorted({(r.doc_id, (r.text or "")[:2000]) for r in documents.select("doc_id", "text").collect()})
+    labels = {d: i % 2 for i, (d, _) in enumerate(texts[:60])}
+    rows = texts + [(100_000 + i, t) for i, (_, t) in enumerate(texts[:10])] + [(None, texts[0][1]), (-1, None), (-2, "ab")]
+    labels |= {100_000 + i: 1 for i in range(10)}
+    spark = odd.sparkSession
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = quality_classifier(df, spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect()
+    key = lambda r: repr(r[0])
+    got, expected = sorted(((r.doc_id, r.held_out, r.score) for r in found), key=key), sorted(plain.neighbour_votes(rows, labels), key=key)
+    assert [r[:2] for r in got] == [r[:2] for r in expected]
+    assert all(abs(a[2] - b[2]) < 1e-3 for a, b in zip(got, expected, strict=True))
+    assert len({round(r[2], 3) for r in got}) > 20
