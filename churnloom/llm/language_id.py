@@ -1,8 +1,8 @@
 """Language by multinomial naive Bayes over hashed character n-grams.
 
 Training counts n-grams of all labelled texts, a table of languages x buckets at most per task and
-in all. The matrix of log probabilities is broadcast; scoring looks up the columns of a batch's n-grams
-and adds them up per document.
+in all. The matrix of log probabilities is broadcast; a batch of texts is a sparse matrix of n-grams, kept as
+lists of buckets, that is multiplied with one language's log probabilities after the other.
 """
 
 from __future__ import annotations
@@ -78,25 +78,46 @@ def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     return langs, prior, np.log(grams / grams.sum(1, keepdims=True))
 
 
+def log_scores(texts: list[np.ndarray], grams: Grams, prior: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Logarithms of prior and likelihood, texts (code points) x languages.
+
+    Pieces of texts are multiplied together, ``SLICE`` n-grams or somewhat more at once; a sum depends on its own text only.
+    """
+    out = np.tile(prior, (len(texts), 1))
+    found, owners, size = [], [], 0
+
+    def multiply():
+        piece, buckets = np.repeat(np.arange(len(found)), [len(x) for x in found]), np.concatenate(found)
+        for k, row in enumerate(logs):
+            np.add.at(out[:, k], owners, np.bincount(piece, row[buckets], len(found)))
+
+    for owner, codes in enumerate(texts):
+        for buckets in grams.buckets(codes):
+            found.append(buckets)
+            owners.append(owner)
+            size += len(buckets)
+            if size >= SLICE:
+                multiply()
+                found, owners, size = [], [], 0
+    if found:
+        multiply()
+    return out
+
+
 def _score(model):
     def work():
         langs, prior, logs = model.value
         grams = Grams()
-        columns = np.ascontiguousarray(logs.T)
-
-        def one(text):
-            codes = grams.codes(text) if text else ()
-            if not len(codes) or not langs:
-                return NONE, 0.0
-            total = prior.copy()
-            for found in grams.buckets(codes):
-                total += columns[found].sum(0)
-            best = int(total.argmax())
-            return langs[best], float(1 / np.exp(total - total[best]).sum())
 
         def each(batch):
-            found, scores = zip(*map(one, batch.column(1).to_pylist()), strict=True)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array(scores)], ["row", "lang_pred", "score"])
+            texts = [grams.codes(text or "") for text in batch.column(1).to_pylist()]
+            found, scores = [NONE] * len(texts), np.zeros(len(texts))
+            if langs:
+                total = log_scores(texts, grams, prior, logs)
+                best, known = total.argmax(1), np.array([len(codes) > 0 for codes in texts], bool)
+                found = [langs[k] if any_letter else NONE for k, any_letter in zip(best.tolist(), known, strict=True)]
+                scores = np.where(known, 1 / np.exp(total - total.max(1, keepdims=True)).sum(1), 0)
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(scores)], ["row", "lang_pred", "score"])
 
         return each
 
