@@ -22,12 +22,20 @@ def _with_text(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without their failing lines."""
+    """Documents that the quality rules keep, without their failing lines.
+
+    Null, empty and short texts fail the rules and go. Rows are judged one by one: repeated rows and null ids change
+    nothing. An empty table stays empty, as in all stages.
+    """
     return _with_text(quality_rules(docs, keep_text=False).where("kept"), "clean_text", docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat earlier ones; a document that was nothing else goes."""
+    """Documents without lines that repeat earlier ones; a document that was nothing else goes.
+
+    Texts without lines, null ones too, lose nothing and stay. Null ids come first; rows that agree in id and text lose
+    the same lines and all stay, those with one id and different texts are ordered by a hash.
+    """
     return _with_text(line_dedup(docs).where("n_removed = 0 or n_removed < n_lines"), "clean_text", docs.columns)
 
 
@@ -44,12 +52,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them.
+
+    Texts without words, null ones too, are not taken. A null source is one of its own, the last. Rows that agree in
+    id, source and text share what is taken of them; null ids queue by their texts.
+    """
     return mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of tokens."""
+    """Pieces of sequences of tokens.
+
+    A null text is an empty one, of the end token alone. Repeated rows are packed each, null ids kept. An empty table has
+    no pieces.
+    """
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -68,7 +84,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents in ``sf_dir``; each is written and read again by the next."""
+    """All stages over the documents in ``sf_dir``; each is written and read again by the next.
+
+    Nulls, empty texts and repeated rows fare as each stage says; columns beyond ``doc_id``, ``text``, ``source`` and
+    ``n_chars`` are handed on unchanged, whatever their names, up to the last stage. Without documents there are no pieces.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         docs = cut(stage(spark, docs, sf_dir), f"pipeline-{number}")
