@@ -231,3 +231,48 @@ def test_areas_count_pairs(spark):
         positive, negative = ([s for f, y, s in rows if f == k and y == v] for v in (1.0, 0.0))
         pairs = [(a > b) + (a == b) / 2 for a in positive for b in negative]
         assert found[k] == (pytest.approx(sum(pairs) / len(pairs), abs=1e-12) if pairs else None)
+
+
+@pytest.mark.parametrize("growth", [
+    Growth(3, 6, 0.3, l2=1.0, least_hessian=1.0), Growth(3, 6, 0.3, leaves=7, least_rows=20, least_hessian=1e-3), Growth(3, None, tries=2)])
+@pytest.mark.parametrize("together", [1, 1 << 12])
+def test_nodes_counted_by_themselves_split_like_those_side_by_side(growth, together, monkeypatch):
+    """Joint columns, the larger child as what the smaller one leaves, and margins from the nodes that rows end in."""
+    x, label, _ = data(700, 8)
+    bins, fit = bins_of(x), Fit(1, "m", growth, growth.tries is not None, -1, (0.9, 1.4))
+    raw, row = bins.of(x), np.arange(len(x))
+    trees = {}
+    monkeypatch.setattr(grow, "JOINT_CELLS", together)
+    for wide in (2, 100, 1 << 30):
+        monkeypatch.setattr(grow, "WIDE_ROWS", wide)
+        trees[wide] = ff._forest(fit, bins, row, label, raw, range(3)) if fit.is_forest else ff._boost(fit, bins, label, raw)
+    same({0: trees[2]}, {0: trees[100]})
+    same({0: trees[2]}, {0: trees[1 << 30]})
+    assert len(trees[2][0].feature) > 7
+
+
+def test_inputs_are_counted_together_in_fewer_passes():
+    x, _, _ = data(500)
+    bins = bins_of(x)
+    joint, raw = grow.Joint(bins, bins.of(x)), bins.of(x)
+    assert len(joint.columns) < len(bins.edges)
+    rows, weight = np.arange(0, 500, 3), np.arange(500.0)
+    sums = joint.count(rows, [weight, None])
+    codes = (raw + bins.starts)[rows]
+    for i, v in enumerate((weight[rows], np.ones(len(rows)))):
+        assert sums[i].tolist() == np.bincount(codes.ravel(), np.repeat(v, codes.shape[1]), bins.cells).tolist()
+
+
+def test_a_task_scores_with_one_model(spark):
+    """Every fit is sent by itself: rows of a fold see its model, test rows the full one."""
+    rows = [(float(i % 2), i % 3 - 1, [float(i), 1.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "label double, fold int, v array<double>").select("label", "fold", array_to_vector("v").alias("features"))
+    fits = [Fit(i, "m", Growth(1, 2), False, h, (1.0, 1.0)) for i, h in enumerate((-1, 0, 1))]
+    bins = Bins([np.array([9.0]), np.zeros(1)])
+    tree = grow.Tree(feature=[0, -1, -1], at=[0, 0, 0], left=[1, -1, -1], right=[2, -1, -1], value=[0.0, -2.0, 2.0], cover=[0.0] * 3, gain=[1.0, 0.0, 0.0])
+    models = {f.number: TreeEnsemble.grown([tree] * (f.number + 1), bins, False) for f in fits}
+    for f in fits:
+        one = train._scores_of(df.where(f"fold = {f.holdout}"), f.number, models[f.number])
+        found = sorted((r.label, r.score) for r in one.collect())
+        assert found == sorted((y, float(grow.sigmoid((2.0 if v[0] > 9 else -2.0) * (f.number + 1)))) for y, k, v in rows if k == f.holdout)
+    assert train._scores(df, fits, models).count() == 30 and len(models[0].scorer().nodes.cover) == 0
