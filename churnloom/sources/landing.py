@@ -9,6 +9,8 @@ from churnloom.contract import SOURCE_TYPES
 from churnloom.functions import quote
 
 
+# Line items that one task joins, whatever the number of partitions of the session and however they are put together.
+TASK_ROWS = 1 << 19
 # What the customer table is derived from.
 TABLES = ("customer", "orders", "lineitem", "events")
 
@@ -56,6 +58,12 @@ SHAPES = {
 }
 
 
+def parts_of(spark: SparkSession, rows: int) -> int | None:
+    """Partitions in which a task joins some ``TASK_ROWS`` rows; None if the session's own are enough."""
+    parts = -(-rows // TASK_ROWS)
+    return parts if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def customer_table(spark: SparkSession, folder: str) -> DataFrame:
     """One row per customer plus the appended duplicates.
 
@@ -77,14 +85,22 @@ def customer_table(spark: SparkSession, folder: str) -> DataFrame:
         F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents"),
         F.count("*").alias("n_all"),
         F.count_if(F.datediff(today, "o_orderdate") <= 1095).alias("n_recent"))
+    lines = read_table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", "l_discount", "l_returnflag")
+    keys = orders.select("o_orderkey", "o_custkey")
+    parts = parts_of(spark, lines.count())
+    if parts:
+        lines, keys = lines.repartition(parts, "l_orderkey"), keys.repartition(parts, "o_orderkey")
+    pairs = lines.join(keys, F.col("l_orderkey") == F.col("o_orderkey"))
+    if parts:
+        pairs = pairs.repartition(parts, "o_custkey", "l_suppkey")
     lines = (
-        read_table(spark, folder, "lineitem")
-        .join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy(F.col("o_custkey").alias("k")).agg(
-            F.count_if(F.col("l_discount") >= 0.09).alias("n_disc"),
-            F.count_if(F.col("l_returnflag") == "R").alias("n_ret"),
-            F.count("*").alias("n_lines"),
-            F.countDistinct("l_suppkey").alias("n_supp")))
+        pairs.groupBy(F.col("o_custkey").alias("k"), "l_suppkey").agg(
+            F.count_if(F.col("l_discount") >= 0.09).alias("disc"),
+            F.count_if(F.col("l_returnflag") == "R").alias("ret"),
+            F.count("*").alias("lines"))
+        .groupBy("k").agg(
+            F.sum("disc").alias("n_disc"), F.sum("ret").alias("n_ret"), F.sum("lines").alias("n_lines"),
+            F.count("l_suppkey").alias("n_supp")))
     visits = events.groupBy(F.col("user_id").alias("u")).agg(F.count("*").alias("n_ev"))
 
     base = (
