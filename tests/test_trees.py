@@ -276,3 +276,41 @@ def test_a_task_scores_with_one_model(spark):
         found = sorted((r.label, r.score) for r in one.collect())
         assert found == sorted((y, float(grow.sigmoid((2.0 if v[0] > 9 else -2.0) * (f.number + 1)))) for y, k, v in rows if k == f.holdout)
     assert train._scores(df, fits, models).count() == 30 and len(models[0].scorer().nodes.cover) == 0
+
+
+def test_rows_without_gradient_are_not_looked_at_for_sums():
+    """Nodes counted side by side and by themselves, with zero gradients first or not at all, against plain sums."""
+    x, label, _ = data(500, 4)
+    bins = bins_of(x)
+    raw = bins.of(x)
+    rng = np.random.default_rng(1)
+    g, h = np.where(label > 0, -rng.integers(1, 9, 500), 0).astype(float), rng.integers(1, 9, 500).astype(float)
+    rows = np.concatenate([np.flatnonzero(g == 0), np.flatnonzero(g)])
+    zeros = int((g == 0).sum())
+    joint = grow.Joint(bins, raw)
+    read = joint.count(rows, [np.where(g == 0, np.nan, g), h], zeros)  # what is not looked at may be anything
+    assert np.array_equal(read, joint.count(np.arange(500), [g, h]))
+    assert all(np.array_equal(read[i, s:s + len(e) + 1], np.bincount(raw[:, f], v, len(e) + 1))
+               for i, v in enumerate((g, h)) for f, (s, e) in enumerate(zip(bins.starts, bins.edges, strict=True)))
+    node, tried = np.sort(rng.integers(0, 3, 500)), np.array([[0, 5], [6, 1], [3, 2]])
+    cells = {(int(a), int(f), int(at)): v for a, f, at, *v in zip(*grow.tried_cells(bins, raw, rows, node, tried, [g[rows], h[rows], None]), strict=True)}
+    for a in range(3):
+        mine = rows[node == a]
+        for f in tried[a]:
+            for at in np.unique(raw[mine, f]):
+                here = mine[raw[mine, f] == at]
+                assert cells.pop((a, int(f), int(at))) == [g[here].sum(), h[here].sum(), len(here)]
+    assert not cells
+
+
+def test_trees_do_not_depend_on_the_width_of_nodes(monkeypatch):
+    """Forest trees whose nodes are all counted by themselves equal those counted side by side."""
+    x, label, _ = data(600, 5)
+    bins = bins_of(x)
+    raw, row = bins.of(x), np.arange(600) * 7919
+    fit = Fit(0, "f", Growth(3, None, tries=2), True, -1, (0.8, 1.3))
+    grown = []
+    for width in (1, 1 << 20):
+        monkeypatch.setattr(grow, "WIDE_ROWS", width)
+        grown.append(ff._forest(fit, bins, row, label, raw, range(3)))
+    assert all(np.array_equal(getattr(a, n), getattr(b, n)) for a, b in zip(*grown, strict=True) for n in FLAT)
