@@ -16,7 +16,7 @@ from churnloom.ml.score import ChurnPredictor
 from churnloom.operators import clean, features, health, rfm, risk, segments
 from churnloom.plans.manifest import Manifest
 from churnloom.plans.stages import new_path
-from churnloom.sources.files import read_customers, write_mart, write_table
+from churnloom.sources.files import in_order, read_customers, write_table
 from churnloom.sources.landing import TABLES, customer_table
 
 
@@ -79,9 +79,10 @@ class CustomerMart:
     def table(self) -> DataFrame:
         """Every customer with features, scores, segments, flags and health.
 
-        Sorted by customer, so that the report of one customer skips all other row groups.
+        Sorted by customer, so that the report of one customer skips all other row groups. Rows are put in order before they are
+        widened: what follows are projections, which the sample for the order need not work out and the shuffle need not carry.
         """
-        return self._stage("mart", lambda: enrich(self.cleaned.df, self.cuts), write_mart)
+        return self._stage("mart", lambda: enrich(in_order(self.cleaned.df), self.cuts))
 
     @cached_property
     def scored(self) -> DataFrame:
