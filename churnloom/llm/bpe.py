@@ -60,6 +60,8 @@ class PreTokenizer:
         self.outside, self.split = _plain_patterns()
         self.letters = _byte_letters()
         self.bytes = {c: b for b, c in enumerate(self.letters)}
+        # Looked up once: every look makes a new wrapper of the model.
+        self.tokenise = self.tokenizer.model.tokenize
         self.packed = Memory(self._packed)
         self.packed_word = Memory(self._packed_word, 300_000)
 
@@ -91,8 +93,19 @@ class PreTokenizer:
         return array("H", self.ids(pre_token)).tobytes()
 
     def _packed_word(self, word: str) -> bytes:
-        """Ids of a plain word. Short pre-tokens, such as stops, are remembered; others hardly come back alone."""
-        return b"".join([self.packed[t] if len(t) < 4 else self._packed(t) for t in self.cut(word)])
+        """Ids of a plain word. Short pre-tokens, such as stops, are remembered; others hardly come back alone.
+
+        Rare words make up most of the work, so those of letters, with a stop or comma or without, go straight to the model.
+        """
+        body = word.rstrip(".,")
+        if not body.isalpha() or body in self.specials:
+            return b"".join([self.packed[t] if len(t) < 4 else self._packed(t) for t in self.cut(word)])
+        written = body if body.isascii() else "".join(map(self.letters.__getitem__, body.encode()))
+        found = array("H", [t.id for t in self.tokenise(written)]).tobytes()
+        if len(body) == len(word):
+            return found
+        stop = word[len(body):]
+        return found + (self.packed[stop] if len(stop) < 4 else self._packed(stop))
 
     def cut(self, word: str) -> list[str]:
         """Pre-tokens of a plain word in lower case; most are letters with a stop or comma at the end."""
@@ -121,7 +134,7 @@ class PreTokenizer:
         # Printable ASCII stands for itself.
         is_plain = pre_token.isascii() and pre_token.isprintable() and " " not in pre_token
         written = pre_token if is_plain else "".join(map(self.letters.__getitem__, pre_token.encode()))
-        return [t.id for t in self.tokenizer.model.tokenize(written)]
+        return [t.id for t in self.tokenise(written)]
 
 
 ship(__name__)

@@ -38,6 +38,18 @@ def test_ids_are_those_of_the_library(text):
         len(TOKENS.ids(t)) for t in others) == len(expected)
 
 
+def test_words_of_letters_go_straight_to_the_model(monkeypatch):
+    tokens, asked = PreTokenizer(SPEC), []
+    monkeypatch.setattr(tokens, "tokenise", lambda written, real=tokens.tokenise: asked.append(written) or real(written))
+    words = ["grenzwert", "grenzwert,", "überfluß.", "don't", "...,."]
+    expected = [TOKENS.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    assert [list(memoryview(tokens._packed_word(w)).cast("H")) for w in words] == expected
+    assert asked[:3] == ["grenzwert", "grenzwert", ","]
+    # No longer by way of ``ids``: its checks are for pre-tokens of any kind.
+    monkeypatch.setattr(tokens, "ids", None)
+    assert list(memoryview(tokens._packed_word("grenzwert,")).cast("H")) == expected[1]
+
+
 def _expected_counts(rows):
     tokenizer = plain.tokenizer()
     return sorted(((d, len((t or "").encode()), n := len(tokenizer.encode(t or "", add_special_tokens=False).ids), n > 2048)
