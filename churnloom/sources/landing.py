@@ -59,9 +59,13 @@ SHAPES = {
 
 
 def parts_of(spark: SparkSession, rows: int) -> int | None:
-    """Partitions in which a task joins some ``TASK_ROWS`` rows; None if the session's own are enough."""
+    """Partitions in which a task joins some ``TASK_ROWS`` rows; None if the session's own are enough.
+
+    Adaptive execution puts the session's partitions together until there are about as many as cores, so only that many are counted on.
+    """
     parts = -(-rows // TASK_ROWS)
-    return parts if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+    own = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return parts if parts > own else None
 
 
 def customer_table(spark: SparkSession, folder: str) -> DataFrame:

@@ -34,3 +34,16 @@ def test_tasks_of_bounded_rows_give_the_same_customers(spark, tmp_path, monkeypa
     devices = {r.CustomerID: r.NumberOfDeviceRegistered for r in many.where("src_seq = 0").collect()}
     suppliers = {k: {i % 4 for i in range(400) if (i % 60) % 9 == k and i % 4} for k in range(9)}
     assert all(devices[50001 + k] == 1 + len(s) % 6 for k, s in suppliers.items() if k != 7)
+
+
+def test_many_partitions_of_the_session_do_not_lift_the_bound(spark, tmp_path, monkeypatch):
+    """They are put together again: 200 of them end as some 8 tasks of all line items, however many these are."""
+    monkeypatch.setattr(landing, "TASK_ROWS", 16)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert landing.parts_of(spark, 401) == 26 and landing.parts_of(spark, 8 * 16) is None
+        plan = landing.customer_table(spark, write(spark, tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RepartitionByExpression") >= 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
