@@ -95,7 +95,7 @@ class PreTokenizer:
     def _packed_word(self, word: str) -> bytes:
         """Ids of a plain word. Short pre-tokens, such as stops, are remembered; others hardly come back alone.
 
-        Rare words make up most of the work, so those of letters, with a stop or comma or without, go straight to the model.
+        Words met for the first time are a large part of the work, so those of letters, with a stop or comma or without, go straight to the model.
         """
         body = word.rstrip(".,")
         if not body.isalpha() or body in self.specials:
