@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import sys
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 from pyspark import cloudpickle
@@ -29,6 +30,15 @@ SLOTS = 12
 JOINT_CELLS = 4096
 # Nodes of as many rows are counted by themselves, smaller ones side by side.
 WIDE_ROWS = 2048
+# Nodes of as many rows are counted in columns of the patterns that occur; a sample shows no more than so many in a column.
+PATTERN_ROWS = 1 << 16
+PATTERNS = 1 << 14
+# Patterns that a column holds at most, as it is 16 bits wide.
+MOST_PATTERNS = 1 << 16
+# Rows counted at once, few enough for a processor's cache.
+BLOCK = 1 << 16
+# Rows of nodes side by side, fetched at once.
+ROWS = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -94,6 +104,25 @@ class Tree:
         self.right[node] = self.child(mixed(2 * self.key[node] + 1), depth, leaf_value(*rest, growth), rest[1] / SCALE)
         return self.left[node], self.right[node]
 
+    def split_level(self, nodes: np.ndarray, s: Splits, growth: Growth, depth: int) -> np.ndarray:
+        """Split the nodes that have a split, in the order of their numbers; for each node its left child (the right one is the next), else -1."""
+        kids, split = np.full(len(nodes), -1), np.flatnonzero(s.feature >= 0)
+        split = split[np.argsort(nodes[split], kind="stable")]
+        kids[split] = len(self.feature) + 2 * np.arange(len(split))
+        feature, at, gain, gl, hl, _, g, h, _ = (v[split] for v in s)
+        keys = np.array([self.key[n] for n in nodes[split].tolist()], np.uint64) * np.uint64(2)
+        g, h = np.stack([gl, g - gl], 1).ravel(), np.stack([hl, h - hl], 1).ravel()
+        for name, column in (("feature", feature), ("at", at), ("gain", gain), ("left", kids[split]), ("right", kids[split] + 1)):
+            mine = getattr(self, name)
+            for node, v in zip(nodes[split].tolist(), column.tolist(), strict=True):
+                mine[node] = v
+        for name, v in (("feature", -1), ("at", 0), ("left", -1), ("right", -1), ("gain", 0.0), ("depth", depth)):
+            getattr(self, name).extend([v] * len(g))
+        self.value.extend(leaf_values_of(g, h, growth).tolist())
+        self.cover.extend((h / SCALE).tolist())
+        self.key.extend(mixed(np.stack([keys, keys + np.uint64(1)], 1).ravel()).tolist())
+        return kids
+
     def route(self, bins: np.ndarray, start=None) -> np.ndarray:
         """The node every row of bins ends in."""
         feature, at, left, right = map(np.asarray, (self.feature, self.at, self.left, self.right))
@@ -147,6 +176,20 @@ class Split:
     c: int
 
 
+class Splits(NamedTuple):
+    """The splits of many nodes, as arrays; feature is -1 where a node has none."""
+
+    feature: np.ndarray
+    at: np.ndarray
+    gain: np.ndarray
+    gl: np.ndarray
+    hl: np.ndarray
+    cl: np.ndarray
+    g: np.ndarray
+    h: np.ndarray
+    c: np.ndarray
+
+
 def mixed(key: int) -> int:
     """A 64-bit number that looks random, for numbers and (wrapping) arrays alike."""
     if isinstance(key, np.ndarray):
@@ -166,6 +209,12 @@ def leaf_value(g: int, h: int, growth: Growth) -> float:
     return -growth.step * (g / SCALE) / below if below > 0 else 0.0
 
 
+def leaf_values_of(g: np.ndarray, h: np.ndarray, growth: Growth) -> np.ndarray:
+    """As ``leaf_value``, of many nodes."""
+    below = h / SCALE + growth.l2
+    return np.divide(-growth.step * (g / SCALE), below, out=np.zeros(len(below)), where=below > 0)
+
+
 def feature_order(keys: np.ndarray, features: int) -> np.ndarray:
     """For each node key all inputs in an order of their own."""
     draws = mixed(mixed(keys)[:, None] + np.arange(features, dtype=np.uint64)[None, :])
@@ -247,21 +296,40 @@ def cells_of(bins: Bins, codes: np.ndarray, node: np.ndarray, nodes: int, stats)
     return [np.concatenate(v) for v in zip(*out, strict=True)]
 
 
+def _at(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Values at places that are known to exist."""
+    return values.take(places, mode="clip")
+
+
+def _parted(rows: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
+    """The rows that go left and the others."""
+    return [rows.compress(left), rows.compress(~left)]
+
+
 def tried_cells(bins: Bins, raw, rows, node, tried, stats):
     """As ``cells_of`` for nodes that look at the inputs ``tried`` (node, slot), straight from the rows' bytes.
 
     ``node`` ascends. Statistics are two or, if rows are counted as well, three. Cells without weight are left out; rows without
     gradient, two thirds of a forest's where a third of the labels is 1, add nothing to its sums and are not looked at for them.
     """
-    nodes, width = tried.shape
-    out, step, flat = [], max(1, DENSE // bins.cells), raw.reshape(-1)
+    nodes, width = len(tried), raw.shape[1]
+    out, step = [], max(1, DENSE // bins.cells)
     for low in range(0, nodes, step):
         high = min(low + step, nodes)
         begin, end = np.searchsorted(node, [low, high])
-        mine, size = node[begin:end], (high - low) * bins.cells
-        first = (np.arange(high - low) * bins.cells)[:, None] + bins.starts[tried[low:high]]
-        keys = flat[(rows[begin:end] * raw.shape[1])[:, None] + tried[mine]] + first[mine - low]
-        sums = [summed(keys, v if v is None else v[begin:end], size) for v in stats]
+        inputs = np.ascontiguousarray(tried[low:high].T)
+        starts = np.arange(high - low) * bins.cells + bins.starts[inputs]
+        sums = np.zeros((len(stats), (high - low) * bins.cells))
+        for a in range(begin, end, ROWS):
+            part = slice(a, min(a + ROWS, end))
+            # Rows lie far apart, so they are fetched whole.
+            held, mine = raw.take(rows[part], axis=0, mode="clip").reshape(-1), node[part] - low
+            first, weights = np.arange(len(mine)) * width, [_weighing(None if v is None else v[part]) for v in stats]
+            for f, start in zip(inputs, starts, strict=True):
+                keys = _at(held, first + _at(f, mine)) + _at(start, mine)
+                for total, (some, v) in zip(sums, weights, strict=True):
+                    # Whole numbers below 2 ** 53: exact as doubles.
+                    np.add.at(total, keys if some is None else _at(keys, some), v)
         at = np.flatnonzero(sums[-1])
         code = at % bins.cells
         feature = bins.feature_of[code]
@@ -270,18 +338,15 @@ def tried_cells(bins: Bins, raw, rows, node, tried, stats):
     return [np.concatenate(v) for v in zip(*out, strict=True)]
 
 
-def summed(keys: np.ndarray, v, size: int) -> np.ndarray:
-    """Sums by key of a statistic of rows of keys; None counts them."""
+def _weighing(v):
+    """Places of the rows that add to a statistic (None for all of them) and what they add; without statistic each row adds 1."""
     if v is None:
-        return np.bincount(keys.ravel(), minlength=size)
-    some = np.flatnonzero(v)
-    if len(some) < len(v):
-        keys, v = keys[some], v[some]
-    # Whole numbers below 2 ** 53: exact as doubles.
-    return np.bincount(keys.ravel(), np.repeat(v, keys.shape[1]), size)
+        return None, 1.0
+    some = None if v.all() else np.flatnonzero(v)
+    return some, v if some is None else _at(v, some)
 
 
-def level(bins: Bins, raw, rows, node, keys, stats, growth: Growth) -> list[Split]:
+def level(bins: Bins, raw, rows, node, keys, stats, growth: Growth) -> Splits:
     """The split of every node of a level; ``node`` numbers the nodes of ``rows`` from 0 and ascends, ``keys`` are the nodes' keys.
 
     ``stats`` are those of the rows, with None at the end if they are counted as well.
@@ -291,16 +356,17 @@ def level(bins: Bins, raw, rows, node, keys, stats, growth: Growth) -> list[Spli
     if growth.tries is None or growth.tries >= width:
         totals.append(np.bincount(node, minlength=nodes))
         found = candidates(*cells_of(bins, raw[rows] + bins.starts, node, nodes, stats[:2]), totals, growth)
-        return splits_of(found, pick(found, nodes, None, growth), totals)
+        return chosen_of(found, pick(found, nodes, None, growth), totals)
     totals.append(totals[1] if len(stats) < 3 else np.bincount(node, minlength=nodes))
     order = feature_order(np.asarray(keys, np.uint64), width)
     found, have, pending = [], np.zeros(nodes, np.int64), np.arange(nodes)
     for first in range(0, width, SLOTS):
         of = np.full(nodes, -1)
         of[pending] = np.arange(len(pending))
-        left = np.flatnonzero(of[node] >= 0)
-        part = candidates(*tried_cells(bins, raw, rows[left], of[node[left]], order[pending, first:first + SLOTS],
-                                       [v if v is None else v[left] for v in stats]), [t[pending] for t in totals], growth)
+        left = None if len(pending) == nodes else np.flatnonzero(_at(of, node) >= 0)
+        of_left = lambda v: v if v is None or left is None else _at(v, left)
+        part = candidates(*tried_cells(bins, raw, of_left(rows), _at(of, of_left(node)), order[pending, first:first + SLOTS],
+                                       [of_left(v) for v in stats]), [t[pending] for t in totals], growth)
         part[0] = pending[part[0].astype(np.int64)]
         found.append(part)
         have += np.bincount(part[0], minlength=nodes)
@@ -309,23 +375,110 @@ def level(bins: Bins, raw, rows, node, keys, stats, growth: Growth) -> list[Spli
             break
     found = [np.concatenate(v) for v in zip(*found, strict=True)]
     found[:3] = [v.astype(np.int64) for v in found[:3]]
-    return splits_of(found, pick(found, nodes, places(order), growth), totals)
+    return chosen_of(found, pick(found, nodes, places(order), growth), totals)
 
 
-def splits_of(found, chosen, totals) -> list[Split]:
+def chosen_of(found, chosen, totals) -> Splits:
     """For each node its split, with feature -1 where it has none."""
-    out = []
-    for n, i in enumerate(chosen.tolist()):
-        best = (-1, 0, 0.0, 0, 0, 0) if i < 0 else (int(found[1][i]), int(found[2][i]), float(found[3][i]), *(int(v[i]) for v in found[4:]))
-        out.append(Split(*best, *(int(t[n]) for t in totals)))
-    return out
+    has, out = np.flatnonzero(chosen >= 0), []
+    for v, none, kind in zip(found[1:], (-1, 0, 0.0, 0, 0, 0), (np.int64, np.int64, float, np.int64, np.int64, np.int64), strict=True):
+        column = np.full(len(chosen), none, kind)
+        column[has] = v[chosen[has]]
+        out.append(column)
+    return Splits(*out, *(np.asarray(t, np.int64) for t in totals))
+
+
+def splits_of(found, chosen, totals) -> list[Split]:
+    """As ``chosen_of``, one by one."""
+    return [Split(*values) for values in zip(*(v.tolist() for v in chosen_of(found, chosen, totals)), strict=True)]
+
+
+class Patterns:
+    """As the columns of ``Joint``, numbering only the patterns of bins that occur: inputs that exclude each other or go together cost little.
+
+    A sample of the rows decides which inputs share a column; the patterns are those of all rows.
+    """
+
+    def __init__(self, sizes: list[int], starts, lines: np.ndarray):
+        self.columns, self.sizes, self.spreads, self.starts = [], [], [], starts
+        step, groups = max(1, lines.shape[1] // BLOCK), []
+        for f in sorted(range(len(sizes)), key=lambda f: (-sizes[f], f)):
+            seen, best = lines[f, ::step].astype(np.intp), None
+            for i, (_, code, count) in enumerate(groups):
+                joint = code * sizes[f] + seen
+                found = _occurring(joint, count * sizes[f])
+                if len(found) <= PATTERNS and (best is None or len(found) < best[0] * count):
+                    best = len(found) / count, i, joint, found
+            if best is None:
+                groups.append(([f], seen, sizes[f]))
+            else:
+                _, i, joint, found = best
+                groups[i] = ([*groups[i][0], f], _numbers(found)[joint], len(found))
+        for group, *_ in groups:
+            self._code(group, sizes, lines)
+
+    def _code(self, group: list[int], sizes: list[int], lines: np.ndarray) -> None:
+        first, *rest = group
+        code, mine, patterns = lines[first].astype(np.int32), [first], [np.arange(sizes[first])]
+        for i, f in enumerate(rest):
+            size = len(patterns[0]) * sizes[f]
+            joint = code * np.int32(sizes[f]) + lines[f]
+            found = _occurring(joint, size)
+            if len(found) > MOST_PATTERNS:  # more than the sample showed
+                self._code(rest[i:], sizes, lines)
+                break
+            code, patterns = _numbers(found).astype(np.int32)[joint], [*(p[found // sizes[f]] for p in patterns), found % sizes[f]]
+            mine.append(f)
+        self.columns.append(code.astype(np.uint16))
+        self.sizes.append(len(patterns[0]))
+        self.spreads.append(self._halved([(f, sizes[f], p) for f, p in zip(mine, patterns, strict=True)]))
+
+    def _halved(self, inputs: list) -> list:
+        """How sums by pattern are summed by the patterns of either half of the inputs, and these on in the same way, down to single inputs."""
+        found, half = [], len(inputs) // 2
+        for mine in (inputs[:half], inputs[half:]) if half else (inputs,):
+            if len(mine) == 1:
+                (f, size, bins), rest = mine[0], None
+                found.append((bins, size, slice(int(self.starts[f]), int(self.starts[f]) + size), rest))
+                continue
+            code = mine[0][2]
+            for _, size, bins in mine[1:]:
+                code = np.unique(code * size + bins, return_inverse=True)[1]
+            _, first = np.unique(code, return_index=True)
+            found.append((code, len(first), None, self._halved([(f, size, bins[first]) for f, size, bins in mine])))
+        return found
+
+    def spread(self, number: int, sums: np.ndarray, out: np.ndarray) -> None:
+        """Sums of a column's patterns by the bins of its inputs."""
+        pending = [(sums, self.spreads[number])]
+        while pending:
+            sums, parts = pending.pop()
+            for codes, size, where, rest in parts:
+                less = np.stack([np.bincount(codes, v, size) for v in sums])
+                if rest is None:
+                    out[:, where] = less
+                else:
+                    pending.append((less, rest))
+
+
+def _occurring(codes: np.ndarray, size: int) -> np.ndarray:
+    seen = np.zeros(size, bool)
+    seen[codes] = True
+    return np.flatnonzero(seen)
+
+
+def _numbers(found: np.ndarray) -> np.ndarray:
+    """Where each code stands among those found."""
+    place = np.zeros(found[-1] + 1, np.intp)
+    place[found] = np.arange(len(found))
+    return place
 
 
 class Joint:
     """Rows laid out for counting: narrow inputs share a column that numbers their bins together.
 
     The bins of one input are then sums over those of its column, so a node is counted in a quarter of the passes and without
-    mixing nodes. ``bins`` holds the rows input by input, for splitting.
+    mixing nodes. ``bins`` holds the rows input by input, for splitting. Nodes of many rows are counted by ``Patterns``, in fewer still.
     """
 
     def __init__(self, bins: Bins, raw: np.ndarray):
@@ -349,6 +502,9 @@ class Joint:
             for f in group:
                 column *= sizes[f]
                 column += self.bins[f]
+        # The same row by row, for rows that lie far apart.
+        self.lines = np.ascontiguousarray(self.columns.T)
+        self.patterns = Patterns(sizes, self.starts, self.bins) if len(raw) >= PATTERN_ROWS else None
 
     def _rest(self, group: list[int], shape: list[int]):
         """Cells of all inputs of a column but the first, and the 0/1 matrix that sums their shares of what they count together."""
@@ -358,20 +514,38 @@ class Joint:
         bins = np.unravel_index(np.arange(int(np.prod(shape[1:]))), shape[1:])
         return where, np.concatenate([b[:, None] == np.arange(size) for b, size in zip(bins, shape[1:], strict=True)], axis=1).astype(float)
 
-    def count(self, rows: np.ndarray, stats: list, zeros: int = 0) -> np.ndarray:
-        """Sums of every statistic by cell over the given rows, the first ``zeros`` of which have no gradient; None counts the rows."""
+    def spread(self, number: int, sums: np.ndarray, out: np.ndarray) -> None:
+        """Sums of a column's cells by the bins of its inputs."""
+        (where, first), rest = self.firsts[number], self.rests[number]
+        table = sums.reshape(len(sums), first, -1)
+        out[:, where] = table @ np.ones(table.shape[2])
+        if rest is not None:
+            out[:, rest[0]] = np.ones(first) @ table @ rest[1]
+
+    def count(self, rows: np.ndarray, stats: list, zeros: int = 0, opposite: bool = False) -> np.ndarray:
+        """Sums of every statistic by cell over the given rows, the first ``zeros`` of which have no gradient; None counts the rows.
+
+        ``opposite`` gradients are the negative weight wherever they are not 0, so each row is looked at for one of both.
+        """
+        laid = self.patterns if self.patterns and len(rows) >= PATTERN_ROWS else self
+        held = self.lines.take(rows, axis=0, mode="clip") if laid is self and len(rows) <= ROWS else None
+        spans = [(zeros, len(rows)), (0, zeros)] if opposite else [(zeros, len(rows)), *[(0, len(rows))] * (len(stats) - 1)]
+        picked = [None if v is None else _at(v, rows[low:high]) for v, (low, high) in zip(stats, spans, strict=True)]
         out = np.empty((len(stats), self.cells))
-        starts = [zeros, *[0] * (len(stats) - 1)]
-        picked = [None if v is None else v[rows[start:]] for v, start in zip(stats, starts, strict=True)]
-        for column, (where, first), rest, size in zip(self.columns, self.firsts, self.rests, self.sizes, strict=True):
-            at = column[rows].astype(np.intp)
-            joint = np.empty((len(stats), size))
-            for i, (v, start) in enumerate(zip(picked, starts, strict=True)):
-                joint[i] = np.bincount(at[start:], v, size)
-            table = joint.reshape(len(stats), first, -1)
-            out[:, where] = table.sum(2)
-            if rest is not None:
-                out[:, rest[0]] = table.sum(1) @ rest[1]
+        for number, (column, size) in enumerate(zip(laid.columns, laid.sizes, strict=True)):
+            sums = np.zeros((len(stats), size))
+            for start in range(0, len(rows), BLOCK):
+                at = (_at(column, rows[start:start + BLOCK]) if held is None else held[start:start + BLOCK, number]).astype(np.intp)
+                for mine, v, (low, high) in zip(sums, picked, spans, strict=True):
+                    a, b = max(low, start), min(high, start + len(at))
+                    if a < b and v is None:
+                        mine += np.bincount(at[a - start:b - start], minlength=size)
+                    elif a < b:
+                        # Whole numbers below 2 ** 53: exact as doubles.
+                        np.add.at(mine, at[a - start:b - start], v[a - low:b - low])
+            laid.spread(number, sums, out)
+        if opposite:
+            out[1] -= out[0]
         return out
 
 
@@ -381,7 +555,7 @@ def _counted(stats, growth: Growth, rows) -> list:
     return [g, h] if growth.least_rows <= 1 and len(rows) and h[rows].min() > 0 else [g, h, None]
 
 
-def _dense_level(bins: Bins, sums: np.ndarray, keys, growth: Growth) -> list[Split]:
+def _dense_level(bins: Bins, sums: np.ndarray, keys, growth: Growth) -> Splits:
     """The split of every node from its summed cells, (nodes, statistics, cells)."""
     nodes = len(sums)
     first = slice(int(bins.starts[0]), int(bins.starts[0]) + len(bins.edges[0]) + 1)
@@ -394,14 +568,20 @@ def _dense_level(bins: Bins, sums: np.ndarray, keys, growth: Growth) -> list[Spl
     order = None
     if growth.tries is not None and growth.tries < len(bins.edges):
         order = places(feature_order(np.asarray(keys, np.uint64), len(bins.edges)))
-    return splits_of(found, pick(found, nodes, order, growth), totals)
+    return chosen_of(found, pick(found, nodes, order, growth), totals)
 
 
-def _sparse_level(bins: Bins, joint: Joint, parts: list, keys, counted, growth: Growth) -> list[Split]:
-    """The split of every node, ``parts`` being the nodes' rows; for nodes of fewer rows than cells."""
-    rows = np.concatenate(parts)
-    node = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    return level(bins, joint.raw, rows, node, keys, [v if v is None else v[rows] for v in counted], growth)
+def _by_node(rows: np.ndarray, node: np.ndarray):
+    """Numbers of the nodes that have rows, how many, and the rows node by node."""
+    if not len(rows):
+        return node, node, rows
+    low = node.min()
+    place = node - low
+    # Short numbers are sorted by their digits.
+    by = np.argsort(place.astype(np.uint16) if place.max() < 1 << 16 else place, kind="stable")
+    sizes = np.bincount(place)
+    some = np.flatnonzero(sizes)
+    return some + low, sizes[some], rows[by]
 
 
 def grow(bins: Bins, codes, raw, stats, growth: Growth, key: int, tree: Tree | None = None, depth: int = 0,
@@ -409,7 +589,8 @@ def grow(bins: Bins, codes, raw, stats, growth: Growth, key: int, tree: Tree | N
     """A whole tree over the given rows (``raw`` are their bins), level by level.
 
     ``joint`` is their layout if it was made before, ``rows`` are those the tree sees, ``leaf`` receives the node each of them ends
-    in. Of two children only the smaller one is counted; the other is what is left of their parent.
+    in. Of two children only the smaller one is counted; the other is what is left of their parent. Nodes of fewer rows than cells
+    are counted and split together.
     """
     joint = Joint(bins, raw) if joint is None else joint
     rows = np.arange(joint.bins.shape[1]) if rows is None else rows
@@ -421,48 +602,69 @@ def grow(bins: Bins, codes, raw, stats, growth: Growth, key: int, tree: Tree | N
     # Rows without gradient come first, in every node.
     none = stats[0][rows] == 0
     zeros = int(np.count_nonzero(none))
-    rows = np.concatenate([rows[none], rows[~none]]) if zeros else rows
-    frontier = [(0, rows, zeros, joint.count(rows, counted, zeros) if len(rows) >= WIDE_ROWS else None)]
-    while frontier and (growth.depth is None or depth < growth.depth):
-        found: list = [None] * len(frontier)
-        wide = [i for i, (*_, sums) in enumerate(frontier) if sums is not None]
-        slim = [i for i, (_, part, _, sums) in enumerate(frontier) if sums is None and len(part)]
-        if wide:
-            splits = _dense_level(bins, np.stack([frontier[i][3] for i in wide]), [tree.key[frontier[i][0]] for i in wide], growth)
-            for i, split in zip(wide, splits, strict=True):
-                found[i] = split
-        if slim:
-            splits = _sparse_level(bins, joint, [frontier[i][1] for i in slim], [tree.key[frontier[i][0]] for i in slim], counted, growth)
-            for i, split in zip(slim, splits, strict=True):
-                found[i] = split
-        following, depth = [], depth + 1
+    rows = np.concatenate(_parted(rows, none)) if zeros else rows
+    opposite = len(counted) == 2 and growth.tries is not None and np.array_equal(stats[0][rows[zeros:]], -stats[1][rows[zeros:]])
+    flat, width = joint.raw.reshape(-1), joint.raw.shape[1]
+    root = np.zeros(len(rows), np.int64)
+    wide = [(0, rows, zeros, joint.count(rows, counted, zeros, opposite))] if len(rows) >= WIDE_ROWS else []
+    slim, sizes, theirs = _by_node(rows[:0], root[:0]) if wide else _by_node(rows, root)
+    while (wide or len(slim)) and (growth.depth is None or depth < growth.depth):
+        depth += 1
         last = growth.depth is not None and depth >= growth.depth
-        for (node, part, zeros, sums), split in zip(frontier, found, strict=True):
-            if split is None or split.feature < 0:
+        nodes = np.array([*(node for node, *_ in wide), *slim.tolist()], np.int64)
+        keys, parts = np.array([tree.key[n] for n in nodes.tolist()], np.uint64), []
+        of = np.repeat(np.arange(len(slim)), sizes)
+        if wide:
+            parts.append(_dense_level(bins, np.stack([sums for *_, sums in wide]), keys[:len(wide)], growth))
+        if len(slim):
+            parts.append(level(bins, joint.raw, theirs, of, keys[len(wide):], [v if v is None else _at(v, theirs) for v in counted], growth))
+        splits = Splits(*map(np.concatenate, zip(*parts, strict=True)))
+        kids = tree.split_level(nodes, splits, growth, depth)
+        done = np.full((len(nodes), 2), last)
+        if growth.tries is not None and not growth.l2:
+            # Without a penalty, rows of one label and weight per label have nothing to gain.
+            for side, g, h in ((0, splits.gl, splits.hl), (1, splits.g - splits.gl, splits.h - splits.hl)):
+                done[:, side] |= (g == 0) | (g == -h)
+        following, small = [], []
+        for i, (node, part, zeros, sums) in enumerate(wide):
+            kid = int(kids[i])
+            if kid < 0:
                 if leaf is not None:
                     leaf[part] = node
                 continue
-            kids, left = tree.split(node, split, growth), joint.bins[split.feature][part] <= split.at
-            parts, zero = [part[left], part[~left]], int(np.count_nonzero(left[:zeros]))
-            zero = [zero, zeros - zero]
-            counts = [None, None]
-            less = int(len(parts[1]) < len(parts[0]))
-            if not last and len(parts[1 - less]) >= WIDE_ROWS and sums is not None:
-                counts[less] = joint.count(parts[less], counted, zero[less])
-                counts[1 - less] = sums - counts[less]
-                counts[less] = counts[less] if len(parts[less]) >= WIDE_ROWS else None
-            for kid, mine, none, count, g, h in zip(kids, parts, zero, counts, (split.gl, split.g - split.gl),
-                                                    (split.hl, split.h - split.hl), strict=True):
-                # Without a penalty, rows of one label and weight per label have nothing to gain.
-                done = last or growth.tries is not None and not growth.l2 and (g == 0 or g == -h)
-                if not done:
-                    following.append((kid, mine, none, count))
+            left = _at(joint.bins[splits.feature[i]], part) <= splits.at[i]
+            pair, zero = _parted(part, left), int(np.count_nonzero(left[:zeros]))
+            zero, counts = [zero, zeros - zero], [None, None]
+            less = int(len(pair[1]) < len(pair[0]))
+            large = [not done[i, side] and len(pair[side]) >= WIDE_ROWS for side in (0, 1)]
+            if any(large):
+                counts[less] = joint.count(pair[less], counted, zero[less], opposite)
+                counts[1 - less] = sums - counts[less] if large[1 - less] else None
+            for side in (0, 1):
+                if large[side]:
+                    following.append((kid + side, pair[side], zero[side], counts[side]))
+                elif not done[i, side]:
+                    small.append((pair[side], np.full(len(pair[side]), kid + side)))
                 elif leaf is not None:
-                    leaf[mine] = kid
-        frontier = following
+                    leaf[pair[side]] = kid + side
+        if len(slim):
+            mine = slice(len(wide), None)
+            right = _at(flat, theirs * width + _at(np.maximum(splits.feature[mine], 0), of)) > _at(splits.at[mine], of)
+            # Where the rows of each node go to the left and to the right, and whether they go on there.
+            side = 2 * of + right
+            kid = np.where(kids[mine] < 0, nodes[mine], kids[mine])
+            to = _at(np.stack([kid, np.where(kids[mine] < 0, kid, kid + 1)], 1).ravel(), side)
+            on = _at(((kids[mine] >= 0)[:, None] & ~done[mine]).ravel(), side)
+            if leaf is not None:
+                leaf[theirs.compress(~on)] = to.compress(~on)
+            small.append((theirs.compress(on), to.compress(on)))
+        wide = following
+        theirs, of = map(np.concatenate, zip(*small, strict=True)) if small else (rows[:0], root[:0])
+        slim, sizes, theirs = _by_node(theirs, of)
     if leaf is not None:
-        for node, part, *_ in frontier:
+        for node, part, *_ in wide:
             leaf[part] = node
+        leaf[theirs] = np.repeat(slim, sizes)
     return tree
 
 
@@ -495,7 +697,8 @@ _DRAWN = np.cumsum([0.36787944117144233 / f for f in (1, 1, 2, 6, 24, 120, 720,
 def forest_stats(row, label, weight, tree_key: int):
     """Rows drawn with replacement by their number and the tree; a row drawn nowhere weighs 0."""
     share = (mixed(row.astype(np.uint64) ^ np.uint64(tree_key)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
-    w = np.rint(np.searchsorted(_DRAWN, share, "right") * weight * SCALE)
+    times = sum((share >= least).astype(np.int8) for least in _DRAWN)
+    w = np.rint(times * weight * SCALE)
     return -w * label, w
 
 

@@ -314,3 +314,61 @@ def test_trees_do_not_depend_on_the_width_of_nodes(monkeypatch):
         monkeypatch.setattr(grow, "WIDE_ROWS", width)
         grown.append(ff._forest(fit, bins, row, label, raw, range(3)))
     assert all(np.array_equal(getattr(a, n), getattr(b, n)) for a, b in zip(*grown, strict=True) for n in FLAT)
+
+
+def exclusive(rows=900, seed=9):
+    """Bins of three inputs of which one follows from another, and of two texts in one-hot inputs."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((rows, 2)).round(1)
+    texts = [rng.integers(0, n, rows)[:, None] == np.arange(n) for n in (8, 6)]
+    x = np.hstack([x, np.floor(x[:, :1]), *texts]).astype(float)
+    label = ((x[:, 0] + x[:, 4] > 0.5) ^ (rng.random(rows) < 0.2)).astype(float)
+    return bins_of(x, 3), x, label
+
+
+@pytest.mark.parametrize("most", [1 << 16, 12])
+def test_patterns_that_occur_are_counted_in_fewer_passes(most, monkeypatch):
+    """Inputs that exclude each other share a column; ``most`` is also less than the sample lets expect."""
+    monkeypatch.setattr(grow, "JOINT_CELLS", 64)
+    monkeypatch.setattr(grow, "PATTERNS", 64)
+    monkeypatch.setattr(grow, "MOST_PATTERNS", most)
+    monkeypatch.setattr(grow, "PATTERN_ROWS", 200)
+    monkeypatch.setattr(grow, "BLOCK", 128)
+    bins, x, _ = exclusive()
+    raw = bins.of(x)
+    joint = grow.Joint(bins, raw)
+    if most > 64:
+        assert len(joint.patterns.columns) < len(joint.columns)
+    weight = np.arange(900.0)
+    for rows in (np.arange(900), np.arange(0, 900, 3), np.arange(5, 150)):
+        sums = joint.count(rows, [weight, None])
+        codes = (raw + bins.starts)[rows]
+        for i, v in enumerate((weight[rows], np.ones(len(rows)))):
+            assert sums[i].tolist() == np.bincount(codes.ravel(), np.repeat(v, codes.shape[1]), bins.cells).tolist()
+
+
+def test_a_row_is_looked_at_for_gradient_or_weight(monkeypatch):
+    """Where gradients are the negative weight or 0, weights of rows with gradient are not read."""
+    bins, x, label = exclusive()
+    weight = np.random.default_rng(2).integers(1, 9, 900).astype(float)
+    gradient, rows, zeros = -weight * label, np.argsort(label, kind="stable"), int((label == 0).sum())
+    plain = grow.Joint(bins, bins.of(x)).count(rows, [gradient, weight], zeros)
+    for size in (1, 1 << 30):
+        monkeypatch.setattr(grow, "PATTERN_ROWS", size)
+        read = [np.where(label == 0, np.nan, gradient), np.where(label == 0, weight, np.nan)]
+        assert np.array_equal(grow.Joint(bins, bins.of(x)).count(rows, read, zeros, opposite=True), plain)
+
+
+@pytest.mark.parametrize("growth", [
+    Growth(3, 6, 0.3, l2=1.0, least_hessian=1.0), Growth(3, 6, 0.3, leaves=7, least_rows=20, least_hessian=1e-3), Growth(3, None, tries=2)])
+def test_trees_do_not_depend_on_patterns_and_blocks(growth, monkeypatch):
+    bins, x, label = exclusive()
+    fit, raw, row = Fit(1, "m", growth, growth.tries is not None, -1, (0.9, 1.4)), bins.of(x), np.arange(900) * 7919
+    grown = []
+    for wide, patterns, block in ((1 << 30, 1 << 30, 1 << 14), (30, 1 << 30, 64), (30, 60, 64), (2, 2, 50)):
+        for name, v in (("WIDE_ROWS", wide), ("PATTERN_ROWS", patterns), ("BLOCK", block), ("ROWS", block // 2)):
+            monkeypatch.setattr(grow, name, v)
+        grown.append(ff._forest(fit, bins, row, label, raw, range(3)) if fit.is_forest else ff._boost(fit, bins, label, raw))
+    for other in grown[1:]:
+        assert all(np.array_equal(getattr(a, n), getattr(b, n)) for a, b in zip(grown[0], other, strict=True) for n in FLAT)
+    assert len(grown[0][0].feature) > 7
